@@ -282,9 +282,10 @@ def _frequency(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def shared_counts(packed: DataFrame, partitions: int) -> DataFrame:
-    """batch, place and how many of the document's dealt shingles occur in another set."""
+    """batch, place and how many of the document's dealt shingles occur in another set. A bucket's counts go
+    back packed, one row for each batch."""
 
-    def task(batches):
+    def count(batches):
         for _, held in _by_bucket(batches):
             twice = _frequency([np.frombuffer(h, np.uint32) for _, h, _ in held]) > 1
             at = 0
@@ -295,10 +296,30 @@ def shared_counts(packed: DataFrame, partitions: int) -> DataFrame:
                 shared = sums[edge[1:] - at] - sums[edge[:-1] - at]
                 place = np.flatnonzero(shared)
                 at = int(edge[-1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), batch)), pa.array(place, pa.int32()), pa.array(shared[place], pa.int64())], ["batch", "place", "shared"])
+                if len(place):
+                    yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([place.astype(np.uint32).tobytes()], pa.binary()), pa.array([shared[place].astype(np.uint32).tobytes()], pa.binary())], ["batch", "places", "shared"])
 
-    dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(task, "batch long, place int, shared long").groupBy("batch", "place").agg(F.sum("shared").alias("shared"))
+    def add(batches):
+        def row(batch, total):
+            place = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(place), batch)), pa.array(place, pa.int32()), pa.array(total[place])], ["batch", "place", "shared"])
+
+        last, total = None, np.zeros(0, np.int64)
+        for b in batches:
+            for batch, places, shared in zip(*[b.column(c).to_pylist() for c in ("batch", "places", "shared")], strict=True):
+                if batch != last:
+                    if last is not None:
+                        yield row(last, total)
+                    last, total = batch, np.zeros(0, np.int64)
+                place = np.frombuffer(places, np.uint32)
+                if place[-1] >= len(total):
+                    total = np.pad(total, (0, int(place[-1]) + 1 - len(total)))
+                total[place] += np.frombuffer(shared, np.uint32)
+        if last is not None:
+            yield row(last, total)
+
+    counted = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "batch long, places binary, shared binary")
+    return counted.repartition(partitions, "batch").sortWithinPartitions("batch").mapInArrow(add, "batch long, place int, shared long")
 
 
 def rare_shingles(docs: DataFrame, buckets: int, partitions: int) -> DataFrame:
@@ -465,7 +486,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, most: int = MOST) -> D
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     # A bucket holds the shingles of about 16 MB of text: some MB.
     buckets = int(max(12, -(-size // (16 << 20))))
-    partitions = int(max(buckets // 2, 12))
+    partitions = buckets
     table = stored(spark, signatures(docs, buckets), "jaccard-signatures")
     members = table.where("bucket = -1").select("batch", "place", "rk", "doc_id", "n", "same")
     shared = shared_counts(table.where("bucket >= 0").select("batch", "bucket", "hashes", "counts"), partitions)
