@@ -20,7 +20,7 @@ def ago(as_of, interval: str) -> Column:
 
 def whole_days(start, as_of) -> Column:
     """Whole periods of 24 hours."""
-    return F.floor((F.unix_micros(now(as_of)) - F.unix_micros(start)) / 86_400_000_000)
+    return F.floor((F.unix_micros(now(as_of)) - F.unix_micros(F.col(start).cast("timestamp"))) / 86_400_000_000)
 
 
 def public_stats(jobs: DataFrame, users: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def owned(applications: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def advance_application_status(applications: DataFrame, jobs: DataFrame, changes: DataFrame) -> DataFrame:
     """applications after changes (id, owner_id, new_status) of those who own the job."""
-    allowed = owned(applications, jobs).join(changes, ["id", "owner_id"]).select("id", "new_status")
+    allowed = owned(applications, jobs).join(changes, ["id", "owner_id"]).groupBy("id").agg(F.max("new_status").alias("new_status"))
     return applications.join(allowed, "id", "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
 
 

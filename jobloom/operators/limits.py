@@ -38,17 +38,18 @@ def sliding_admission(events: DataFrame, limit: int, window_seconds: int) -> Dat
     those before it, so no aggregate expresses it. Keys that never reach the limit inside a window, nearly
     all of them, are settled by a window count; only hot stretches go through the fold, cut where the
     key was silent for a whole window, so that no task gets all of a key."""
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     by_key = Window.partitionBy("key").orderBy("_t", "id")
     gap = (F.col("_t") - F.lag("_t").over(by_key)) >= window_seconds * 1_000_000
     timed = events.withColumn("_t", micros).withColumn("_run", F.sum(F.coalesce(gap, F.lit(True)).cast("long")).over(by_key))
     sized = timed.withColumn("_n", F.count("*").over(Window.partitionBy("key", "_run")))
+    names = events.columns
     quiet = sized.where(F.col("_n") <= limit).select(*events.columns, F.lit(True).alias("admitted"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_t", "id"])
         pdf["admitted"] = admit(pdf["_t"].tolist(), limit, window_seconds * 1_000_000, [])
-        return pdf[[*events.columns, "admitted"]]
+        return pdf[[*names, "admitted"]]
 
     schema = quiet.schema
     return quiet.unionByName(sized.where(F.col("_n") > limit).groupBy("key", "_run").applyInPandas(fold, schema))
@@ -56,21 +57,23 @@ def sliding_admission(events: DataFrame, limit: int, window_seconds: int) -> Dat
 
 def token_bucket(events: DataFrame, capacity: int, period_seconds: int) -> DataFrame:
     """events with admitted, by a bucket per key. After a silence of a whole period the bucket is full again,
-    so the key is cut there."""
+    so the key is cut there; a run of at most capacity events is let in whole."""
     by_key = Window.partitionBy("key").orderBy("_t", "id")
     gap = (F.col("_t") - F.lag("_t").over(by_key)) >= period_seconds * 1_000_000
-    timed = events.withColumn("_t", F.unix_micros("ts")).withColumn("_run", F.sum(F.coalesce(gap, F.lit(True)).cast("long")).over(by_key))
+    timed = events.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_run", F.sum(F.coalesce(gap, F.lit(True)).cast("long")).over(by_key))
+    sized = timed.withColumn("_n", F.count("*").over(Window.partitionBy("key", "_run")))
+    names = events.columns
+    quiet = sized.where(F.col("_n") <= capacity).select(*names, F.lit(True).alias("admitted"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_t", "id"])
         pdf["admitted"] = take(pdf["_t"].tolist(), capacity, period_seconds * 1_000_000, [capacity, None])
-        return pdf[[*events.columns, "admitted"]]
+        return pdf[[*names, "admitted"]]
 
-    schema = events.withColumn("admitted", F.lit(True)).schema
-    return timed.groupBy("key", "_run").applyInPandas(fold, schema)
+    return quiet.unionByName(sized.where(F.col("_n") > capacity).groupBy("key", "_run").applyInPandas(fold, quiet.schema))
 
 
 def sliding_count(key: str, ts: str, window_seconds: int) -> Column:
     """Events of the key in the window that ends with each event; one exactly a window ago is outside."""
-    millis = F.unix_millis(ts)
+    millis = F.unix_millis(F.col(ts).cast("timestamp"))
     return F.count("*").over(Window.partitionBy(key).orderBy(millis).rangeBetween(-window_seconds * 1000 + 1, 0))

@@ -221,7 +221,8 @@ def valid_category(v: Views):
     return v.postings.select("seq", X.valid_category_or_infer(F.when(F.col("seq") % 3 == 0, "qa").otherwise("data"), "title", "description").alias("category"))
 
 
-_HITS = f"least(20, len(regexp_extract_all(coalesce(description, ''), '(?i){rules.TECH_DOMAIN}')))"
+# RE2's word boundaries know ASCII only: letters beyond it are replaced by one of it.
+_HITS = f"least(20, len(regexp_extract_all(regexp_replace(coalesce(description, ''), '[^\\x00-\\x7F]', 'x', 'g'), '(?i){rules.TECH_DOMAIN}')))"
 _POINTS = f"""CASE WHEN {_re('title', rules.TECH_DOMAIN)} THEN 40 ELSE 0 END + least(25, 8 * len(t)) + {_HITS} + CASE WHEN regexp_matches(lower(title), '\\b(senior|lead|principal|junior|staff|intern)\\b') THEN 10 ELSE 0 END - CASE WHEN {_re('title', rules.STRONG_NEGATIVE)} THEN 25 ELSE 0 END"""
 
 

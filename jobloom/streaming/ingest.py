@@ -78,7 +78,7 @@ class _Bucket(StatefulProcessor):
 
 
 def _stateful(events: DataFrame, processor: StatefulProcessor) -> DataFrame:
-    timed = events.select("key", "id", F.unix_micros("ts").alias("t"))
+    timed = events.select("key", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     return timed.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType="key string, id long, t long, admitted boolean", outputMode="Append", timeMode="None")
 
 
