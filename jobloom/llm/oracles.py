@@ -1,7 +1,62 @@
-"""DuckDB SQL for the corpus queries that SQL expresses."""
+"""DuckDB SQL for the corpus queries that SQL expresses on whole small tables: plain comparisons of all
+windows, lines, shingles and vectors."""
 
 from __future__ import annotations
 
+from jobloom.llm.licenses import BASE, TEMPLATES
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_SPACED}') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, min(o.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN reach ON reach.a = d.r LEFT JOIN d o ON o.r = reach.b GROUP BY d.r, d.doc_id
+"""
+
+DECONTAMINATION = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark),
+p AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS p FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+o AS (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS p FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
+h AS (SELECT o.r, o.i, o.n, p.item FROM o JOIN p ON o.p = p.p AND o.n = p.n),
+x AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS pos FROM h) GROUP BY r),
+y AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN x ON x.r = d.r LEFT JOIN y ON y.r = d.r
+"""
+
+_DOT = lambda a, b: f"list_reduce(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i]), lambda x, y: x + y)"  # noqa: E731  summed from the first component on
+
+NEIGHBOURS = f"""
+WITH v AS (SELECT vec_id, e, sqrt({_DOT('e', 'e')}) AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, {_DOT('q.e', 'c.e')} / (q.n * c.n) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
+
+def _licenses() -> str:
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in BASE.items())
+    templates = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in TEMPLATES.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER} AS t, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
+p(phrase, label, n) AS (VALUES {phrases}), t(label, words) AS (VALUES {templates}),
+b AS (SELECT r, i - 1 AS pos, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) o JOIN p ON array_to_string(o.w[o.i : o.i + p.n - 1], ' ') = p.phrase),
+f AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY r),
+l AS (SELECT r, list_distinct(regexp_extract_all(line, '{_ALNUM}')) AS words FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+m AS (SELECT l.r, t.label, len(list_intersect(l.words, t.words)) / len(t.words) AS score FROM l JOIN t ON list_has_any(l.words, t.words) WHERE 10 * len(list_intersect(l.words, t.words)) >= 8 * len(t.words)),
+g AS (SELECT r, max(score) AS best FROM m GROUP BY r),
+a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM b UNION SELECT r, label FROM m) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
+FROM d LEFT JOIN f ON f.r = d.r LEFT JOIN a ON a.r = d.r LEFT JOIN g ON g.r = d.r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_jaccard_join": JACCARD, "op4_decontamination": DECONTAMINATION, "op8_licenses": _licenses(), "op9_neighbours": NEIGHBOURS}
