@@ -151,8 +151,9 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, gram
     """rk, first and last of runs of window starts that are repeated; docs is keyed()."""
     every = stored(spark, anchors(docs, depth, gram), "suffix-anchors")
     groups = every.groupBy("gram").agg(F.count("*").alias("n_gram"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n_gram > 1")
-    several = F.col("low") != F.col("high")
-    going = stored(spark, every.join(groups.select("gram", several.alias("several")), "gram"), "suffix-groups")
+    # Stored before the join: a join that shares the aggregation's shuffle could not split a hot gram.
+    groups = stored(spark, groups.select("gram", (F.col("low") != F.col("high")).alias("several")), "suffix-grams")
+    going = stored(spark, every.join(groups, "gram"), "suffix-groups")
     # One stretch only: all are repeated. Else a stretch's own group decides.
     alike = going.where("not several").select("rk", "first", "last")
     mixed = going.where("several")
@@ -163,7 +164,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, gram
 
     per_gram = stretches.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least"))
     # Without a stretch that occurs once there is nothing left to decide.
-    open_grams = per_gram.where("least = 1").select("gram", (F.col("k") > most_stretches).alias("large"))
+    open_grams = stored(spark, per_gram.where("least = 1").select("gram", (F.col("k") > most_stretches).alias("large")), "suffix-open")
     wanted = stretches.join(open_grams, "gram").groupBy("rk").agg(F.collect_list(F.struct("gram", "n", "first", "last", "large")).alias("wanted"))
     texts = docs.join(wanted, "rk")
 
