@@ -65,9 +65,11 @@ def resolve(new: DataFrame, jobs: DataFrame) -> DataFrame:
     return found.withColumn("dedup_level", level).withColumn("match_id", F.coalesce("l1_id", "l2_id", "l3_id")).drop("l1_id", "l2_id", "l3_id")
 
 
-def first_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    return ranked.where("_rank = 1").drop("_rank")
+def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The row with the smallest order columns for each key; it is found before the shuffle already, so a hot
+    key is no hot task."""
+    first = df.groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first"))
+    return first.select("_first.*")
 
 
 def upsert_postings(jobs: DataFrame, resolved: DataFrame, as_of, extend_expiry: bool = False) -> DataFrame:

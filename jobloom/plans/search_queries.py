@@ -448,3 +448,49 @@ def upsert(v: Views):
 @query("h05_resolve_batch")
 def same_batch(v: Views):
     return dedup.resolve_batch(_batch(v).where("reject_stage is null"))
+
+
+@query("g06_order_friction")
+def friction_order(v: Views):
+    return activity.order_friction(activity.friction_signals(v.members, v.login_attempts, EVENTS_NOW)).select("user_id", "signal", "severity", "days")
+
+
+def _shared_folder(v: Views, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors see."""
+    import uuid
+
+    base = v.spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/jobloom-checkpoints/{v.spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("a16_write_jobs", "SELECT id, title, is_active FROM jobs")
+def written(v: Views):
+    from jobloom.sources.tables import read_snapshot, write_snapshot
+
+    path = _shared_folder(v, "jobs")
+    jobs = v.jobs.select("id", "title", "is_active")
+    write_snapshot(jobs, path)
+    return read_snapshot(v.spark, path, jobs.schema)
+
+
+@query("a17_write_run_log", "SELECT source, keyword, count(*) AS fetched, count(*) FILTER (WHERE outcome = 'inserted') AS inserted FROM runs GROUP BY source, keyword")
+def logged(v: Views):
+    from jobloom.sources.tables import append_log
+
+    path = _shared_folder(v, "runs")
+    tally = maintenance.run_tally(v.runs).select("source", "keyword", "fetched", "inserted")
+    for source in ("adzuna", "jsearch", "careerjet"):
+        append_log(tally.where(F.col("source") == source), path)
+    return v.spark.read.parquet(path)
+
+
+@query("i01_ingest_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def streamed(v: Views):
+    from jobloom.streaming.ingest import ingest_stream
+
+    out, landed = _shared_folder(v, "stream"), _shared_folder(v, "landed")
+    events = v.events.select("event_id", "event_type")
+    events.write.parquet(landed)
+    # Written under the batch's number: a repeated batch replaces itself.
+    ingest_stream(v.spark, landed, events.schema, f"{out}-checkpoint", lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    return v.spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))

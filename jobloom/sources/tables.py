@@ -25,3 +25,8 @@ def write_snapshot(df: DataFrame, path: str) -> None:
 
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A snapshot by its schema; the partition column's type would be guessed otherwise."""
+    return spark.read.schema(schema).parquet(path)
