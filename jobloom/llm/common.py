@@ -18,7 +18,7 @@ WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Arrow batches are bounded by bytes as well, since single texts can be long.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

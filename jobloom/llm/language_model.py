@@ -182,7 +182,7 @@ def _per_batch(batch: pa.RecordBatch, state) -> pa.Array:
     word, count, filter_, n, v, n_docs = state
     out = []
     total = n + v + 1
-    for _, _, data, offsets in arrow_batches(batch, "text", 8 << 20):
+    for _, _, data, offsets in arrow_batches(batch, "text"):
         h, at = tokens(data, offsets)
         before, pair = bigrams(h, at)
         distinct, inverse = np.unique(h, return_inverse=True)
