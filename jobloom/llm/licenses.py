@@ -14,6 +14,8 @@ base phrase.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,27 +40,29 @@ def _plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " "))
 
 
-def _places(words: Column, phrase: str) -> Column:
+def _places(words: str, phrase: str) -> Column:
+    """Where a phrase's words stand consecutively. words names a column: inside the filter it is looked up
+    for every place, so it must not be an expression that would be evaluated there."""
     want = phrase.split()
-    n = F.size(words) - len(want)
+    first = F.filter(F.transform(words, lambda w, i: F.when(w == want[0], i)), lambda i: i.isNotNull())
 
     def stands(i):
         out = F.lit(True)
-        for k, w in enumerate(want):
+        for k, w in enumerate(want[1:], 1):
             out = out & (F.get(words, i + k) == w)
         return out
 
-    return F.when(n >= 0, F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), stands)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.filter(first, lambda i: F.coalesce(stands(i), F.lit(False)))
 
 
 def base_places(docs: DataFrame) -> DataFrame:
-    """doc_id, rk, n_words and places: a map of each label to its phrase's places."""
+    """doc_id, rk, n_words and for each phrase its places; only texts that hold a phrase are cut into words."""
     padded = docs.select("doc_id", "rk", F.concat(F.lit(" "), _plain(F.col("text")), F.lit(" ")).alias("plain"))
     n_words = F.when(F.col("plain") == "  ", 0).otherwise(F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) - 1).cast("long")
-    has = {p: F.col("plain").contains(f" {p} ") for p in BASE}
-    none = F.expr("cast(array() as array<int>)")
-    words = F.split(F.trim("plain"), " ")
-    return padded.select("doc_id", "rk", n_words.alias("n_words"), *[F.when(has[p], _places(words, p)).otherwise(none).alias(f"at_{k}") for k, p in enumerate(BASE)])
+    holds = reduce(lambda a, b: a | b, [F.col("plain").contains(f" {p} ") for p in BASE])
+    none = F.expr("cast(array() as array<string>)")
+    cut = padded.select("doc_id", "rk", n_words.alias("n_words"), F.when(holds, F.split(F.trim("plain"), " ")).otherwise(none).alias("words"))
+    return cut.select("doc_id", "rk", "n_words", *[_places("words", p).alias(f"at_{k}") for k, p in enumerate(BASE)])
 
 
 def _blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
