@@ -383,7 +383,8 @@ def daily(v: Views):
 
 
 def _job_table(v: Views):
-    """The first half of the postings as a table of jobs."""
+    """Postings with an even number play the table, the others the batch that comes in: between them they are
+    all postings."""
     old = scoring.enrich(v.postings.where("seq % 2 = 0"))
     return old.select(
         F.col("seq").alias("id"), "seq", F.col("source").alias("external_source"), "external_job_id", "dedup_hash", "normalized_title", "normalized_company_name", "city", (F.col("seq") % 6 != 0).alias("is_active"), "apply_url", "publisher", "linkedin_easy_apply",
@@ -423,18 +424,21 @@ def similarity(v: Views):
     return pairs.select("a", "b", F.round(dedup.trigram_similarity("a", "b"), 6).alias("similarity"))
 
 
-_NAMED = "SELECT doc_id AS seq, source AS city, lower(lang) AS company, substring(text, 1, 40) AS title FROM documents WHERE length(trim(text)) > 0"
+_NAMED = "SELECT id AS seq, created_at, is_active, location_uae AS city, lower(company_name) AS company, title || ' ' || CAST(salary_min % 4 AS STRING) AS title FROM jobs WHERE salary_min IS NOT NULL"
 
 
 @query(
     "d03_match_fuzzy",
-    f"WITH t AS ({_NAMED}), g AS (SELECT *, {_GRAMS('title')} AS x FROM t), s AS (SELECT p.seq, o.seq AS id, len(list_intersect(p.x, o.x)) / (len(p.x) + len(o.x) - len(list_intersect(p.x, o.x))) AS s FROM g p JOIN g o ON o.city = p.city AND o.company = p.company AND p.seq % 2 = 1 AND o.seq % 2 = 0 AND len(p.x) + len(o.x) > 0) "
-    "SELECT t.seq, b.id AS l3_id FROM t LEFT JOIN (SELECT seq, id, row_number() OVER (PARTITION BY seq ORDER BY s DESC, id) AS r FROM s WHERE s >= 0.85) b ON b.seq = t.seq AND b.r = 1 WHERE t.seq % 2 = 1",
+    f"WITH t AS ({_NAMED}), n AS (SELECT *, {_GRAMS('title')} AS x FROM t WHERE created_at >= TIMESTAMP '1999-01-01 00:00:00'), o AS (SELECT company, city, title, min(seq) AS id, any_value({_GRAMS('title')}) AS x FROM t WHERE created_at < TIMESTAMP '1999-01-01 00:00:00' AND is_active GROUP BY ALL), "
+    "s AS (SELECT n.seq, o.id, len(list_intersect(n.x, o.x)) / (len(n.x) + len(o.x) - len(list_intersect(n.x, o.x))) AS s FROM n JOIN o ON o.city = n.city AND o.company = n.company) "
+    "SELECT n.seq, b.id AS l3_id FROM n LEFT JOIN (SELECT seq, id, row_number() OVER (PARTITION BY seq ORDER BY s DESC, id) AS r FROM s WHERE s >= 0.85) b ON b.seq = n.seq AND b.r = 1",
 )
 def l3(v: Views):
-    named = v.documents.where(F.length(F.trim("text")) > 0).select(F.col("doc_id").alias("seq"), F.col("source").alias("city"), F.col("lang").alias("normalized_company_name"), F.substring("text", 1, 40).alias("normalized_title"))
-    old = named.where("seq % 2 = 0").withColumnRenamed("seq", "id").withColumn("is_active", F.lit(True))
-    return dedup.match_fuzzy(named.where("seq % 2 = 1"), old).select("seq", "l3_id")
+    """Later jobs against earlier active ones."""
+    title = F.concat("title", F.lit(" "), (F.col("salary_min") % 4).cast("string"))
+    named = v.jobs.where("salary_min is not null").select(F.col("id").alias("seq"), "created_at", "is_active", F.col("location_uae").alias("city"), F.col("company_name").alias("normalized_company_name"), title.alias("normalized_title"))
+    early = F.col("created_at") < F.lit("1999-01-01 00:00:00").cast("timestamp")
+    return dedup.match_fuzzy(named.where(~early).drop("is_active"), named.where(early).withColumnRenamed("seq", "id")).select("seq", "l3_id")
 
 
 @query("h04_upsert_postings")
