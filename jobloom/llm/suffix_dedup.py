@@ -250,16 +250,18 @@ def replace_texts(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> D
     found = repeated_runs(spark, keyed(docs), depth).groupBy("rk").agg(F.collect_set(F.struct("first", "last")).alias(found_name)).withColumnRenamed("rk", key)
     marked = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))).join(found, key, "left")
 
+    names = docs.columns
+
     def task(batches):
         for b in batches:
             lists = b.column(found_name)
             cut = pa.compute.is_valid(lists)
             texts = [g[3].tobytes().decode("utf-8", "ignore") for g in _kept(b.column("text"), lists, depth)]
             text = pa.compute.if_else(cut, pa.array(texts, pa.string()), b.column("text"))
-            out = {n: b.column(n) for n in docs.columns}
+            out = {n: b.column(n) for n in names}
             out["text"] = text
             if "n_chars" in out:
                 out["n_chars"] = pa.compute.if_else(cut, pa.compute.utf8_length(text).cast(out["n_chars"].type), out["n_chars"])
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return marked.select(*docs.columns, found_name).mapInArrow(task, docs.schema)
+    return marked.select(*names, found_name).mapInArrow(task, docs.schema)
