@@ -158,6 +158,21 @@ def words(data: np.ndarray, offsets: np.ndarray, kind=SPACED) -> tuple[np.ndarra
     return data, starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, piece: int = 4 << 20) -> np.ndarray:
+    """Hashes of words. Buffers longer than piece, that is single long texts, are hashed piece by piece, since
+    sums and powers take 16 bytes a byte."""
+    if len(data) <= piece or not len(start):
+        return Hashes(data).of(start, end)
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        base = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, base + piece, "right")))
+        out[i:j] = Hashes(data[base : int(end[j - 1])]).of(start[i:j] - base, end[i:j] - base)
+        i = j
+    return out
+
+
 def arrow_batches(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
     """(first row, last row, bytes, offsets) of slices of one string column of a batch."""
     data, offsets = buffers(batch.column(column))
@@ -171,15 +186,21 @@ def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def annotate(docs: DataFrame, result_type, per_batch, at_start=None) -> tuple[DataFrame, str]:
     """docs with one more column, a struct of result_type that per_batch(batch, state) gives as an Arrow
     array; state is what at_start() gives once a task. Returns the column's name too: it clashes with
     none of docs'."""
     from pyspark.sql import types as T
 
-    name = "_result"
-    while name in {c.lower() for c in docs.columns}:
-        name += "_"
+    name = free_name(docs, "_result")
 
     def task(batches):
         state = at_start() if at_start else None

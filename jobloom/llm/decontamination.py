@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import ALNUM, Hashes, annotate, arrow_batches, buffers, crc_of_id, words
+from jobloom.llm.common import ALNUM, annotate, arrow_batches, buffers, crc_of_id, free_name, word_hashes, words
 
 WINDOW = 13
 RESULT = "struct<n_words: long, hits: array<struct<start: int, end: int>>, items: array<string>>"
@@ -87,7 +87,7 @@ class Patterns:
 def windows_of(item_ids: list[str], texts: pa.Array, window: int = WINDOW) -> list[Patterns]:
     data, offsets = buffers(texts)
     data, start, end, at = words(data, offsets, ALNUM)
-    hashed = Hashes(data).of(start, end)
+    hashed = word_hashes(data, start, end)
     ids = np.unique(np.array(item_ids, object).astype(str))
     place = {x: i for i, x in enumerate(ids)}
     by_length: dict[int, tuple[list, list]] = {}
@@ -108,7 +108,7 @@ def _scan(batch: pa.RecordBatch, patterns: list[Patterns]) -> pa.Array:
     n_words, hits, items = [], [], []
     for i, j, data, offsets in arrow_batches(batch, "text"):
         data, start, end, at = words(data, offsets, ALNUM)
-        hashed = Hashes(data).of(start, end)
+        hashed = word_hashes(data, start, end)
         n = len(hashed)
         cover = np.zeros(n + 1, np.int64)
         pairs = []
@@ -159,14 +159,15 @@ def find_benchmark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, w
     if parts == 1:
         return found[0], name
     # Each pass has every row; equal rows have equal hits, so a row's hits can be merged by its content.
-    marked = [df.withColumn("_row", F.xxhash64(*docs.columns)) for df in found]
+    row, more_items, more_hits = (free_name(found[0], x) for x in ("_row", "_items", "_hits"))
+    marked = [df.withColumn(row, F.xxhash64(*docs.columns)) for df in found]
     merged = marked[0]
     rest = marked[1]
     for df in marked[2:]:
         rest = rest.unionByName(df)
-    rest = rest.where(F.size(f"{name}.items") > 0).groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_set(f"{name}.items"))).alias("_items"), F.flatten(F.collect_set(f"{name}.hits")).alias("_hits"))
-    merged = merged.join(rest, "_row", "left")
-    hits = F.array_sort(F.concat(f"{name}.hits", F.coalesce("_hits", F.expr("array()"))))
+    rest = rest.where(F.size(f"{name}.items") > 0).groupBy(row).agg(F.array_distinct(F.flatten(F.collect_set(f"{name}.items"))).alias(more_items), F.flatten(F.collect_set(f"{name}.hits")).alias(more_hits))
+    merged = merged.join(rest, row, "left")
+    hits = F.array_sort(F.concat(f"{name}.hits", F.coalesce(more_hits, F.expr("array()"))))
     # Runs are sorted by start: a run that begins within the last one prolongs it.
     joined = F.aggregate(
         hits,
@@ -176,8 +177,8 @@ def find_benchmark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, w
             F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(out, F.array(x))),
     )
-    both = F.array_union(f"{name}.items", F.coalesce("_items", F.expr("array()")))
-    return merged.withColumn(name, F.struct(F.col(f"{name}.n_words").alias("n_words"), joined.alias("hits"), both.alias("items"))).drop("_row", "_items", "_hits"), name
+    both = F.array_union(f"{name}.items", F.coalesce(more_items, F.expr("array()")))
+    return merged.withColumn(name, F.struct(F.col(f"{name}.n_words").alias("n_words"), joined.alias("hits"), both.alias("items"))).drop(row, more_items, more_hits), name
 
 
 def hit_words(name: str):

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import SPACED, Hashes, arrow_batches, keyed, mix, stored, words
+from jobloom.llm.common import SPACED, arrow_batches, free_name, keyed, mix, stored, word_hashes, words
 from jobloom.llm.graphs import components
 
 WIDTH = 5
@@ -42,7 +42,7 @@ _SALTS = mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) |
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles."""
     data, start, end, at = words(data, offsets, SPACED)
-    h = Hashes(data).of(start, end)
+    h = word_hashes(data, start, end)
     n = max(len(h) - width + 1, 0)
     joined = np.zeros(n, np.uint64)
     for k in range(width):
@@ -515,9 +515,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, most: int = MOST) -> D
 def keep_first(spark: SparkSession, docs: DataFrame, most: int = MOST) -> DataFrame:
     """docs with one row of each component: the one with the smallest doc_id. Documents without words stay."""
     found = near_duplicates(spark, docs, most)
-    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("first")).select(F.col("first.rk").alias("_rk"))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    marked = docs.withColumn("_rk", key)
-    kept = marked.join(first, "_rk").dropDuplicates(["_rk"])
+    rk = free_name(docs, "_rk")
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("first")).select(F.col("first.rk").alias(rk))
+    marked = docs.withColumn(rk, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    kept = marked.join(first, rk).dropDuplicates([rk])
     without = marked.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return kept.unionByName(without).drop("_rk")
+    return kept.unionByName(without).drop(rk)

@@ -8,8 +8,8 @@ with the word's own probability: (count + MU * p(word)) / (count of the first +
 Counts are gathered from all training texts: each task sums its batch before the shuffle, bigrams are dealt
 by hash to segments, packed, and every segment builds its own part of the filter. The filter takes about
 10 bits a distinct bigram and the word table 12 bytes a word. They are broadcast if they are within
-`most_bytes`; beyond it the same counts are looked up by joins (`_score_by_joins`), where a segment's rows
-are salted and hot words are left to AQE.
+`most_bytes`; beyond it batches of texts ask the segments for the same counts by shuffles
+(`_score_by_exchange`), with equal results.
 
 Tokens: words between white space with A-Z lower-cased, then one end. Defined cases: null and empty texts
 are the end alone; without training rows N and V are 0 and each token has probability 1; repeated rows count
@@ -18,13 +18,16 @@ and are scored each; a null doc_id has the crc32 of an empty text.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401  pa.ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobloom.llm.common import SPACED, Hashes, annotate, arrow_batches, crc_of_id, keyed, mix, stored, words
+from jobloom.llm.common import SPACED, annotate, arrow_batches, crc_of_id, keyed, mix, stored, word_hashes, words
 
 END, BEGIN = np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1)
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -34,7 +37,7 @@ BITS, PROBES, MU = 9, 4, 20.0
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, text by text, and each text's first token (one more than texts)."""
     data, start, end, at = words(data, offsets, SPACED)
-    h = Hashes(data).of(start, end)
+    h = word_hashes(data, start, end)
     n = len(at) - 1
     out = np.full(len(h) + n, END)
     doc = np.repeat(np.arange(n), np.diff(at))
@@ -88,9 +91,17 @@ class Filter:
 
     def level(self, pair: np.ndarray) -> np.ndarray:
         part = _segment(pair, self.segments).astype(np.int64)
-        short, size, base = pair & np.uint64(0xFFFFFFFF), self.size[part], self.base[part]
-        out = np.zeros(len(pair), np.int64)
-        going = np.arange(len(pair))
+        return self._probe(pair & np.uint64(0xFFFFFFFF), self.size[part], self.base[part])
+
+    def level_of_short(self, short: np.ndarray, segment: int) -> np.ndarray:
+        """Levels of remainders of one segment."""
+        same = lambda x: np.full(len(short), x[segment])
+        return self._probe(short.astype(np.uint64), same(self.size), same(self.base))
+
+    def _probe(self, short: np.ndarray, size: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Level after level until a probe misses."""
+        out = np.zeros(len(short), np.int64)
+        going = np.arange(len(short))
         k = 1
         while len(going):
             hit = going
@@ -178,67 +189,123 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, at[:-1]) if len(at) > 1 else np.zeros(0)  # each text has a token
 
 
+def _scores(at: np.ndarray, c: np.ndarray, level: np.ndarray, n: int, v: int, n_docs: int) -> np.ndarray:
+    """RESULT's fields of texts whose tokens have counts c and bigram levels level."""
+    first = np.concatenate(([0], c[:-1]))
+    first[at[:-1]] = n_docs
+    p = (c + 1) / (n + v + 1)
+    smooth = np.minimum((np.minimum(count_at(level), first) + MU * p) / (first + MU), 1.0)
+    return np.stack([np.diff(at), _sums((c > 0).astype(float), at), _sums(np.log10(p), at), _sums(np.log10(smooth), at)])
+
+
+def _result(parts: list[np.ndarray]) -> list[pa.Array]:
+    got = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0))
+    return [pa.array(got[0].astype(np.int64)), pa.array(got[1].astype(np.int64)), pa.array(got[2]), pa.array(got[3])]
+
+
+FIELDS = ["n_tokens", "n_known", "base_score", "score"]
+
+
+def _counts(word: np.ndarray, count: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Counts of wanted words in the sorted table word."""
+    if not len(word):
+        return np.zeros(len(wanted), np.int64)
+    place = np.minimum(np.searchsorted(word, wanted), len(word) - 1)
+    return np.where(word[place] == wanted, count[place], 0).astype(np.int64)
+
+
 def _per_batch(batch: pa.RecordBatch, state) -> pa.Array:
     word, count, filter_, n, v, n_docs = state
     out = []
-    total = n + v + 1
     for _, _, data, offsets in arrow_batches(batch, "text"):
         h, at = tokens(data, offsets)
-        before, pair = bigrams(h, at)
         distinct, inverse = np.unique(h, return_inverse=True)
-        place = np.minimum(np.searchsorted(word, distinct), max(len(word) - 1, 0))
-        c = np.where(word[place] == distinct, count[place], 0) if len(word) else np.zeros(len(distinct), np.int64)
-        c = c[inverse]
-        first = np.concatenate(([0], c[:-1]))
-        first[at[:-1]] = n_docs
-        p = (c + 1) / total
-        both = count_at(filter_.level(pair))
-        smooth = np.minimum((np.minimum(both, first) + MU * p) / (first + MU), 1.0)
-        out.append(np.stack([np.diff(at), _sums((c > 0).astype(float), at), _sums(np.log10(p), at), _sums(np.log10(smooth), at)]))
-    got = np.concatenate(out, axis=1) if out else np.zeros((4, 0))
-    return pa.StructArray.from_arrays([pa.array(got[0].astype(np.int64)), pa.array(got[1].astype(np.int64)), pa.array(got[2]), pa.array(got[3])], ["n_tokens", "n_known", "base_score", "score"])
-
-
-def _score_by_joins(docs: DataFrame, tables: DataFrame, segments: int, n: int, v: int, n_docs: int) -> DataFrame:
-    """rk and the result's fields, with word counts and filter segments joined instead of broadcast."""
-
-    def spread(batches):
+        out.append(_scores(at, _counts(word, count, distinct)[inverse], filter_.level(bigrams(h, at)[1]), n, v, n_docs))
+    return pa.StructArray.from_arrays(_result(out), FIELDS)
+
+
+def _batch_words(batch: pa.RecordBatch):
+    """A batch's tokens by slice, its distinct words and bigrams, and a key of its content."""
+    parts = [tokens(data, offsets) for _, _, data, offsets in arrow_batches(batch, "text")]
+    word = np.unique(np.concatenate([h for h, _ in parts]))
+    pair = np.unique(np.concatenate([bigrams(h, at)[1] for h, at in parts]))
+    key = hashlib.blake2b(batch.column("rk").to_numpy(zero_copy_only=False).tobytes(), digest_size=8).digest()
+    return parts, word, pair, int.from_bytes(key, "little", signed=True)
+
+
+_ASKED = "batch long, segment int, words binary, pairs binary, bits binary"
+_ASKED_NAMES = ["batch", "segment", "words", "pairs", "bits"]
+
+
+def _score_by_exchange(docs: DataFrame, tables: DataFrame, segments: int, n: int, v: int, n_docs: int) -> DataFrame:
+    """doc_id, rk and the result's fields without any broadcast. Every batch of texts asks each segment for its
+    distinct words and bigrams, packed; the segment's task answers with counts and levels; the answers meet the
+    batch's texts again. A frequent word is asked for once a batch, so no segment is hot."""
+
+    def rows(batch, segment, *binary):
+        size = len(segment)
+        return pa.RecordBatch.from_arrays([pa.array([batch] * size, pa.int64()), pa.array(segment, pa.int32()), *[pa.array(x if x is not None else [None] * size, pa.binary()) for x in binary]], _ASKED_NAMES)
+
+    def ask(batches):
+        for b in batches:
+            if b.num_rows:
+                _, word, pair, key = _batch_words(b)
+                own_w, own_p = _segment(word, segments), _segment(pair, segments)
+                words = [word[own_w == s].tobytes() for s in range(segments)]
+                yield rows(key, range(segments), words, [pair[own_p == s].astype(np.uint32).tobytes() for s in range(segments)], None)
+
+    def carry(batches):
         for b in batches:
-            for i, _, data, offsets in arrow_batches(b, "text"):
-                h, at = tokens(data, offsets)
-                before, pair = bigrams(h, at)
-                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                rk = b.column("rk").to_numpy()[i + doc]
-                yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(before.view(np.int64)), pa.array(h.view(np.int64)), pa.array(pair.view(np.int64)), pa.array(_segment(pair, segments).astype(np.int32))], ["rk", "before", "word", "pair", "segment"])
-
-    def listed(batches):
+            if b.num_rows:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as out:
+                    out.write_batch(b)
+                yield rows(_batch_words(b)[3], [-1], [sink.getvalue().to_pybytes()], None, None)
+
+    def answer(batches):
+        segment, word, count, filter_ = None, None, None, None
         for b in batches:
-            for w, c in zip(b.column("words").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(w, np.int64)), pa.array(np.frombuffer(c, np.int64))], ["word", "c"])
-
-    counts = tables.select("words", "counts").mapInArrow(listed, "word long, c long")
-    rows = docs.dropDuplicates(["rk"]).select("rk", "text").mapInArrow(spread, "rk long, before long, word long, pair long, segment int").groupBy("rk", "before", "word", "pair", "segment").agg(F.count("*").alias("times"))
-    rows = rows.join(counts, "word", "left").join(counts.select(F.col("word").alias("before"), F.col("c").alias("first")), "before", "left")
-    begin = F.lit(int(BEGIN.astype(np.int64)))
-    rows = rows.withColumn("first", F.when(F.col("before") == begin, F.lit(n_docs)).otherwise(F.coalesce("first", F.lit(0))).cast("long")).withColumn("c", F.coalesce("c", F.lit(0)))
-    # A hot bigram's rows go to several copies of its segment.
-    salts = rows.groupBy("segment").agg(F.ceil(F.count("*") / 2_000_000).cast("int").alias("salts"))
-    left = rows.join(F.broadcast(salts), "segment").withColumn("salt", F.pmod(F.xxhash64("rk"), "salts").cast("int"))
-    right = tables.select("segment", "bits").join(F.broadcast(salts), "segment").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-
-    def probe(a: pa.Table, b: pa.Table) -> pa.Table:
-        pair = a.column("pair").to_numpy().view(np.uint64)
-        segment = a.column("segment")[0].as_py() if a.num_rows else 0
-        parts = {segment: b.column("bits")[0].as_py()} if b.num_rows else {}
-        level = Filter(parts, segments).level(pair)
-        c, first, times = (a.column(x).to_numpy().astype(float) for x in ("c", "first", "times"))
-        p = (c + 1) / (n + v + 1)
-        smooth = np.minimum((np.minimum(count_at(level), first) + MU * p) / (first + MU), 1.0)
-        return pa.table({"rk": a.column("rk"), "times": a.column("times"), "known": pa.array((times * (c > 0)).astype(np.int64)), "base": pa.array(times * np.log10(p)), "full": pa.array(times * np.log10(smooth))})
-
-    columns = ["segment", "salt", "rk", "pair", "c", "first", "times"]
-    got = left.select(columns).groupBy("segment", "salt").cogroup(right.select("segment", "salt", "bits").groupBy("segment", "salt")).applyInArrow(probe, "rk long, times long, known long, base double, full double")
-    return got.groupBy("rk").agg(F.sum("times").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("full").alias("score"))
+            for batch, s, words, pairs, bits in zip(*[b.column(c).to_pylist() for c in _ASKED_NAMES], strict=True):
+                if bits is not None:  # a segment's own table comes first
+                    segment, word, count, filter_ = s, np.frombuffer(words, np.uint64), np.frombuffer(pairs, np.int64), Filter({s: bits}, segments)
+                    continue
+                if s != segment:  # nothing was learnt in this segment
+                    segment, word, count, filter_ = s, np.zeros(0, np.uint64), np.zeros(0, np.int64), Filter({}, segments)
+                c = _counts(word, count, np.frombuffer(words, np.uint64))
+                level = filter_.level_of_short(np.frombuffer(pairs, np.uint32), s)
+                yield rows(batch, [s], [c.tobytes()], [level.astype(np.uint8).tobytes()], None)
+
+    def score(batches):
+        def solve(held):
+            given = {s: (w, p) for s, w, p in held if s >= 0}
+            for _, packed, _ in (x for x in held if x[0] < 0):
+                for b in pa.ipc.open_stream(packed):
+                    parts, word, pair, _ = _batch_words(b)
+                    own_w, own_p = _segment(word, segments), _segment(pair, segments)
+                    c, level = np.zeros(len(word), np.int64), np.zeros(len(pair), np.int64)
+                    for s in range(segments):
+                        c[own_w == s] = np.frombuffer(given[s][0], np.int64)
+                        level[own_p == s] = np.frombuffer(given[s][1], np.uint8)
+                    out = [_scores(at, c[np.searchsorted(word, h)], level[np.searchsorted(pair, bigrams(h, at)[1])], n, v, n_docs) for h, at in parts]
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), *_result(out)], ["doc_id", "rk", *FIELDS])
+
+        held, last = [], None
+        for b in batches:
+            for batch, *row in zip(*[b.column(c).to_pylist() for c in ("batch", "segment", "words", "pairs")], strict=True):
+                if last is not None and batch != last:
+                    yield from solve(held)
+                    held = []
+                last = batch
+                held.append(row)
+        if held:
+            yield from solve(held)
+
+    texts = docs.select("doc_id", "rk", "text")
+    own = tables.select(F.lit(None).cast("long").alias("batch"), "segment", "words", F.col("counts").alias("pairs"), "bits")
+    asked = texts.mapInArrow(ask, _ASKED).unionByName(own)
+    answers = asked.repartition(segments, "segment").sortWithinPartitions("segment", F.col("batch").asc_nulls_first()).mapInArrow(answer, _ASKED)
+    met = answers.unionByName(texts.mapInArrow(carry, _ASKED)).repartition(segments, "batch").sortWithinPartitions("batch", "segment")
+    return met.mapInArrow(score, "doc_id long, rk long, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 7, held_out: int = 2, most_bytes: int = 384 << 20) -> DataFrame:
@@ -252,7 +319,6 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 7, held_out:
     tables = stored(spark, segment_tables(gather(train, segments), segments), "model-segments")
     v, n, held = tables.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum(F.octet_length("bits") + 2 * F.octet_length("words"))).collect()[0]
     v, n, n_docs = v or 0, n or 0, n_docs or 0
-    fields = ["n_tokens", "n_known", "base_score", "score"]
     if (held or 0) <= most_bytes:
         got = tables.select("segment", "words", "counts", "bits").toArrow()
         word = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("words")] or [np.zeros(0, np.uint64)])
@@ -263,7 +329,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 7, held_out:
         shared = spark.sparkContext.broadcast((word[order], count[order], Filter(parts, segments), n, v, n_docs))
         del word, count, parts
         df, name = annotate(docs.select("doc_id", "rk", "text"), T._parse_datatype_string(RESULT), _per_batch, lambda: shared.value)
-        scored = df.select("doc_id", "rk", *[f"{name}.{f}" for f in fields])
+        scored = df.select("doc_id", "rk", *[f"{name}.{f}" for f in FIELDS])
     else:
-        scored = docs.select("doc_id", "rk").join(_score_by_joins(docs, tables, segments, n, v, n_docs), "rk")
+        scored = _score_by_exchange(docs, tables, segments, n, v, n_docs)
     return scored.select("doc_id", "rk", out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

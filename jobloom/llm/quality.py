@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobloom.llm.common import SPACED, Hashes, annotate, arrow_batches, crc_of_id, stored, words
+from jobloom.llm.common import SPACED, annotate, arrow_batches, crc_of_id, stored, word_hashes, words
 
 STATISTICS = ["log_bytes", "log_words", "word_bytes", "upper", "digit", "mark", "symbol", "exclaim", "high", "same_next", "distinct", "same_second", "lines", "line_again", "longest_word", "loud_words"]
 
@@ -49,8 +49,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     doc_of = np.repeat(np.arange(n), np.diff(offsets))
     count = np.bincount(doc_of * 8 + _CLASS[data], minlength=8 * n)[: 8 * n].reshape(n, 8).astype(float)
     lowered, start, end, at = words(data, offsets, SPACED)
-    hashes = Hashes(lowered)
-    h = hashes.of(start, end)
+    h = word_hashes(lowered, start, end)
     doc = np.repeat(np.arange(n), np.diff(at))
     n_words = np.diff(at).astype(float)
     some = np.maximum(n_words, 1)
@@ -77,7 +76,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line_start = line_start[line_start < len(data)]
     line_doc = doc_of[line_start] if len(data) else np.zeros(0, np.int64)
     line_end = np.minimum(np.append(line_start[1:], len(data)), offsets[line_doc + 1])
-    line = hashes.of(line_start, line_end)
+    line = word_hashes(lowered, line_start, line_end)
     n_lines = np.maximum(np.bincount(line_doc, minlength=n), 1)
     pair = np.unique(np.stack([line_doc.astype(np.uint64), line]), axis=1)[0].astype(np.int64) if len(line) else np.zeros(0, np.int64)
     again = 1 - np.bincount(pair, minlength=n) / n_lines

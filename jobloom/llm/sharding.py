@@ -93,13 +93,14 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 8, bits: int = 5)
             n += b.num_rows
 
     kept = stored(spark, ranged.drop("text_hash", "lang", "source").mapInArrow(numbered, "doc_id long, size long, text_crc32 long, curve_index long, part int, row long"), "sharding")
+    # One row a partition, which bounds both what the driver sees and what is broadcast.
     counts = sorted((r["part"], r["n"]) for r in kept.groupBy("part").agg(F.count("*").alias("n")).collect())
-    total = sum(n for _, n in counts)
-    begin, at = {}, 0
+    total, bases = 0, []
     for part, n in counts:
-        begin[part], at = at, at + n
-    base = F.create_map(*[F.lit(x) for pair in begin.items() for x in pair])[F.col("part")] if begin else F.lit(0)
-    rank = (base + F.col("row")).cast("long")
+        bases.append((part, total))
+        total += n
+    based = kept.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part")
+    rank = F.col("base") + F.col("row")
     # Shard s begins at the rank floor(s * total / shards).
     number = F.lit(0)
     start = F.lit(0).cast("long")
@@ -107,4 +108,4 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = 8, bits: int = 5)
         cut = s * total // shards
         number = F.when(rank >= cut, s).otherwise(number)
         start = F.when(rank >= cut, F.lit(cut).cast("long")).otherwise(start)
-    return kept.select("doc_id", "size", "text_crc32", "curve_index", number.cast("int").alias("shard"), (rank - start).cast("long").alias("slot"))
+    return based.select("doc_id", "size", "text_crc32", "curve_index", number.cast("int").alias("shard"), (rank - start).cast("long").alias("slot"))

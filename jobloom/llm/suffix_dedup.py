@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import Hashes, arrow_batches, buffers, keyed, mix, runs, stored
+from jobloom.llm.common import Hashes, arrow_batches, buffers, free_name, keyed, mix, runs, stored
 
 DEPTH = 400
 GRAM = 48
@@ -70,12 +70,24 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram:
     return doc[first], grams[at].view(np.int64), stretch.view(np.int64), first, last, at
 
 
+def _pieces(data: np.ndarray, offsets: np.ndarray, depth: int, piece: int = 8 << 20):
+    """(place of the piece's start in its text, bytes, offsets); a longer single text comes in pieces
+    that overlap by depth - 1 bytes. Its windows are the same; runs that a cut shortens are told apart or
+    found equal by single windows."""
+    if len(offsets) > 2 or len(data) <= piece:
+        yield 0, data, offsets
+        return
+    for at in range(0, max(len(data) - depth + 1, 1), piece):
+        own = data[at : at + piece + depth - 1]
+        yield at, own, np.array([0, len(own)])
+
+
 def anchors(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     def task(batches):
         for b in batches:
-            for i, _, data, offsets in arrow_batches(b, "text"):
+            for i, begin, data, offsets in ((i, *p) for i, _, d, o in arrow_batches(b, "text") for p in _pieces(d, o, depth)):
                 doc, g, s, first, last, at = anchors_of(data, offsets, depth, gram)
-                base = offsets[doc]
+                base = offsets[doc] - begin
                 rk = b.column("rk").to_numpy()[i + doc]
                 yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(g, pa.int64()), pa.array(s, pa.int64()), *[pa.array(x - base, pa.int32()) for x in (first, last, at)]], ["rk", "gram", "stretch", "first", "last", "at"])
 
@@ -244,9 +256,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, wit
 def replace_texts(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """docs with text (and n_chars, if there is one) of what is left; other columns stay as they are. A text
     that has no repeated window, null included, stays as it is."""
-    key, found_name = "_rk", "_found"
-    while key in docs.columns or found_name in docs.columns:
-        key, found_name = key + "_", found_name + "_"
+    key, found_name = free_name(docs, "_rk"), free_name(docs, "_found")
     found = repeated_runs(spark, keyed(docs), depth).groupBy("rk").agg(F.collect_set(F.struct("first", "last")).alias(found_name)).withColumnRenamed("rk", key)
     marked = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))).join(found, key, "left")
 

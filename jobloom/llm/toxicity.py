@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobloom.llm.common import ALNUM, Hashes, annotate, arrow_batches, crc_of_id, words
+from jobloom.llm.common import ALNUM, annotate, arrow_batches, crc_of_id, word_hashes, words
 
 BITS = 20
 
@@ -28,7 +28,7 @@ BITS = 20
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Text number and slot of every n-gram's and skip-gram's place; not yet distinct."""
     data, start, end, at = words(data, offsets, ALNUM)
-    h = Hashes(data).of(start, end)
+    h = word_hashes(data, start, end)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     down = np.uint64(64 - bits)
     found_doc, found = [doc], [h >> down]

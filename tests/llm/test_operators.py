@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobloom.llm import decontamination, jaccard, language_model, licenses, neighbours, packing, quality, sharding, suffix_dedup, toxicity
 from jobloom.llm import queries as Q
+from jobloom.llm import common
 from jobloom.llm.common import keyed
 from tests.llm import plain
 
@@ -17,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 def frame(spark, rows, extra=False):
     df = spark.createDataFrame([(d, t, "en", "s1", len(t or "")) for d, t in rows], DOCS)
     if extra:  # names that the operators use themselves
-        for name in ("rk", "n_words", "score", "_result", "gram", "component", "label", "batch"):
+        for name in ("rk", "n_words", "score", "_result", "gram", "component", "label", "batch", "_rk", "_found", "_row", "_items"):
             df = df.withColumn(name, F.lit("x"))
     return df
 
@@ -288,3 +289,21 @@ def test_empty_tables(spark, run):
 
 def test_keys_of_equal_rows(spark):
     assert keyed(frame(spark, [(1, None), (1, ""), (1, "a")])).select("rk").distinct().count() == 2
+
+
+def test_long_texts_are_hashed_in_pieces():
+    data = np.frombuffer("".join(random.Random(1).choices("ab \n", k=5000)).encode(), np.uint8)
+    lowered, start, end, _ = common.words(data, np.array([0, len(data)]))
+    whole = common.Hashes(lowered).of(start, end)
+    for piece in (1, 7, 100, 4999):
+        assert (common.word_hashes(lowered, start, end, piece) == whole).all()
+    rows = [r for r in made() if r[1] and len(r[1]) > 900][:12]
+    assert rows
+    for _, text in rows:  # the pieces' windows are the text's
+        data = np.frombuffer(text.encode(), np.uint8)
+        windows = np.zeros(max(len(data) - 399, 0), int)
+        for begin, own, offsets in suffix_dedup._pieces(data, np.array([0, len(data)]), 400, 500):
+            *_, first, last, _ = suffix_dedup.anchors_of(own, offsets)
+            for a, b in zip(first + begin, last + begin, strict=True):
+                windows[a : b + 1] += 1
+        assert (windows == 1).all()
