@@ -68,8 +68,9 @@ def relevance_score(reasons) -> Column:
 def enrich(postings: DataFrame, allowed: list[str] | None = None) -> DataFrame:
     """postings with everything that the ingest derives from a posting, and where it would be rejected."""
     place = X.normalize_location(F.split("location_uae", ",")[0], F.concat_ws(" ", X.safe("location_uae"), X.safe("emirate")), F.lit(None).cast("string"))
-    every = F.concat_ws(" ", X.safe("title"), X.safe("description"), X.safe("requirements"))
-    out = postings.withColumns(
+    every = F.lower(F.concat_ws(" ", X.safe("title"), X.safe("description"), X.safe("requirements")))
+    # A column of its own: 63 patterns read it.
+    out = postings.withColumn("_every", every).withColumns(
         {
             "reject_reason": reject_reason("title", "location_uae", F.lit("AE"), "description"),
             "normalized_title": X.normalize_title("title"),
@@ -77,10 +78,10 @@ def enrich(postings: DataFrame, allowed: list[str] | None = None) -> DataFrame:
             "_place": place,
             "work_mode": X.classify_work_mode("title", "description", "remote_uae"),
             "seniority": X.classify_seniority("title", "description"),
-            "technologies": X.extract_technologies(F.lower(every)),
+            "technologies": X.extract_technologies("_every"),
         }
     )
-    out = out.withColumns({"city": F.col("_place.city"), "country": F.col("_place.country"), "emirate": F.coalesce("_place.emirate", "emirate")}).drop("_place")
+    out = out.withColumns({"city": F.col("_place.city"), "country": F.col("_place.country"), "emirate": F.coalesce("_place.emirate", "emirate")}).drop("_place", "_every")
     out = out.withColumn("relevance_reasons", relevance_reasons("title", "description", F.size("technologies")))
     out = out.withColumns({"relevance_score": relevance_score("relevance_reasons"), "dedup_hash": X.dedup_hash("normalized_company_name", "normalized_title", "city")})
     stage = X.first_match(

@@ -441,10 +441,18 @@ def l3(v: Views):
     return dedup.match_fuzzy(named.where(~early).drop("is_active"), named.where(early).withColumnRenamed("seq", "id")).select("seq", "l3_id")
 
 
+def _kept(v: Views, name: str, df):
+    """df as a table in the shared folder."""
+    path = _shared_folder(v, name)
+    df.write.parquet(path)
+    return v.spark.read.schema(df.schema).parquet(path)
+
+
 @query("h04_upsert_postings")
 def upsert(v: Views):
-    jobs = _job_table(v)
-    batch = dedup.resolve(_batch(v).where("reject_stage is null"), jobs)
+    # Each side is read by three matchers, so it is worked out once.
+    jobs, new = (_kept(v, name, df) for name, df in (("jobs", _job_table(v)), ("batch", _batch(v).where("reject_stage is null"))))
+    batch = dedup.resolve(new, jobs)
     new = batch.withColumns({"id": F.col("seq") + 10_000_000, "is_active": F.lit(True), "last_seen_at": F.lit(NOW).cast("timestamp"), "duplicate_source_count": F.lit(0), "expires_at": F.lit(NOW).cast("timestamp") + F.expr("INTERVAL 30 DAYS")})
     return dedup.upsert_postings(jobs, new, NOW).drop("seq")
 

@@ -128,3 +128,20 @@ def test_posted_at(value):
     assert str(value(X.posted_at("t", "offset"), t="2024-01-25T04:00:00+04:00")) == "2024-01-25 00:00:00"
     assert value(X.posted_at("t", "datetime"), t="soon") is None
     assert str(value(X.posted_at("t", "day"), t="2024-01-25T10:00")) == "2024-01-25 00:00:00"
+
+
+def test_literals_are_in_every_match():
+    import random
+    import re
+
+    from jobloom.functions import rules
+
+    r = random.Random(1)
+    for key, pattern, name in rules.TECHNOLOGIES:
+        found = X.literals(pattern)
+        assert all(len(x) > 1 for x in found), (key, found)
+        words = [*found, key, name.lower(), "js", "react  native", "nextjs", "next.js", "oauth2", "springmvc", "nodejs", "k8s", "go", "x", "c#", ".net"]
+        for _ in range(300):
+            text = r.choice([" ", "", "-"]).join(r.choice(words) for _ in range(3))
+            if re.search("(?i)" + pattern, text):
+                assert any(x in text for x in found), (key, text)
