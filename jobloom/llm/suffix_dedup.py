@@ -9,8 +9,9 @@ Digits are taken most significant first, and only groups that still hold several
 3. where one gram has several stretches, one of each is read again and its single windows, 400 bytes deep,
    are sorted; equal groups are exactly the repeated windows.
 
-The first two digits are counted by aggregations that combine before the shuffle, and joined back, where
-AQE splits hot groups; rows hold hashes and positions, no text. In the third, a gram's group is sorted in
+The first two digits are counted by aggregations that combine before the shuffle, and joined back; keys
+with over a thousandth of all anchors are looked up in a list of at most a thousand instead. Rows hold hashes
+and positions, no text. In the third, a gram's group is sorted in
 one task if it has at most `most_stretches` different stretches (about 600 bytes each); the windows of
 larger groups are counted by another aggregation over window hashes, so no task holds such a group.
 
@@ -34,6 +35,7 @@ from jobloom.llm.common import Hashes, arrow_batches, buffers, free_name, keyed,
 
 DEPTH = 400
 GRAM = 48
+HOT_KEYS, LEAST_HOT = 1000, 100
 ANCHORS = "rk long, gram long, stretch long, first int, last int, at int"
 RUNS = "rk long, first int, last int"
 
@@ -162,17 +164,27 @@ def _sorted_groups(depth: int, most_bytes: int = 8 << 20):
 def repeated_runs(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, most_stretches: int = 20_000) -> DataFrame:
     """rk, first and last of runs of window starts that are repeated; docs is keyed()."""
     every = stored(spark, anchors(docs, depth, gram), "suffix-anchors")
+    # A key with more than a thousandth of all anchors is hot; there are at most a thousand of those, so they
+    # are handed to every task as a list. The rows of all other keys are joined.
+    hot_at = max(every.count() // HOT_KEYS, LEAST_HOT)
     groups = every.groupBy("gram").agg(F.count("*").alias("n_gram"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n_gram > 1")
-    # Stored before the join: a join that shares the aggregation's shuffle could not split a hot gram.
-    groups = stored(spark, groups.select("gram", (F.col("low") != F.col("high")).alias("several")), "suffix-grams")
-    going = stored(spark, every.join(groups, "gram"), "suffix-groups")
+    # Stored before the join: a join that shares the aggregation's shuffle could not split a large gram.
+    groups = stored(spark, groups.select("gram", "n_gram", (F.col("low") != F.col("high")).alias("several")), "suffix-grams")
+    hot = {r["gram"]: r["several"] for r in groups.where(F.col("n_gram") > hot_at).select("gram", "several").collect()}
+    cold = every.where(~F.col("gram").isin(list(hot))).join(groups.where(F.col("n_gram") <= hot_at).select("gram", "several"), "gram")
+    heated = every.where(F.col("gram").isin(list(hot))).withColumn("several", F.col("gram").isin([g for g, several in hot.items() if several]))
+    going = stored(spark, cold.unionByName(heated), "suffix-groups")
     # One stretch only: all are repeated. Else a stretch's own group decides.
     alike = going.where("not several").select("rk", "first", "last")
     mixed = going.where("several")
     member = F.struct("rk", "first", "last", "at")
     stretches = mixed.groupBy("gram", "stretch").agg(F.count("*").alias("n"), F.min(member).alias("m"))
     stretches = stored(spark, stretches.select("gram", "stretch", "n", "m.*"), "suffix-stretches")
-    equal = mixed.join(stretches.where("n > 1").select("gram", "stretch"), ["gram", "stretch"]).select("rk", "first", "last")
+    # A stretch's hash covers its gram, so it may stand for both.
+    hot_stretches = [r["stretch"] for r in stretches.where(F.col("n") > hot_at).select("stretch").collect()]
+    again = stretches.where((F.col("n") > 1) & (F.col("n") <= hot_at)).select("gram", "stretch")
+    equal = mixed.where(~F.col("stretch").isin(hot_stretches)).join(again, ["gram", "stretch"]).select("rk", "first", "last")
+    equal = equal.unionByName(mixed.where(F.col("stretch").isin(hot_stretches)).select("rk", "first", "last"))
 
     per_gram = stretches.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least"))
     # Without a stretch that occurs once there is nothing left to decide.

@@ -64,6 +64,7 @@ SUFFIX = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 def test_suffix_dedup_is_brute_force(spark, monkeypatch, most):
     rows = made()
     full = suffix_dedup.repeated_runs
+    monkeypatch.setattr(suffix_dedup, "LEAST_HOT", 100 if most > 1 else 2)
     monkeypatch.setattr(suffix_dedup, "repeated_runs", lambda s, d, depth: full(s, d, depth, most_stretches=most))
     assert as_rows(suffix_dedup.remove_repeats(spark, frame(spark, rows, extra=True)), *SUFFIX) == sorted(plain.repeats(rows), key=repr)
 
