@@ -117,7 +117,7 @@ def _found(rk, first, owner, hit) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rk[own], pa.int64()), pa.array(first[own] + begins - base[own], pa.int32()), pa.array(first[own] + ends - base[own], pa.int32())], ["rk", "first", "last"])
 
 
-def _sorted_groups(depth: int, most_bytes: int = 8 << 20):
+def _sorted_groups(depth: int, most_bytes: int = 4 << 20):
     """Over stretches sorted by gram: the repeated windows of stretches whose own group had one member."""
 
     def search(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -202,8 +202,8 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, gram
             rk = b.column("rk").to_numpy()[row]
             start, size = offsets[row] + first, last - first + depth
             at = np.concatenate(([0], np.cumsum(size)))
-            for i in range(0, len(row), 20_000):
-                j = min(i + 20_000, len(row))
+            for i in range(0, len(row), 8000):
+                j = min(i + 8000, len(row))
                 body = data[np.repeat(start[i:j] - at[i:j], size[i:j]) + np.arange(at[i], at[j])]
                 column = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((at[i : j + 1] - at[i]).astype(np.int32)), pa.py_buffer(body)])
                 yield pa.RecordBatch.from_arrays([flat.field("gram")[i:j], flat.field("n")[i:j], pa.array(rk[i:j]), flat.field("first")[i:j], flat.field("large")[i:j], column], ["gram", "n", "rk", "first", "large", "body"])
