@@ -23,8 +23,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with what is left of their texts after repeated 400-byte windows are removed; n_chars follows
-    the text. A text of which nothing is left stays as an empty text."""
+    """Rows with what is left of their texts after repeated passages of over 50 words, and repeated 400-byte
+    windows, are removed; n_chars follows the text. A text of which nothing is left stays as an empty text."""
     return suffix_dedup.replace_texts(spark, docs)
 
 

@@ -31,24 +31,44 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import Hashes, arrow_batches, buffers, free_name, keyed, mix, runs, stored
+from jobloom.llm.common import Hashes, arrow_batches, buffers, free_name, keyed, mix, runs, slices, stored, word_hashes, words
 
 DEPTH = 400
+#: For replace_texts: a passage of over 50 words is one of this many or more.
+WORDS = 51
+WORD_GRAM = 6
+#: Bytes of a word's hash: the unit in which lengths and places of word windows count; that of byte windows is 1.
+SYMBOL = 8
 GRAM = 48
 HOT_KEYS, LEAST_HOT = 1000, 100
 ANCHORS = "rk long, gram long, stretch long, first int, last int, at int"
 RUNS = "rk long, first int, last int"
 
 
-def anchors_of(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram: int = GRAM):
+def written(data: np.ndarray, offsets: np.ndarray, unit: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes themselves, or for words (runs of anything but white space) their 64-bit hashes one after
+    another, so that equal runs of words are equal windows; and offsets."""
+    if unit == 1:
+        return data, offsets
+    parts, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for i, j in slices(offsets):
+        own = data[offsets[i] : offsets[j]]
+        _, start, end, first = words(own, offsets[i : j + 1] - offsets[i])
+        parts.append(word_hashes(own, start, end))
+        counts.append(np.diff(first))
+    return np.concatenate(parts).view(np.uint8), np.cumsum(np.concatenate(counts)) * unit
+
+
+def anchors_of(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram: int = GRAM, unit: int = 1):
     """For every anchor: text number, gram hash, stretch hash, first and last window, its own place;
-    places count from the buffer's start."""
-    n, width = len(data), depth - gram + 1
+    places count from the buffer's start, in units."""
+    offsets = offsets // unit
+    n, width = len(data) // unit, depth - gram + 1
     nothing = np.zeros(0, np.int64)
     if n < depth:
         return nothing, nothing, nothing, nothing, nothing, nothing
     hashes = Hashes(data)
-    grams = hashes.windows(gram)
+    grams = hashes.windows(gram * unit)[::unit]
     low = np.uint64(32)  # one constant, so that equal windows choose alike in every buffer
     places = np.arange(len(grams), dtype=np.uint64)
     value = ((grams >> low) << low) | places  # ties: the leftmost
@@ -68,40 +88,40 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram:
     keep = best[first] >= 0
     first, last = first[keep], last[keep]
     at = best[first]
-    stretch = mix(hashes.of(first, last + depth) + (at - first).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    stretch = mix(hashes.of(first * unit, (last + depth) * unit) + (at - first).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
     return doc[first], grams[at].view(np.int64), stretch.view(np.int64), first, last, at
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray, depth: int, piece: int = 8 << 20):
+def _pieces(data: np.ndarray, offsets: np.ndarray, depth: int, piece: int = 8 << 20, unit: int = 1):
     """(place of the piece's start in its text, bytes, offsets); a longer single text comes in pieces
     that overlap by depth - 1 bytes. Its windows are the same; runs that a cut shortens are told apart or
     found equal by single windows."""
     if len(offsets) > 2 or len(data) <= piece:
         yield 0, data, offsets
         return
-    for at in range(0, max(len(data) - depth + 1, 1), piece):
-        own = data[at : at + piece + depth - 1]
+    for at in range(0, max(len(data) - depth * unit + 1, 1), piece):
+        own = data[at : at + piece + (depth - 1) * unit]
         yield at, own, np.array([0, len(own)])
 
 
-def anchors(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
+def anchors(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, unit: int = 1) -> DataFrame:
     def task(batches):
         for b in batches:
-            for i, begin, data, offsets in ((i, *p) for i, _, d, o in arrow_batches(b, "text") for p in _pieces(d, o, depth)):
-                doc, g, s, first, last, at = anchors_of(data, offsets, depth, gram)
-                base = offsets[doc] - begin
+            for i, begin, data, offsets in ((i, *p) for i, _, d, o in arrow_batches(b, "text") for p in _pieces(*written(d, o, unit), depth, unit=unit)):
+                doc, g, s, first, last, at = anchors_of(data, offsets, depth, gram, unit)
+                base = (offsets[doc] - begin) // unit
                 rk = b.column("rk").to_numpy()[i + doc]
                 yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(g, pa.int64()), pa.array(s, pa.int64()), *[pa.array(x - base, pa.int32()) for x in (first, last, at)]], ["rk", "gram", "stretch", "first", "last", "at"])
 
     return docs.mapInArrow(task, ANCHORS)
 
 
-def window_hashes(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(data: np.ndarray, offsets: np.ndarray, depth: int, unit: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Stretch number and hash of every window of the stretches."""
-    count = np.maximum(np.diff(offsets) - depth + 1, 0)
+    count = np.maximum(np.diff(offsets) // unit - depth + 1, 0)
     owner = np.repeat(np.arange(len(count)), count)
-    start = offsets[:-1][owner] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return owner, Hashes(data).of(start, start + depth)
+    start = offsets[:-1][owner] + unit * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    return owner, Hashes(data).of(start, start + depth * unit)
 
 
 def _found(rk, first, owner, hit) -> pa.RecordBatch:
@@ -117,13 +137,13 @@ def _found(rk, first, owner, hit) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rk[own], pa.int64()), pa.array(first[own] + begins - base[own], pa.int32()), pa.array(first[own] + ends - base[own], pa.int32())], ["rk", "first", "last"])
 
 
-def _sorted_groups(depth: int, most_bytes: int = 4 << 20):
+def _sorted_groups(depth: int, most_bytes: int = 4 << 20, unit: int = 1):
     """Over stretches sorted by gram: the repeated windows of stretches whose own group had one member."""
 
     def search(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(tables).combine_chunks()
         data, offsets = buffers(t.column("body"))
-        owner, h = window_hashes(data, offsets, depth)
+        owner, h = window_hashes(data, offsets, depth, unit)
         h = mix(h ^ (t.column("gram").to_numpy()[owner].view(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
         order = np.argsort(h, kind="stable")
         same = np.zeros(len(h), bool)
@@ -161,9 +181,10 @@ def _sorted_groups(depth: int, most_bytes: int = 4 << 20):
     return task
 
 
-def repeated_runs(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, most_stretches: int = 20_000) -> DataFrame:
-    """rk, first and last of runs of window starts that are repeated; docs is keyed()."""
-    every = stored(spark, anchors(docs, depth, gram), "suffix-anchors")
+def repeated_runs(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, most_stretches: int = 20_000, unit: int = 1) -> DataFrame:
+    """rk, first and last of runs of window starts that are repeated; docs is keyed(). With the unit SYMBOL,
+    depth, gram and places count words instead of bytes."""
+    every = stored(spark, anchors(docs, depth, gram, unit), "suffix-anchors")
     # A key with more than a thousandth of all anchors is hot; there are at most a thousand of those, so they
     # are handed to every task as a list. The rows of all other keys are joined.
     hot_at = max(every.count() // HOT_KEYS, LEAST_HOT)
@@ -194,13 +215,13 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, gram
 
     def bodies(batches):
         for b in batches:
-            data, offsets = buffers(b.column("text"))
+            data, offsets = written(*buffers(b.column("text")), unit)
             lists = b.column("wanted")
             row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten()
             first, last = (flat.field(f).to_numpy().astype(np.int64) for f in ("first", "last"))
             rk = b.column("rk").to_numpy()[row]
-            start, size = offsets[row] + first, last - first + depth
+            start, size = offsets[row] + first * unit, (last - first + depth) * unit
             at = np.concatenate(([0], np.cumsum(size)))
             for i in range(0, len(row), 8000):
                 j = min(i + 8000, len(row))
@@ -212,12 +233,12 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, gram
     stretched = texts.select("rk", "text", "wanted").mapInArrow(bodies, "gram long, n long, rk long, first int, large boolean, body binary")
     stretched = stored(spark, stretched, "suffix-bodies")
     plain = stretched.where("not large").select("gram", "n", "rk", "first", "body")
-    small = plain.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups(depth), RUNS)
+    small = plain.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups(depth, unit=unit), RUNS)
 
     def hashed(batches):
         for b in batches:
             data, offsets = buffers(b.column("body"))
-            owner, h = window_hashes(data, offsets, depth)
+            owner, h = window_hashes(data, offsets, depth, unit)
             count = np.bincount(owner, minlength=b.num_rows)
             step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(b.column("rk").to_numpy()[owner]), pa.array((b.column("first").to_numpy()[owner] + step).astype(np.int32)), pa.array(b.column("n").to_numpy()[owner])], ["h", "rk", "place", "n"])
@@ -228,12 +249,25 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, gram
     return alike.unionByName(equal).unionByName(small).unionByName(large)
 
 
-def _kept(texts: pa.Array, lists: pa.ListArray, depth: int):
-    """For each text: bytes, removed bytes, removed runs and what is left."""
+def repeated_word_runs(spark: SparkSession, docs: DataFrame, n_words: int = WORDS) -> DataFrame:
+    """rk, first and last of runs of words of which the n_words that begin there are repeated; docs is keyed()."""
+    return repeated_runs(spark, docs, n_words, WORD_GRAM, unit=SYMBOL)
+
+
+def _kept(texts: pa.Array, lists: pa.ListArray, depth: int, n_words: int = WORDS):
+    """For each text: bytes, removed bytes, removed runs and what is left. Runs are windows of depth bytes, or
+    of n_words words where a field by_word says so."""
     data, offsets = buffers(texts)
     at = lists.offsets.to_numpy()
     flat = lists.flatten()
+    at = at - at[0]
     first, last = (flat.field(f).to_numpy().astype(np.int64) for f in ("first", "last"))
+    end = last + depth
+    if flat.type.get_field_index("by_word") >= 0 and len(flat):
+        k = np.flatnonzero(flat.field("by_word").to_numpy(zero_copy_only=False))
+        _, starts, ends, word = words(data, offsets)
+        own = np.repeat(np.arange(len(at) - 1), np.diff(at))[k]
+        first[k], end[k] = starts[word[own] + first[k]] - offsets[own], ends[word[own] + last[k] + n_words - 1] - offsets[own]
     for d in range(len(offsets) - 1):
         own = data[offsets[d] : offsets[d + 1]]
         if at[d] == at[d + 1]:
@@ -241,7 +275,7 @@ def _kept(texts: pa.Array, lists: pa.ListArray, depth: int):
             continue
         edge = np.zeros(len(own) + 1, np.int32)
         np.add.at(edge, first[at[d] : at[d + 1]], 1)
-        np.add.at(edge, last[at[d] : at[d + 1]] + depth, -1)
+        np.add.at(edge, end[at[d] : at[d + 1]], -1)
         gone = np.cumsum(edge[:-1]) > 0
         yield len(own), int(gone.sum()), len(runs(gone)[0]), own[~gone]
 
@@ -265,11 +299,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, wit
     return rows.mapInArrow(task, "doc_id long, rk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)
 
 
-def replace_texts(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """docs with text (and n_chars, if there is one) of what is left; other columns stay as they are. A text
-    that has no repeated window, null included, stays as it is."""
+def replace_texts(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, n_words: int = WORDS) -> DataFrame:
+    """docs with text (and n_chars, if there is one) of what is left after repeated passages of n_words words
+    and repeated windows of depth bytes are removed; the latter cover passages with few spaces. Other columns stay
+    as they are. A text that has no repeat, null included, stays as it is."""
     key, found_name = free_name(docs, "_rk"), free_name(docs, "_found")
-    found = repeated_runs(spark, keyed(docs), depth).groupBy("rk").agg(F.collect_set(F.struct("first", "last")).alias(found_name)).withColumnRenamed("rk", key)
+    own = keyed(docs)
+    both = repeated_runs(spark, own, depth).withColumn("by_word", F.lit(False)).unionByName(repeated_word_runs(spark, own, n_words).withColumn("by_word", F.lit(True)))
+    found = both.groupBy("rk").agg(F.collect_set(F.struct("first", "last", "by_word")).alias(found_name)).withColumnRenamed("rk", key)
     marked = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))).join(found, key, "left")
 
     names = docs.columns
@@ -278,7 +315,7 @@ def replace_texts(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> D
         for b in batches:
             lists = b.column(found_name)
             cut = pa.compute.is_valid(lists)
-            texts = [g[3].tobytes().decode("utf-8", "ignore") for g in _kept(b.column("text"), lists, depth)]
+            texts = [g[3].tobytes().decode("utf-8", "ignore") for g in _kept(b.column("text"), lists, depth, n_words)]
             text = pa.compute.if_else(cut, pa.array(texts, pa.string()), b.column("text"))
             out = {n: b.column(n) for n in names}
             out["text"] = text

@@ -1,5 +1,8 @@
 """Each stage against a brute-force version on its own input, and the whole run."""
 
+import random
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
@@ -25,6 +28,10 @@ def rows(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 
 
+def plain_words(text):
+    return (text or "").split()
+
+
 def test_columns(stages):
     for df in stages[:-1]:
         assert df.schema.simpleString() == stages[0].schema.simpleString()
@@ -75,3 +82,25 @@ def test_stages_take_odd_rows(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_short_passages_of_51_words_go(spark):
+    """Repeated passages of 51 words under 400 bytes go, against brute force over words; those of 50 stay."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    some = lambda n: [word() for _ in range(n)]
+    long, short = some(51), some(50)
+    assert len(" ".join(long)) < 400
+    texts = [" ".join(some(r.randint(0, 90)) + (long if i % 3 == 0 else short if i % 3 == 1 else []) + some(r.randint(0, 90))) for i in range(30)]
+    texts += ["\n".join(long), " ".join(long[:50]), " ".join(long[:25]), " ".join(long[25:]), "é " + "  ".join(long) + " é", "", None]
+    seen = Counter(tuple(w[i : i + 51]) for w in (plain_words(t) for t in texts) for i in range(len(w) - 50))
+    want = {}
+    for doc, t in enumerate(texts):
+        w = plain_words(t)
+        gone = {j for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)}
+        want[doc] = [x for j, x in enumerate(w) if j not in gone]
+    assert want[0] and want[30] == [] and want[34] == ["é", "é"] and len(want[1]) >= 50 and len(want[31]) == 50
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r for r in dict(corpus_pipeline.STAGES)["suffix-array dedup"](spark, docs, SF).collect()}
+    assert {d: plain_words(r["text"]) for d, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"] or "") for r in got.values())
