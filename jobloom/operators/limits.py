@@ -33,44 +33,52 @@ def take(times: list[int], capacity: int, period: int, state: list) -> list[bool
     return out
 
 
-def sliding_admission(events: DataFrame, limit: int, window_seconds: int) -> DataFrame:
-    """events (key, id, ts) with admitted. Each key's events are folded in order; an event's fate depends on
-    those before it, so no aggregate expresses it. Keys that never reach the limit inside a window, nearly
-    all of them, are settled by a window count; only hot stretches go through the fold, cut where the
-    key was silent for a whole window, so that no task gets all of a key."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+def _folded(timed: DataFrame, names: list[str], schema, step, start) -> DataFrame:
+    """Rows of timed (key, _t, id) folded by step(times, state) in order, each key from start() on. Tasks read
+    sorted batches and carry one key's state from batch to batch, so memory does not grow with a key."""
+
+    def task(batches):
+        key, state = object(), None
+        for pdf in batches:
+            parts = []
+            for k, own in pdf.groupby("key", sort=False, dropna=False):
+                k = None if pd.isna(k) else k
+                if k != key:
+                    key, state = k, start()
+                parts.append(pd.Series(step(own["_t"].tolist(), state), own.index, dtype=bool))
+            if parts:
+                pdf["admitted"] = pd.concat(parts)
+                yield pdf[[*names, "admitted"]]
+
+    return timed.repartition("key").sortWithinPartitions("key", "_t", "id").mapInPandas(task, schema)
+
+
+def _limited(events: DataFrame, most: int, seconds: int, step, start) -> DataFrame:
+    """events with admitted: runs of at most `most` events between silences of `seconds` are let in whole, the
+    others are folded. A silence brings the state back to start()'s, so leaving runs out changes nothing."""
     by_key = Window.partitionBy("key").orderBy("_t", "id")
-    gap = (F.col("_t") - F.lag("_t").over(by_key)) >= window_seconds * 1_000_000
-    timed = events.withColumn("_t", micros).withColumn("_run", F.sum(F.coalesce(gap, F.lit(True)).cast("long")).over(by_key))
+    gap = (F.col("_t") - F.lag("_t").over(by_key)) >= seconds * 1_000_000
+    timed = events.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_run", F.sum(F.coalesce(gap, F.lit(True)).cast("long")).over(by_key))
     sized = timed.withColumn("_n", F.count("*").over(Window.partitionBy("key", "_run")))
     names = events.columns
-    quiet = sized.where(F.col("_n") <= limit).select(*events.columns, F.lit(True).alias("admitted"))
+    quiet = sized.where(F.col("_n") <= most).select(*names, F.lit(True).alias("admitted"))
+    return quiet.unionByName(_folded(sized.where(F.col("_n") > most).select(*names, "_t"), names, quiet.schema, step, start))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", "id"])
-        pdf["admitted"] = admit(pdf["_t"].tolist(), limit, window_seconds * 1_000_000, [])
-        return pdf[[*names, "admitted"]]
 
-    schema = quiet.schema
-    return quiet.unionByName(sized.where(F.col("_n") > limit).groupBy("key", "_run").applyInPandas(fold, schema))
+def sliding_admission(events: DataFrame, limit: int, window_seconds: int) -> DataFrame:
+    """events (key, id, ts) with admitted. Each key's events are folded in order; an event's fate depends on
+    those before it, so no aggregate expresses it. Keys that never reach the limit inside a window, nearly
+    all of them, are settled by a window count; the rest is folded batch by batch with at most limit times held.
+    All of a key's hot stretches pass through one task, but not through its memory at once."""
+    window = window_seconds * 1_000_000
+    return _limited(events, limit, window_seconds, lambda times, held: admit(times, limit, window, held), list)
 
 
 def token_bucket(events: DataFrame, capacity: int, period_seconds: int) -> DataFrame:
     """events with admitted, by a bucket per key. After a silence of a whole period the bucket is full again,
-    so the key is cut there; a run of at most capacity events is let in whole."""
-    by_key = Window.partitionBy("key").orderBy("_t", "id")
-    gap = (F.col("_t") - F.lag("_t").over(by_key)) >= period_seconds * 1_000_000
-    timed = events.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_run", F.sum(F.coalesce(gap, F.lit(True)).cast("long")).over(by_key))
-    sized = timed.withColumn("_n", F.count("*").over(Window.partitionBy("key", "_run")))
-    names = events.columns
-    quiet = sized.where(F.col("_n") <= capacity).select(*names, F.lit(True).alias("admitted"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", "id"])
-        pdf["admitted"] = take(pdf["_t"].tolist(), capacity, period_seconds * 1_000_000, [capacity, None])
-        return pdf[[*names, "admitted"]]
-
-    return quiet.unionByName(sized.where(F.col("_n") > capacity).groupBy("key", "_run").applyInPandas(fold, quiet.schema))
+    so a run of at most capacity events is let in whole; the rest is folded with tokens and time held."""
+    period = period_seconds * 1_000_000
+    return _limited(events, capacity, period_seconds, lambda times, state: take(times, capacity, period, state), lambda: [capacity, None])
 
 
 def sliding_count(key: str, ts: str, window_seconds: int) -> Column:

@@ -109,6 +109,21 @@ def test_limiters_equal_a_fold(spark):
     assert sorted(r["id"] for r in limits.sliding_admission(burst, 10, 60).where("not admitted").collect()) == [10]
 
 
+def test_limiters_hold_no_whole_run(spark):
+    """One key without a silence, in batches far smaller than its run: none sees more rows than a batch."""
+    rows = [("k", i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=7 * i)) for i in range(500)] + [(None, 500 + i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=7 * i)) for i in range(50)]
+    events = spark.createDataFrame(rows, "key string, id long, ts timestamp")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        for df, step, start in ((limits.sliding_admission(events, 3, 60), lambda t, s: limits.admit(t, 3, 60_000_000, s), list), (limits.token_bucket(events, 3, 60), lambda t, s: limits.take(t, 3, 60_000_000, s), lambda: [3, None])):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan
+            assert {r["id"]: r["admitted"] for r in df.collect()} == _fold(rows, step, start)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def _land(spark, df, path, parts):
     for k in range(parts):
         df.where(F.col("id") % parts == k if parts > 1 else F.lit(True)).coalesce(1).write.mode("append").parquet(path)
