@@ -106,12 +106,18 @@ def resolve_batch(batch: DataFrame, least: float = SIMILARITY) -> DataFrame:
         context.setCheckpointDir(batch.sparkSession.conf.get("spark.checkpoint.dir", f"/tmp/jobloom-checkpoints/{context.applicationId}"))
     pairs = keyed.select("seq", F.explode(keys).alias("key"))
     label = pairs.groupBy("seq").agg(F.min("seq").alias("chain"))
-    for _ in range(40):
+    for _ in range(60):
         low = pairs.join(label, "seq").groupBy("key").agg(F.min("chain").alias("low"))
-        new = pairs.join(low, "key").groupBy("seq").agg(F.min("low").alias("chain")).checkpoint()
-        if new.join(label.withColumnRenamed("chain", "old"), "seq").where("chain <> old").isEmpty():
-            break
+        lower = pairs.join(low, "key").groupBy("seq").agg(F.min("low").alias("chain"))
+        # A label is a row too: take that row's label.
+        jump = label.select(F.col("seq").alias("chain"), F.col("chain").alias("far"))
+        new = lower.join(jump, "chain").select("seq", F.col("far").alias("chain")).checkpoint()
+        settled = new.join(label.withColumnRenamed("chain", "old"), "seq").where("chain <> old").isEmpty()
         label = new
+        if settled:
+            break
+    else:
+        raise RuntimeError("chains of shared keys did not settle in 60 rounds")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, hashes, titles, out = {}, {}, {}, []

@@ -72,6 +72,13 @@ def test_resolve_batch_is_a_fold(spark):
     assert {r["seq"]: (r["leader"], r["level"]) for r in dedup.resolve_batch(spark.createDataFrame(rows, POST)).collect()} == want
 
 
+def test_resolve_batch_follows_long_chains(spark):
+    """A path of 100 employers, each linked to the next by an id or a hash."""
+    rows = [(i, "s", str(i // 2), f"h{(i + 1) // 2}", "Cook", f"c{i}", "Dubai") for i in range(100)]
+    want = {i: (i, "NONE") if i % 2 == 0 else (i - 1, "L1") for i in range(100)}
+    assert {r["seq"]: (r["leader"], r["level"]) for r in dedup.resolve_batch(spark.createDataFrame(rows, POST)).collect()} == want
+
+
 def test_upsert_reactivates(spark):
     schema = "id long, external_source string, external_job_id string, dedup_hash string, normalized_title string, normalized_company_name string, city string, is_active boolean, apply_url string, publisher string, linkedin_easy_apply boolean, last_seen_at timestamp, duplicate_source_count int, expires_at timestamp"
     jobs = spark.createDataFrame([(1, "s", "x", "h", "T", "C", "D", False, "old", "p", None, None, 0, dt.datetime(2020, 1, 1))], schema)
