@@ -7,9 +7,11 @@ kept rules are compiled into one Spark column expression over the statistics, wh
 The model is fitted on a bounded sample: the `sample` labelled documents (default 20000) with the smallest
 hash of their ids. Statistics of whole texts are computed in numpy over Arrow buffers.
 
-Defined cases: null and empty texts have zero statistics and get a score from them; several labels of a
-doc_id count as the largest, several texts as the smallest; null labels don't train; with fewer than two
-classes every score is the label's share, 1 without labels (nothing is rejected unseen).
+Defined cases: null and empty texts have zero statistics and get a score from them; very long texts are counted
+whole; several labels of a doc_id count as the largest, several texts as the smallest; null labels don't train;
+ids with equal hashes are taken in their order; with fewer than two classes every score is the label's share, 1
+without labels (nothing is rejected unseen). Repeated rows get equal scores. An empty table gives no rows; other
+columns stay, whatever their names.
 """
 
 from __future__ import annotations

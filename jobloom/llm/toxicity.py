@@ -4,12 +4,15 @@ Features of a text are the distinct hashes of its words, of its pairs of neighbo
 one word between, in 2**`bits` slots. FTRL-proximal has a learning rate for each coordinate and an L1 term
 that leaves most weights at exactly zero; the others are broadcast (at most 2**bits of 12 bytes).
 
-The model is fitted on a bounded sample: the `sample` labelled documents (default 24000) with the smallest
-hash of their ids. Ids and labels only choose and mark training rows; a score depends on the text alone.
-
-Defined cases: null and empty texts get the bias alone; a doc_id with several labels takes the largest, one
-with several texts trains with the smallest text; null labels don't train; without any label every score is
-0.5 and with one class only, the fit's own. Repeated rows get equal scores.
+The model is fitted in one task on a bounded sample: labelled documents in the order of a hash of their ids, the
+first `sample` of them (24000), and of those as many whole ones as hold `most_features` features together (64
+million, 256 MB; one document at least). Ids and labels only choose and mark training rows; a score depends on the
+text alone.
+
+Defined cases: null and empty texts get the bias alone; very long texts are scored whole; a doc_id with several
+labels takes the largest, one with several texts trains with the smallest text; null labels don't train; ids with
+equal hashes are taken in their order; without any label every score is 0.5 and with one class only, the fit's
+own. Repeated rows get equal scores. An empty table gives no rows; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,7 +67,7 @@ class Ftrl:
         self.n[slots] = after
 
 
-def fit(docs: DataFrame, labels: DataFrame, trains, sample: int = 24_000, bits: int = BITS, epochs: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, trains, sample: int = 24_000, most_features: int = 64_000_000, bits: int = BITS, epochs: int = 6) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots and values of the non-zero weights, and the bias."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & trains)
     # Bounded: `sample` ids at most.
@@ -81,12 +84,18 @@ def fit(docs: DataFrame, labels: DataFrame, trains, sample: int = 24_000, bits:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("label").cast(pa.int32())[i:j], pa.array(packed, pa.binary())], ["doc_id", "label", "slots"])
 
     def trained(batches):
-        seen = [(y, np.frombuffer(s, np.uint32).astype(np.int64)) for b in batches for y, s in zip(b.column("label").to_pylist(), b.column("slots").to_pylist(), strict=True)]
+        seen, n = [], 0
+        for b in batches:
+            for y, packed in zip(b.column("label").to_pylist(), b.column("slots"), strict=True):
+                n += len(packed.as_buffer()) // 4
+                if seen and n > most_features:
+                    break  # n stays above: no later row is taken either
+                seen.append((y, packed.as_py()))  # a copy, so that the batch can go
         size = 1 << bits
         model = Ftrl(size)
         for _ in range(epochs):
-            for y, slots in seen:
-                model.learn(np.append(slots, size), int(y))
+            for y, packed in seen:
+                model.learn(np.append(np.frombuffer(packed, np.uint32), np.uint32(size)).astype(np.int64), int(y))
         w = model.weights(np.arange(size + 1))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], ["slot", "weight"])
