@@ -7,13 +7,15 @@ with the word's own probability: (count + MU * p(word)) / (count of the first +
 
 Counts are gathered from all training texts: each task sums its batch before the shuffle, bigrams are dealt
 by hash to segments, packed, and every segment builds its own part of the filter. The filter takes about
-10 bits a distinct bigram and the word table 12 bytes a word. They are broadcast if they are within
-`most_bytes`; beyond it batches of texts ask the segments for the same counts by shuffles
-(`_score_by_exchange`), with equal results.
+10 bits a distinct bigram and the word table 16 bytes a word. They are broadcast if they are within
+`most_bytes` (the driver fills the broadcast's arrays segment by segment, so it holds them once); beyond it batches
+of texts ask the segments' filters and word tables for the same counts by shuffles (`_score_by_exchange`), with
+equal results.
 
 Tokens: words between white space with A-Z lower-cased, then one end. Defined cases: null and empty texts
-are the end alone; without training rows N and V are 0 and each token has probability 1; repeated rows count
-and are scored each; a null doc_id has the crc32 of an empty text.
+are the end alone; very long texts are counted and scored whole; without training rows N and V are 0 and each
+token has probability 1; repeated rows count and are scored each; a null doc_id has the crc32 of an empty text; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,10 +86,25 @@ def filter_of(short: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 class Filter:
     def __init__(self, parts: dict[int, bytes], segments: int):
-        arrays = [np.frombuffer(parts[s], np.uint8) if s in parts else np.zeros(8, np.uint8) for s in range(segments)]
-        self.size = np.array([len(a) * 8 for a in arrays], np.uint64)
+        self._lay_out({s: len(p) for s, p in parts.items()}, segments)
+        for s, p in parts.items():
+            self.put(s, p)
+
+    def _lay_out(self, lengths: dict[int, int], segments: int) -> None:
+        self.size = np.array([lengths.get(s, 8) * 8 for s in range(segments)], np.uint64)
         self.base = np.concatenate(([0], np.cumsum(self.size)[:-1])).astype(np.uint64)
-        self.bits, self.segments = np.concatenate(arrays), segments
+        self.bits, self.segments = np.zeros(int(self.size.sum()) // 8, np.uint8), segments
+
+    @classmethod
+    def empty(cls, lengths: dict[int, int], segments: int) -> Filter:
+        """Room for parts of these lengths, to be put one by one."""
+        out = cls.__new__(cls)
+        out._lay_out(lengths, segments)
+        return out
+
+    def put(self, segment: int, part: bytes) -> None:
+        at = int(self.base[segment]) // 8
+        self.bits[at : at + len(part)] = np.frombuffer(part, np.uint8)
 
     def level(self, pair: np.ndarray) -> np.ndarray:
         part = _segment(pair, self.segments).astype(np.int64)
@@ -308,8 +325,27 @@ def _score_by_exchange(docs: DataFrame, tables: DataFrame, segments: int, n: int
     return met.mapInArrow(score, "doc_id long, rk long, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 7, held_out: int = 2, most_bytes: int = 384 << 20) -> DataFrame:
-    """doc_id, rk, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
+def _shared_tables(spark: SparkSession, tables: DataFrame, segments: int):
+    """Sorted words, their counts and the filter, filled from one segment at a time."""
+    sizes = {r["segment"]: (r["w"], r["b"]) for r in tables.select("segment", F.col("n_words").alias("w"), F.octet_length("bits").alias("b")).collect()}
+    filter_ = Filter.empty({s: b for s, (_, b) in sizes.items()}, segments)
+    total = sum(w for w, _ in sizes.values())
+    word, count = np.empty(total, np.uint64), np.empty(total, np.int64)
+    at = 0
+    for r in tables.select("segment", "words", "counts", "bits").toLocalIterator():
+        n = sizes[r["segment"]][0]
+        word[at : at + n] = np.frombuffer(r["words"], np.uint64)
+        count[at : at + n] = np.frombuffer(r["counts"], np.int64)
+        filter_.put(r["segment"], r["bits"])
+        at += n
+    order = np.argsort(word)
+    word = word[order]
+    count = count[order]
+    return word, count, filter_
+
+
+def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 7, held_out: int = 2, most_bytes: int = 256 << 20) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     docs = keyed(docs)
     out = crc_of_id() % folds == held_out
     train = docs.where(~out)
@@ -317,19 +353,12 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 7, held_out:
     # A segment gets the tokens of about 12 MB of text.
     segments = int(max(12, -(-(size or 0) // (12 << 20))))
     tables = stored(spark, segment_tables(gather(train, segments), segments), "model-segments")
-    v, n, held = tables.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum(F.octet_length("bits") + 2 * F.octet_length("words"))).collect()[0]
+    v, n, held = tables.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum(F.octet_length("bits") + F.lit(16) * F.col("n_words"))).collect()[0]
     v, n, n_docs = v or 0, n or 0, n_docs or 0
     if (held or 0) <= most_bytes:
-        got = tables.select("segment", "words", "counts", "bits").toArrow()
-        word = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in got.column("words")] or [np.zeros(0, np.uint64)])
-        count = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in got.column("counts")] or [np.zeros(0, np.int64)]).astype(np.uint32)
-        order = np.argsort(word)
-        parts = dict(zip(got.column("segment").to_pylist(), got.column("bits").to_pylist(), strict=True))
-        del got
-        shared = spark.sparkContext.broadcast((word[order], count[order], Filter(parts, segments), n, v, n_docs))
-        del word, count, parts
-        df, name = annotate(docs.select("doc_id", "rk", "text"), T._parse_datatype_string(RESULT), _per_batch, lambda: shared.value)
-        scored = df.select("doc_id", "rk", *[f"{name}.{f}" for f in FIELDS])
+        shared = spark.sparkContext.broadcast((*_shared_tables(spark, tables, segments), n, v, n_docs))
+        df, name = annotate(docs.select("doc_id", "text"), T._parse_datatype_string(RESULT), _per_batch, lambda: shared.value)
+        scored = df.select("doc_id", *[f"{name}.{f}" for f in FIELDS])
     else:
         scored = _score_by_exchange(docs, tables, segments, n, v, n_docs)
-    return scored.select("doc_id", "rk", out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

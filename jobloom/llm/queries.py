@@ -12,7 +12,7 @@ from jobloom.llm.common import crc_of_id, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents")).drop("rk")
+    return suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents"))
 
 
 def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score_texts(spark, table(spark, sf_dir, "documents")).drop("rk")
+    return language_model.score_texts(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
