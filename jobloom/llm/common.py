@@ -3,13 +3,14 @@ word or byte hashing over whole Arrow buffers."""
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
@@ -27,18 +28,27 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     the result survives the loss of executors."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        # Only for local tests: a cluster names its shared folder.
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # One process, as in tests: any folder is shared.
         folder = f"/tmp/jobloom-checkpoints/{spark.sparkContext.applicationId}"
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key() -> tuple[Column, Column]:
+    """id (doc_id; null: the smallest number) and rk (64-bit hash of doc_id and text). Rows that agree in both are
+    taken for one row: they agree in doc_id and, but for an accident of a 64-bit hash within one doc_id, in text."""
+    doc = F.col("doc_id").cast("long")
+    return F.coalesce(doc, F.lit(-(1 << 63))), F.xxhash64(doc, F.coalesce("text", F.lit("")))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and row key rk. Rows that agree in doc_id and text share rk; they
+    """doc_id, text (null: empty) and the row's key: id and rk. Rows that agree in doc_id and text share it; they
     get equal results. Other columns are dropped, so their names cannot clash."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
+    id_, rk = row_key()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), id_.alias("id"), rk.alias("rk"))
 
 
 def crc_of_id(col="doc_id"):
@@ -104,21 +114,22 @@ def _power(base: int, n: int) -> np.ndarray:
 
 
 class Hashes:
-    """Hash of any byte range of a buffer in constant time: sums of byte values times powers of an odd
-    number modulo 2**64, shifted to a common exponent and finalised."""
+    """Hash of any range of a buffer in constant time: sums of symbol values times powers of an odd number
+    modulo 2**64, shifted to a common exponent and finalised. Symbols are bytes, or 64-bit hashes as they are."""
 
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
         self.inverse = _power(pow(_BASE, -1, 1 << 64), n)
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(_byte_values()[data] * _power(_BASE, n)[: n - 1], out=self.sums[1:])
+        values = data if data.dtype == np.uint64 else _byte_values()[data]
+        np.cumsum(values * _power(_BASE, n)[: n - 1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = (self.sums[end] - self.sums[start]) * self.inverse[start]
         return mix(raw + (end - start).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 
     def windows(self, k: int) -> np.ndarray:
-        """of() for every range of k bytes."""
+        """of() for every range of k symbols."""
         n = len(self.sums) - k
         if n <= 0:
             return np.zeros(0, np.uint64)

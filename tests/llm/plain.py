@@ -19,17 +19,42 @@ def alnum(text):
     return ALNUM.findall((text or "").translate(LOWER))
 
 
-def repeats(rows, depth=400):
-    texts = [(t or "").encode() for _, t in rows]
+def covered(texts, depth):
+    """For each sequence, which symbols lie in a window of depth that also starts elsewhere."""
     seen = Counter(t[i : i + depth] for t in texts for i in range(len(t) - depth + 1))
     out = []
-    for (doc, _), t in zip(rows, texts, strict=True):
+    for t in texts:
         gone = bytearray(len(t))
         for i in range(len(t) - depth + 1):
             if seen[t[i : i + depth]] > 1:
                 gone[i : i + depth] = b"\1" * depth
+        out.append(gone)
+    return out
+
+
+def repeats(rows, depth=400, n_words=51):
+    texts = [(t or "").encode() for _, t in rows]
+    out = []
+    for (doc, _), t, gone, passages in zip(rows, texts, covered(texts, depth), covered([tuple(spaced(t)) for _, t in rows], n_words), strict=True):
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
-        out.append((doc, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+        out.append((doc, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest(), sum(passages)))
+    return out
+
+
+def without_repeats(texts, depth=400, n_words=51):
+    """Texts without the bytes of repeated windows of depth bytes and of repeated passages of n_words words."""
+    raw = [(t or "").encode() for t in texts]
+    out = []
+    for t, gone, words_gone in zip(raw, covered(raw, depth), covered([tuple(spaced(t)) for t in texts], n_words), strict=True):
+        ends = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        edge = 0
+        for k, g in enumerate(words_gone):
+            # A run of words goes with the white space in it.
+            begin = edge if k and words_gone[k - 1] and g else ends[k][0]
+            edge = ends[k][1]
+            if g:
+                gone[begin:edge] = b"\1" * (edge - begin)
+        out.append(bytes(b for b, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore"))
     return out
 
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,18 +58,56 @@ def as_rows(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.select(*columns).collect()), key=repr)
 
 
-SUFFIX = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+SUFFIX = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
+@pytest.mark.parametrize("most", [1000, 1])
 def test_suffix_dedup_is_brute_force(spark, monkeypatch, most):
     rows = made()
     full = suffix_dedup.repeated_runs
     monkeypatch.setattr(suffix_dedup, "LEAST_HOT", 100 if most > 1 else 2)
-    monkeypatch.setattr(suffix_dedup, "repeated_runs", lambda s, d, depth: full(s, d, depth, most_stretches=most))
+    monkeypatch.setattr(suffix_dedup, "repeated_runs", lambda s, d, laws: full(s, d, laws, most_stretches=most))
     assert as_rows(suffix_dedup.remove_repeats(spark, frame(spark, rows, extra=True)), *SUFFIX) == sorted(plain.repeats(rows), key=repr)
 
 
+def stretches_of(texts, law):
+    """All stretches of texts, as a table with bodies, as if each occurred once."""
+    rows = []
+    for k, t in enumerate(texts):
+        data = np.frombuffer(t.encode(), np.uint8)
+        own, edge = suffix_dedup.symbols(data, np.array([0, len(data)]), law.kind)
+        _, gram, _, first, last, at = suffix_dedup.anchors_of(own, edge, law.depth, law.gram)
+        rows += [(law.kind, int(g), 1, k, k, int(f), int(a - f), own[f : e + law.depth].tobytes()) for g, f, e, a in zip(gram, first, last, at, strict=True)]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["law", "gram", "n", "id", "rk", "first", "left", "body"])
+
+
+@pytest.mark.parametrize("law", [suffix_dedup.Law(suffix_dedup.BYTES, 40, 8), suffix_dedup.Law(suffix_dedup.WORDS, 9, 3)])
+def test_digits_find_exactly_the_repeated_windows(law):
+    r = random.Random(4)
+    some = lambda n: "".join(r.choice("ab ") for _ in range(n))
+    passages = [some(120) for _ in range(5)]
+    texts = []
+    for _ in range(60):
+        p = r.choice(passages)
+        texts.append(some(r.randint(0, 60)) + p[r.randint(0, 50) : r.randint(70, 120)] + some(r.randint(0, 60)))
+    parts = [tuple(t.encode()) if law.kind == suffix_dedup.BYTES else tuple(plain.spaced(t)) for t in texts]
+    seen = {}
+    for k, t in enumerate(parts):
+        for i in range(len(t) - law.depth + 1):
+            seen.setdefault(t[i : i + law.depth], set()).add((k, i))
+    want = {x for own in seen.values() if len(own) > 1 for x in own}
+    s = suffix_dedup.Stretches(stretches_of(texts, law), law.kind)
+    got = suffix_dedup.repeated_in(s, law).to_pylist()
+    assert {(x["id"], i) for x in got for i in range(x["first"], x["last"] + 1)} == want and len(want) > 300
+    # Windows that share a wider digit include all that are equal.
+    digits = {}
+    for x in suffix_dedup.parts_of(s, law).to_pylist():
+        for i, h in enumerate(np.frombuffer(x["windows"], np.int64).tolist()):
+            digits.setdefault((x["digit"], h), set()).add((x["id"], x["place"] + i))
+    assert {x for own in digits.values() if len(own) > 1 for x in own} == want
+
+
 def test_suffix_dedup_on_table(spark):
     assert as_rows(Q.op1_suffix_dedup(spark, SF), *SUFFIX) == sorted(plain.repeats(pairs(spark)), key=repr)
 
@@ -182,6 +221,55 @@ def test_sharding_law(spark):
     assert sharding.shard(spark, docs.limit(0)).count() == 0
 
 
+def plain_hilbert(point, bits):
+    """Index of a point, bit by bit: in each cube the state is a permutation of axes and a set of reversed ones."""
+    n = len(point)
+    entry = lambda w: 0 if w == 0 else (lambda i: i ^ (i >> 1))(2 * ((w - 1) // 2))
+    ones = lambda i: 0 if not i & 1 else 1 + ones(i >> 1)
+    direction = lambda w: 0 if w == 0 else ones(w - 1 if w % 2 == 0 else w) % n
+    turn = lambda x, k: ((x >> k) | (x << (n - k))) & ((1 << n) - 1)
+    index, e, d = 0, 0, 0
+    for b in range(bits - 1, -1, -1):
+        cube = sum(((x >> b) & 1) << j for j, x in enumerate(point))
+        code = turn(cube ^ e, (d + 1) % n)
+        w = 0
+        while w ^ (w >> 1) != code:
+            w += 1
+        index = (index << n) | w
+        e ^= turn(entry(w), (n - d - 1) % n)
+        d = (d + direction(w) + 1) % n
+    return index
+
+
+def test_hilbert_order_is_the_plain_one():
+    """The same curve as the bitwise construction, up to the naming and reversal of axes and ends: consecutive
+    points touch, start and end lie on one edge, and each cube is filled before the next."""
+    side = np.arange(8)
+    cells = np.stack(np.meshgrid(side, side, side, indexing="ij"), axis=-1).reshape(-1, 3)
+    want = [plain_hilbert(c.tolist(), 3) for c in cells]
+    path = cells[np.argsort(want)]
+    assert sorted(want) == list(range(512)) and (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+    own = cells[np.argsort(sharding.hilbert_index(cells, 3))]
+    for some in (path, own):
+        cubes = [tuple(c // 4) for c in some]
+        assert [len(set(cubes[k : k + 64])) for k in range(0, 512, 64)] == [1] * 8
+        assert np.abs(some[0] - some[-1]).tolist().count(7) == 1 and np.abs(some[0] - some[-1]).sum() == 7
+
+
+def test_sharding_prunes(spark):
+    """How many of the 8 shards a filter on one value touches."""
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    got = sharding.shard(spark, docs).join(docs.select("doc_id", "lang", "source"), "doc_id").collect()
+    touched = {c: {} for c in ("lang", "source", "large")}
+    sizes = sorted(r["size"] for r in got)
+    for r in got:
+        for c, v in (("lang", r["lang"]), ("source", r["source"]), ("large", r["size"] > sizes[len(sizes) * 9 // 10])):
+            touched[c].setdefault(v, set()).add(r["shard"])
+    mean = lambda c: sum(map(len, touched[c].values())) / len(touched[c])
+    assert mean("lang") <= 5.5 and mean("source") <= 6.5 and len(touched["large"][True]) <= 6
+
+
 def test_hilbert_neighbours_touch():
     side = np.arange(8)
     cells = np.stack(np.meshgrid(side, side, side), axis=-1).reshape(-1, 3)
@@ -197,7 +285,7 @@ def test_packing_round_trip(spark):
 
     real = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = [(d, t) for d, t in pairs(spark) + made() if d is not None and d != 3][:220]
-    rows += [(9001, None), (9002, ""), (9003, "a  b\n\n  c \t é漢字🙂 ‍ it's 12345   "), (9004, "word " * 9000), (9005, " \n ")]
+    rows += [(9001, None), (9002, ""), (9003, "a  b\n\n  c \t é漢字🙂 ‍ it's 12345   "), (9004, "word " * 9000), (9005, " \n "), (9006, "x <|endoftext|> y<|endoftext|>")]
     rows = list({d: (d, t) for d, t in rows}.values())
     got = packing.pack(frame(spark, rows, extra=True).coalesce(2), with_ids=True, most_open=8).collect()
     texts = dict(rows)
@@ -224,6 +312,60 @@ def test_packing_round_trip(spark):
     assert padded <= 2
 
 
+def test_token_ids_are_the_librarys():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    real = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = packing.encoder(packing.default_vocabulary())
+    r = random.Random(2)
+    pieces = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", "word", "é", "漢", "🙂", "'s", "123", "\t", "<|", "|>", "\x00", "\u200d", "İ", " \n "]
+    for _ in range(3000):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(0, 14)))
+        assert own.encode(text, allowed_special="all") == real.encode(text, add_special_tokens=False).ids
+    assert 50256 in own.encode("x <|endoftext|> y", allowed_special="all")
+
+
+def test_packing_is_the_plain_rule():
+    """Each rest goes where the sum of squares gets smallest, against trying all levels."""
+    r = random.Random(8)
+    window = 50
+    packer = packing.Packer(window, 0, 1 << 30)
+    levels = [0] * (window + 1)
+    for doc in range(3000):
+        size = r.choice([r.randint(1, 49), 17, 25, 33])
+        best = None
+        for h in range(window - size, -1, -1):  # the fuller level first
+            if h and not levels[h]:
+                continue
+            after = list(levels)
+            after[h] -= h > 0
+            after[h + size] += h + size < window
+            total = sum(x * x for x in after)
+            if best is None or total < best[0]:
+                best = (total, after)
+        levels = best[1]
+        packer.add(doc, np.zeros(size, np.uint32))
+        assert packer.level.tolist() == levels
+    whole = len(packer.take())
+    packer.finish()
+    assert whole > 0.9 * 3000 and len({p[5] for p in packer.take()}) > 1
+
+
+def test_packing_opens_few_windows():
+    """On the table's texts memory's bound is far: the rule alone places the pieces."""
+    import pyarrow.parquet as pq
+
+    encode = packing.encoder(packing.default_vocabulary()).encode
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    packer = packing.Packer(packing.WINDOW, 0, 4096)
+    most = 0
+    for doc, text in enumerate(texts):
+        packer.add(doc, np.zeros(len(encode(text or "", allowed_special="all")) + 1, np.uint32))
+        most = max(most, packer.n_open)
+    assert most < 1024
+
+
 def test_licenses_base_places(spark):
     rows = [(1, None), (2, ""), (3, "CC BY cc-by, ccby. All rights RESERVED all rights"), (4, "x General\nPublic   License general public license"), (5, "éall rights reserved"), (6, "cc by cc by"), (7, "This work is licensed under the GNU General Public License, version 3."), (8, "a\nReleased under the MIT License.\nb"), (8, "a\nReleased under the MIT License.\nb")]
     got = licenses.scan_licenses(spark, frame(spark, rows, extra=True)).collect()
