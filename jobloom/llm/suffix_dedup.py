@@ -18,7 +18,7 @@ the gram, and the following digits are taken from the anchor outwards, to the ri
 The first two digits are counted by aggregations that combine before the shuffle, and joined back; keys with over
 a thousandth of all anchors are looked up in a list of at most a thousand instead. Rows hold hashes and positions,
 no text. In the third, a gram with up to `most_stretches` different stretches (about 600 bytes each) is sorted in
-one task. The windows of larger groups are sorted by two wider digits with the same aggregations, so no task holds
+one task of about 12 MB. The windows of larger groups are sorted by two wider digits with the same aggregations, so no task holds
 such a group: first the symbols that all windows of `PART` neighbouring offsets share, then, in groups of several,
 each window whole. Equality is that of 64-bit hashes in steps 1 and 2 and of 128 bits in these wider digits.
 
@@ -294,7 +294,7 @@ def _large_groups(spark: SparkSession, bodies: DataFrame, laws: list[Law]) -> Da
     return several(whole, ["digit", "h"]).where("n = 1").select("law", "id", "rk", F.col("place").alias("first"), F.col("place").alias("last"))
 
 
-def repeated_runs(spark: SparkSession, docs: DataFrame, laws: list[Law], most_stretches: int = 1000) -> DataFrame:
+def repeated_runs(spark: SparkSession, docs: DataFrame, laws: list[Law], most_stretches: int = 20_000) -> DataFrame:
     """law, id, rk, first and last of runs of window starts that are repeated; docs is keyed()."""
     every = stored(spark, anchors(docs, laws), "suffix-anchors")
     # A key with more than a thousandth of all anchors is hot; there are at most a thousand of those, so they
