@@ -34,7 +34,16 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
         folder = f"/tmp/jobloom-checkpoints/{spark.sparkContext.applicationId}"
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of stored() tables that nothing reads any more: what was made from them is stored itself."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key() -> tuple[Column, Column]:

@@ -38,7 +38,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import Hashes, arrow_batches, buffers, free_name, keyed, mix, row_key, runs, slices, stored, word_hashes, words
+from jobloom.llm.common import Hashes, arrow_batches, buffers, free_name, keyed, mix, released, row_key, runs, slices, stored, word_hashes, words
 
 DEPTH = 400
 #: A passage of over 50 words is one of this many or more.
@@ -307,6 +307,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, laws: list[Law], most_st
     cold = every.where(~F.col("gram").isin(list(hot))).join(groups.where(F.col("n_gram") <= hot_at).select("gram", "several"), "gram")
     heated = every.where(F.col("gram").isin(list(hot))).withColumn("several", F.col("gram").isin([g for g, several in hot.items() if several]))
     going = stored(spark, cold.unionByName(heated), "suffix-groups")
+    released(spark, every, groups)
     # One stretch only: all are repeated. Else a stretch's own group decides.
     run = ["law", "id", "rk", "first", "last"]
     alike = going.where("not several").select(run)
