@@ -7,7 +7,7 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,20 +226,64 @@ def classify_work_mode(title, description, remote) -> Column:
     return first_match([(F.coalesce(col(remote), F.lit(False)), "remote"), (text.rlike(r"\bhybrid\b"), "hybrid"), (text.rlike(r"\b(?:remote|work from home|wfh)\b"), "remote")], "onsite")
 
 
-def literals(pattern: str) -> list[str]:
-    """For each alternative of a pattern a text that every match of it holds."""
-    bare = re.sub(r"\(\?<?[!=][^)]*\)", "", pattern)  # look-around
-    bare = re.sub(r"\(\?:[^)]*\)\?", "\0", bare)  # optional groups
-    parts = re.sub(r"\\[bswd][*?+]?|\\?\.\?", "\0", bare).replace("\\", "").split("|")
-    return [max(part.split("\0"), key=len) for part in parts]
+_BEFORE, _AFTER = r"(?<![\w])", r"(?![\w])"
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The top-level alternatives of a pattern."""
+    out, depth, at, k = [], 0, 0, 0
+    while k < len(pattern):
+        ch = pattern[k]
+        if ch == "\\":
+            k += 1
+        elif ch in "([":
+            depth += 1
+        elif ch in ")]":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            out.append(pattern[at:k])
+            at = k + 1
+        k += 1
+    return [*out, pattern[at:]]
+
+
+def plain_start(pattern: str) -> str:
+    """Lower-case text that every match of a pattern without top-level alternatives begins with; empty if the
+    pattern doesn't tell so plainly."""
+    rest = pattern.removeprefix(_BEFORE).removeprefix(r"\b")
+    out = ""
+    while m := re.match(r"([A-Za-z0-9_ ]|\\[.#+-])(?![?*+{])", rest):
+        out += m[1][-1]
+        rest = rest[m.end() :]
+    return out.lower()
 
 
 def extract_technologies(c, catalogue=None) -> Column:
-    """Keys whose pattern occurs, in the catalogue's order. A pattern is only tried on texts that hold what all
-    its matches hold; that costs far less than a search."""
-    lower = F.lower(safe(c))
-    tried = lambda p: contains_any(lower, literals(p)) & matches(c, p)
-    return F.array_compact(F.array(*[F.when(tried(p), F.lit(k)) for k, p, _ in catalogue or rules.TECHNOLOGIES]))
+    """Keys whose pattern occurs (in any case of A-Z), in the catalogue's order.
+
+    A text is cut into its words once. A pattern that is a word between non-word characters is looked up among
+    them; others are searched for, but where they plainly begin with some text only if that occurs.
+    """
+    entries = catalogue or rules.TECHNOLOGIES
+    word = lambda alt: m[1].lower() if (m := re.fullmatch(re.escape(_BEFORE) + r"([A-Za-z0-9_]+)" + re.escape(_AFTER), alt)) else None
+    parts = [(key, alternatives(pattern)) for key, pattern, _ in entries]
+    words = sorted({w for _, alts in parts for w in map(word, alts) if w})
+    # Only A-Z: a letter beyond ASCII whose lower case is one of a-z must not match.
+    lower = F.translate(safe(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    held = F.array_intersect(F.split(lower, "[^a-z0-9_]+"), F.array(*[F.lit(w) for w in words])) if words else F.array().cast(STRINGS)
+
+    def occurs(alt: str, s: Column) -> Column:
+        if word(alt):
+            return F.array_contains(s["held"], word(alt))
+        start = plain_start(alt)
+        found = matches(c, alt)
+        return s["lower"].contains(start) & found if len(start) > 1 else found
+
+    def keys(s):
+        return F.array(*[F.when(reduce(lambda a, b: a | b, [occurs(alt, s) for alt in alts]), F.lit(key)) for key, alts in parts])
+
+    found = F.get(F.transform(F.array(F.struct(held.alias("held"), lower.alias("lower"))), keys), F.lit(0))
+    return F.array_compact(found)
 
 
 def tech_flags(technologies) -> dict[str, Column]:
@@ -248,7 +292,7 @@ def tech_flags(technologies) -> dict[str, Column]:
 
 def tech_display_name(key: Column, catalogue=None) -> Column:
     names = F.create_map(*[F.lit(x) for k, _, n in (catalogue or rules.TECHNOLOGIES) for x in (k, n)])
-    words = F.transform(F.split(key, r"\s+"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 200)))
+    words = F.transform(F.split(key, r"\s+"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30)))
     return F.coalesce(names[key], F.array_join(words, " "))
 
 
@@ -283,14 +327,20 @@ def _without_marks(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else "".join(ch for ch in unicodedata.normalize("NFD", s) if not unicodedata.category(ch).startswith("M")))
 
 
-def slugify(c) -> Column:
-    """Letters without marks, runs of others as one dash; blank: job. Only text beyond ASCII needs Python."""
-    text = safe(c)
-    slug = F.regexp_replace(F.lower(_without_marks(text)), "[^a-z0-9]+", "-")
-    slug = F.regexp_replace(slug, "^-|-$", "")
+def dashed(text: Column) -> Column:
+    slug = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
     return F.when(is_blank(slug), "job").otherwise(slug)
 
 
+def with_slug(df: DataFrame, c: str, name: str = "slug") -> DataFrame:
+    """df with the slug of a column: letters without marks, runs of others as one dash; blank: job. Spark has no
+    function that takes marks off, so texts beyond ASCII go through Python; a plan runs a Python function on every
+    row that reaches it, so these rows are a branch of their own."""
+    ascii_only = ~safe(c).rlike(r"[^\x00-\x7F]")
+    plain = df.where(ascii_only).withColumn(name, dashed(safe(c)))
+    return plain.unionByName(df.where(~ascii_only).withColumn(name, dashed(_without_marks(safe(c)))))
+
+
 def directory_slug(c) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
@@ -317,7 +367,10 @@ def company_domain(apply_url, linkedin_url, name) -> Column:
     return F.when(host.isNotNull() & ~host.isin(rules.NOT_EMPLOYERS), host).otherwise(F.when(~is_blank(name), guess))
 
 
-def company_logo_url(domain) -> Column:
+def company_logo_url(domain, token: str | None = None) -> Column:
+    """The site's icon; with a logo service's token, the company's logo there."""
+    if token and token.strip():
+        return F.concat(F.lit("https://img.logo.dev/"), col(domain), F.lit(f"?token={token}&size=200&format=png"))
     return F.concat(F.lit("https://www.google.com/s2/favicons?sz=128&domain="), col(domain))
 
 
@@ -329,7 +382,7 @@ def company_from_host(url) -> Column:
     host = F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r"^(?:careers?|jobs?|talent|recruitment)\.", "")
     name = F.regexp_replace(F.regexp_replace(host, r"\.[a-z]{2,6}$", ""), r"(?i)(careers?|jobs?|recruit|talent)$", "")
     words = F.filter(F.split(strip(F.regexp_replace(name, r"[._\-]", " ")), r"\s+"), lambda w: w != "")
-    shown = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 200))), " ")
+    shown = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")
     return F.when(host.isNull() | reduce(lambda a, b: a | b, [host.endswith(h) for h in ATS_HOSTS]), "").otherwise(shown)
 
 
@@ -437,18 +490,27 @@ HEADER_WORDS = (
 BULLET = r"[•●▪◦■□▶▸►✓✔➢➤]|(?:^|\s)[-*]\s+"
 
 
-def score_header(c) -> Column:
-    """0 to 4: a line of 5 to 60 characters, in upper or title case, with a colon at its end, with a header
-    word. What looks like a list scores 0."""
-    text = strip(safe(c))
+def is_cased(text: Column) -> Column:
+    """Over half of the letters are capitals, or at least 60 % of two to eight words have one in front."""
     letters, upper = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit(r"\p{Lu}"))
     bare = F.regexp_replace(text, r":\z", "")
     words = F.size(F.split(bare, r"\s+"))
     titled = F.regexp_count(bare, F.lit(r"\b[A-Z][a-z']+\b"))
-    cased = (F.floor(upper * 100 / F.greatest(letters, F.lit(1))) > 50) | (words.between(2, 8) & (F.floor(titled * 100 / words) >= 60))
-    points = [F.length(text).between(5, 60), cased, text.endswith(":"), text.rlike(HEADER_WORDS)]
-    is_list = (F.regexp_count(text, F.lit(";")) >= 2) | text.rlike(BULLET)
-    return F.when(is_list, 0).otherwise(sum((p.cast("int") for p in points), F.lit(0)))
+    # Either takes two capitals or a text without small letters, which is cheap to see.
+    likely = text.rlike(r"(?s)[A-Z\P{ASCII}].*[A-Z\P{ASCII}]") | ~text.rlike("[a-z]")
+    return likely & ((F.floor(upper * 100 / F.greatest(letters, F.lit(1))) > 50) | (words.between(2, 8) & (F.floor(titled * 100 / words) >= 60)))
+
+
+def is_list(text: Column) -> Column:
+    return (F.regexp_count(text, F.lit(";")) >= 2) | text.rlike(BULLET)
+
+
+def score_header(c) -> Column:
+    """0 to 4: a line of 5 to 60 characters, in upper or title case, with a colon at its end, with a header
+    word. What looks like a list scores 0."""
+    text = strip(safe(c))
+    points = [F.length(text).between(5, 60), is_cased(text), text.endswith(":"), text.rlike(HEADER_WORDS)]
+    return F.when(is_list(text), 0).otherwise(sum((p.cast("int") for p in points), F.lit(0)))
 
 
 def combine_description(description, requirements) -> Column:
