@@ -95,9 +95,14 @@ def friction_signals(users: DataFrame, attempts: DataFrame, as_of) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def order_friction(signals: DataFrame) -> DataFrame:
+def friction_order() -> list[Column]:
+    """High before medium before low, then who waits longest."""
     rank = first_match([(F.col("severity") == "HIGH", 0), (F.col("severity") == "MEDIUM", 1)], 2)
-    return signals.orderBy(rank, F.desc("days"), "user_id", "signal")
+    return [rank, F.desc("days"), F.col("user_id"), F.col("signal")]
+
+
+def order_friction(signals: DataFrame) -> DataFrame:
+    return signals.orderBy(*friction_order())
 
 
 def stuck_pending(users: DataFrame, most: int = 20) -> DataFrame:

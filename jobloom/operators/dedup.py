@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import is_blank
+from jobloom.sources.tables import stored
 
 SIMILARITY = 0.85
 
@@ -39,23 +41,42 @@ def match_hash(new: DataFrame, jobs: DataFrame) -> DataFrame:
     return new.join(known, "dedup_hash", "left")
 
 
-def match_fuzzy(new: DataFrame, jobs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """new (key) with l3_id: the most similar title among active jobs of the same company and city.
+def similar_titles(ours: DataFrame, theirs: DataFrame, block: list[str], least: float) -> DataFrame:
+    """block, title, other and like of pairs of titles (block, title) whose trigram sets have a similarity of
+    least. Both sides hold distinct titles.
 
-    Distinct titles of a block are compared, not rows; trigram counts bound the similarity from above, so
-    most pairs are left before any intersection. Large blocks are split by AQE's skew join.
+    Sets of n and m trigrams can only be that similar if they share one of the first n - least * n + 1 trigrams of
+    each, in any one order of all trigrams; rarest first makes such meetings rare. So titles are joined on the block
+    and a trigram of their prefix, and only what meets and has fitting sizes is compared.
     """
+    ours, theirs = (df.withColumn("_grams", trigrams("title")) for df in (ours, theirs))
+    counted = ours.select("_grams").unionByName(theirs.select("_grams")).select(F.explode("_grams").alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_often"))
+
+    def prefixes(df: DataFrame) -> DataFrame:
+        dealt = df.select(*block, "title", F.explode("_grams").alias("_gram")).join(counted, "_gram")
+        ordered = dealt.groupBy(*block, "title").agg(F.sort_array(F.collect_list(F.struct("_often", "_gram")))["_gram"].alias("_grams"))
+        n = F.size("_grams")
+        return ordered.withColumn("_gram", F.explode(F.slice("_grams", 1, (n - F.ceil(least * n - 1e-9) + 1).cast("int"))))
+
+    a, b = prefixes(ours), prefixes(theirs).withColumnsRenamed({"title": "other", "_grams": "_theirs"})
+    small, large = F.least(F.size("_grams"), F.size("_theirs")), F.greatest(F.size("_grams"), F.size("_theirs"))
+    met = a.join(b, [*block, "_gram"]).where(small >= least * large - 1e-9).dropDuplicates([*block, "title", "other"])
+    return met.select(*block, "title", "other", set_similarity(F.col("_grams"), F.col("_theirs")).alias("like")).where(F.col("like") >= least)
+
+
+def match_fuzzy(new: DataFrame, jobs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """new (key) with l3_id: the most similar title among active jobs of the same company and city, of equally
+    similar ones the smallest id. Distinct titles of a block are compared, not rows."""
+    names = {"_company": F.lower("normalized_company_name"), "_city": F.lower("city"), "_title": F.col("normalized_title")}
     block = ["_company", "_city"]
-    named = [F.lower("normalized_company_name").alias("_company"), F.lower("city").alias("_city"), F.col("normalized_title").alias("_title")]
-    ours = new.select(*named).where("_company is not null and _city is not null and _title is not null").distinct().withColumn("_grams", trigrams("_title"))
-    theirs = jobs.where("is_active").select("id", *named).groupBy(*block, "_title").agg(F.min("id").alias("id")).withColumn("_grams", trigrams("_title"))
-    a, b = ours.alias("a"), theirs.alias("b")
-    small, large = F.least(F.size("a._grams"), F.size("b._grams")), F.greatest(F.size("a._grams"), F.size("b._grams"))
-    near = a.join(b, [F.col("a._company") == F.col("b._company"), F.col("a._city") == F.col("b._city"), small >= least * large])
-    near = near.select("a._company", "a._city", "a._title", "b.id", set_similarity(F.col("a._grams"), F.col("b._grams")).alias("_like")).where(F.col("_like") >= least)
-    best = near.groupBy("_company", "_city", "_title").agg(F.min(F.struct(-F.col("_like"), F.col("id").alias("id"))).alias("_best"))
-    best = best.select("_company", "_city", "_title", F.col("_best.id").alias("l3_id"))
-    return new.join(best, [F.lower("normalized_company_name") == F.col("_company"), F.lower("city") == F.col("_city"), F.col("normalized_title") == F.col("_title")], "left").drop("_company", "_city", "_title")
+    full = "_company is not null and _city is not null and _title is not null"
+    title = F.col("_title").alias("title")
+    ours = new.select(*[c.alias(k) for k, c in names.items()]).where(full).select(*block, title).distinct()
+    theirs = jobs.where("is_active").select("id", *[c.alias(k) for k, c in names.items()]).where(full).groupBy(*block, title).agg(F.min("id").alias("id"))
+    near = similar_titles(ours, theirs.drop("id"), block, least).join(theirs.withColumnRenamed("title", "other"), [*block, "other"])
+    best = near.groupBy(*block, "title").agg(F.min(F.struct(-F.col("like"), F.col("id").alias("id"))).alias("_best"))
+    best = best.select(*block, F.col("title").alias("_title"), F.col("_best.id").alias("l3_id"))
+    return new.join(best, [c == F.col(k) for k, c in names.items()], "left").drop(*names)
 
 
 def resolve(new: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -92,56 +113,78 @@ def upsert_postings(jobs: DataFrame, resolved: DataFrame, as_of, extend_expiry:
     return updated.unionByName(resolved.where("match_id is null").select(jobs.columns))
 
 
-def resolve_batch(batch: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """seq, leader and level of each row of a batch whose rows are taken in the order of seq: a row that
-    matches an earlier kept row by id, hash or title is counted on it, and its own keys are not kept.
+def _kept_here(rows: list[tuple[int, list[str]]], near: dict[str, list[str]]) -> list[int]:
+    """The kept ones of rows (seq, keys) in the order of seq: those that no earlier kept row shares a key with,
+    nor has a title near theirs."""
+    taken: set[str] = set()
+    kept = []
+    for seq, keys in sorted(rows):
+        if not any(k in taken or any(x in taken for x in near.get(k, ())) for k in keys):
+            kept.append(seq)
+            taken.update(keys)
+    return kept
+
 
-    Rows can only meet inside a chain of shared keys, so each chain is folded on its own. Chains follow from
-    shared ids, hashes and (company, city) blocks; a chain is one employer's postings in one batch.
+def resolve_batch(batch: DataFrame, least: float = SIMILARITY, small: int = 20_000) -> DataFrame:
+    """seq, leader and level of each row of a batch whose rows are taken in the order of seq: a row that
+    matches an earlier kept row by id (L1), hash (L2) or title within company and city (L3, the most similar) is
+    counted on it, and its own keys are not kept; the others are kept and lead themselves (NONE).
+
+    Which rows are kept follows in rounds. Rows are first reduced to the earliest of equal keys, so copies don't
+    count. In a round every undecided row that is the earliest under all its keys, near titles included, is kept,
+    and all that match a newly kept row are settled; each round settles the earliest undecided row at least. Only
+    minima per key are exchanged, never a key's rows. When at most `small` keys and near titles are left, they are
+    settled in one go in the order of seq, which gives the same rows; that bounds the rounds that long chains of
+    single matches would take. Null ids and hashes match nothing, nor do titles without company, city or letters.
     """
-    keyed = batch.withColumn("_block", F.concat_ws("\x1f", F.lower("normalized_company_name"), F.lower("city")))
-    keys = F.array_compact(F.array(F.when(F.col("external_job_id").isNotNull(), F.concat_ws("\x1f", F.lit("id"), "external_source", "external_job_id")), F.concat(F.lit("hash\x1f"), F.col("dedup_hash")), F.concat(F.lit("block\x1f"), F.col("_block"))))
-    context = batch.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # only where no shared folder is set, as in tests
-        context.setCheckpointDir(batch.sparkSession.conf.get("spark.checkpoint.dir", f"/tmp/jobloom-checkpoints/{context.applicationId}"))
-    pairs = keyed.select("seq", F.explode(keys).alias("key"))
-    label = pairs.groupBy("seq").agg(F.min("seq").alias("chain"))
-    for _ in range(60):
-        low = pairs.join(label, "seq").groupBy("key").agg(F.min("chain").alias("low"))
-        lower = pairs.join(low, "key").groupBy("seq").agg(F.min("low").alias("chain"))
-        # A label is a row too: take that row's label.
-        jump = label.select(F.col("seq").alias("chain"), F.col("chain").alias("far"))
-        new = lower.join(jump, "chain").select("seq", F.col("far").alias("chain")).checkpoint()
-        settled = new.join(label.withColumnRenamed("chain", "old"), "seq").where("chain <> old").isEmpty()
-        label = new
-        if settled:
+    spark = batch.sparkSession
+    text = lambda kind, *c: F.when(F.forall(F.array(*c), lambda x: x.isNotNull()), F.concat_ws("\x1f", F.lit(kind), *c))
+    block, title = ["_company", "_city"], F.when(F.size(trigrams("normalized_title")) > 0, F.col("normalized_title"))
+    rows = batch.select("seq", F.lower("normalized_company_name").alias("_company"), F.lower("city").alias("_city"), title.alias("title"), F.col("external_source").cast("string").alias("_source"), F.col("external_job_id").cast("string").alias("_job"), "dedup_hash")
+    rows = rows.select("seq", *block, "title", text("id", F.coalesce("_source", F.lit("")), F.col("_job")).alias("_id"), text("hash", F.col("dedup_hash")).alias("_hash"), text("title", *map(F.col, block), F.col("title")).alias("_named"))
+    rows = stored(spark, rows, "batch-rows")
+    kinds = ["_id", "_hash", "_named"]
+    titles = rows.where("_named is not null").select(*block, "title").distinct()
+    key = lambda c: F.concat_ws("\x1f", F.lit("title"), *block, c)
+    near = similar_titles(titles, titles, block, least).where("title <> other").select(key("title").alias("key"), key("other").alias("other"), "like")
+    near = stored(spark, near, "batch-titles")
+    first = rows.groupBy(*kinds).agg(F.min("seq").alias("seq"))
+    open_ = stored(spark, first.select("seq", F.explode(F.array_compact(F.array(*kinds))).alias("key")), "batch-keys")
+    kept = [rows.where(" and ".join(f"{k} is null" for k in kinds)).select("seq")]
+    while True:
+        close = near.join(open_.select("key").distinct(), "key", "left_semi").join(open_.select(F.col("key").alias("other")).distinct(), "other", "left_semi")
+        if open_.count() + close.count() <= small:
+            own: dict[int, list[str]] = {}
+            for r in open_.collect():
+                own.setdefault(r["seq"], []).append(r["key"])
+            by: dict[str, list[str]] = {}
+            for r in close.select("key", "other").collect():
+                by.setdefault(r["key"], []).append(r["other"])
+            kept.append(spark.createDataFrame([(s,) for s in _kept_here(list(own.items()), by)], "seq long"))
             break
-    else:
-        raise RuntimeError("chains of shared keys did not settle in 60 rounds")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, hashes, titles, out = {}, {}, {}, []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            ident = (r.external_source, r.external_job_id) if r.external_job_id is not None else None
-            grams = set(r.grams)
-            leader, level = ids.get(ident) if ident else None, "L1"
-            if leader is None:
-                leader, level = hashes.get(r.dedup_hash), "L2"
-            if leader is None:
-                near = [(-len(grams & g) / max(1, len(grams | g)), s) for g, s in titles.get(r.block, ())]
-                best = min(near, default=(0, None))
-                leader, level = (best[1], "L3") if -best[0] >= least else (None, "NONE")
-            if leader is None:
-                leader = r.seq
-                if ident:
-                    ids.setdefault(ident, r.seq)
-                hashes.setdefault(r.dedup_hash, r.seq)
-                titles.setdefault(r.block, []).append((grams, r.seq))
-            out.append((r.seq, leader, level))
-        return pd.DataFrame(out, columns=["seq", "leader", "level"])
-
-    rows = keyed.join(label, "seq").select("chain", "seq", "external_source", "external_job_id", "dedup_hash", F.col("_block").alias("block"), trigrams("normalized_title").alias("grams"))
-    return rows.groupBy("chain").applyInPandas(fold, "seq long, leader long, level string")
+        low = open_.groupBy("key").agg(F.min("seq").alias("low"))
+        beside = close.join(low.withColumnRenamed("key", "other"), "other").select("key", "low")
+        low = low.unionByName(beside).groupBy("key").agg(F.min("low").alias("low"))
+        lead = open_.join(low, "key").groupBy("seq").agg((F.min("low") >= F.col("seq")).alias("lead")).where("lead").select("seq")
+        lead = stored(spark, lead, "batch-leaders")
+        kept.append(lead)
+        taken = open_.join(lead, "seq", "left_semi").select("key").distinct()
+        taken = taken.unionByName(close.join(taken, "key", "left_semi").select(F.col("other").alias("key"))).distinct()
+        gone = open_.join(taken, "key", "left_semi").select("seq").distinct()
+        open_ = stored(spark, open_.join(gone, "seq", "left_anti"), "batch-keys")
+    leaders = stored(spark, rows.join(reduce(DataFrame.unionByName, kept), "seq", "left_semi").select("seq", *kinds), "batch-kept")
+    # Of kept rows each key has one at most.
+    by_key = lambda k, name: leaders.where(f"{k} is not null").select(k, F.col("seq").alias(name))
+    same = leaders.where("_named is not null").select(F.col("_named").alias("key"), F.lit(1.0).alias("like"), "seq")
+    similar = near.join(by_key("_named", "seq").withColumnRenamed("_named", "other"), "other").select("key", "like", "seq").unionByName(same)
+    similar = similar.groupBy("key").agg(F.collect_list(F.struct("like", (-F.col("seq")).alias("seq"))).alias("_near")).withColumnRenamed("key", "_named")
+    found = rows.join(by_key("_id", "_l1"), "_id", "left").join(by_key("_hash", "_l2"), "_hash", "left").join(similar, "_named", "left")
+    earlier = lambda c: F.when(F.col(c) < F.col("seq"), F.col(c))
+    best = -F.array_max(F.filter("_near", lambda x: -x["seq"] < F.col("seq")))["seq"]
+    is_kept = leaders.select(F.col("seq").alias("_kept"))
+    found = found.join(is_kept, F.col("seq") == F.col("_kept"), "left").select("seq", "_kept", earlier("_l1").alias("_l1"), earlier("_l2").alias("_l2"), best.alias("_l3"))
+    level = F.when(F.col("_kept").isNotNull(), "NONE").when(F.col("_l1").isNotNull(), "L1").when(F.col("_l2").isNotNull(), "L2").otherwise("L3")
+    return found.select(F.col("seq").cast("long").alias("seq"), F.coalesce("_kept", "_l1", "_l2", "_l3").cast("long").alias("leader"), level.alias("level"))
 
 
 def apply_url_exists(new: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -156,15 +199,40 @@ def linkedin_known(new: DataFrame, jobs: DataFrame) -> DataFrame:
     return new.withColumn("_id", linkedin_job_id("linkedin_url")).join(known, "_id", "left_semi").drop("_id")
 
 
+def _place(spark: SparkSession, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with _place: their place, from 1 on, among the rows of one key in that order. Places come from a sort by
+    ranges of key and order, so a key with many rows is spread over tasks; one count a range reaches the driver."""
+    sort = [key, *order]
+    ranged = rows.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_row", F.monotonically_increasing_id())
+    kept = stored(spark, ranged, "places")
+    part, row = F.shiftrightunsigned("_row", 33), F.col("_row").bitwiseAND((1 << 33) - 1)
+    counts = sorted((r["part"], r["n"]) for r in kept.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    base, bases = 0, []
+    for p, n in counts:
+        bases.append((p, base))
+        base += n
+    numbered = kept.join(F.broadcast(spark.createDataFrame(bases, "_part long, _base long")), part == F.col("_part")).withColumn("_place", F.col("_base") + row)
+    first = stored(spark, numbered.groupBy(key).agg(F.min("_place").alias("_first")), "places-first")
+    return numbered.join(first, key).withColumn("_place", F.col("_place") - F.col("_first") + 1).drop("_row", "_part", "_base", "_first")
+
+
 def assign_unique_slugs(new: DataFrame, taken: DataFrame) -> DataFrame:
-    """new (base, seq) with slug: base, base-1, base-2, ... in order of seq, passing over taken ones."""
-    used = taken.select(F.regexp_extract("slug", r"^(.*?)(?:-(\d+))?$", 1).alias("base"), F.regexp_extract("slug", r"^(.*?)(?:-(\d+))?$", 2).alias("n"), "slug")
+    """new (base, seq) with slug: base, base-1, base-2, ... in order of seq, passing over taken ones.
+
+    The k-th row of a base gets the k-th free number: k - 1 plus the used numbers before it. The i-th used number u
+    is before it if there are fewer than k free ones below u, that is u - (i - 1) < k. So used numbers are put among
+    the rows by that count, and each row's place in the mixed order tells how many are before it."""
+    spark = new.sparkSession
+    number = r"^(.*?)(?:-(\d+))?$"
+    used = taken.select(F.regexp_extract("slug", number, 1).alias("base"), F.regexp_extract("slug", number, 2).alias("n"))
     # A slug may be a base itself or a base with a number.
-    used = used.select("base", F.when(F.col("n") == "", 0).otherwise(F.col("n").try_cast("int")).alias("n")).unionByName(taken.select(F.col("slug").alias("base"), F.lit(0).alias("n"))).where("n is not null")
-    sets = used.join(new.select("base").distinct(), "base", "left_semi").groupBy("base").agg(F.collect_set("n").alias("used"))
-    ranked = new.withColumn("_k", F.row_number().over(Window.partitionBy("base").orderBy("seq"))).join(sets, "base", "left")
-    used_ = F.coalesce("used", F.expr("cast(array() as array<int>)"))
-    # The k-th free number is among the first k + (numbers in use).
-    free = F.filter(F.sequence(F.lit(0), F.col("_k") + F.size(used_)), lambda i: ~F.array_contains(used_, i))
-    number = F.element_at(free, F.col("_k"))
-    return ranked.withColumn("slug", F.when(number == 0, F.col("base")).otherwise(F.concat_ws("-", "base", number))).drop("_k", "used")
+    used = used.select("base", F.when(F.col("n") == "", 0).otherwise(F.col("n").try_cast("long")).alias("n")).unionByName(taken.select(F.col("slug").alias("base"), F.lit(0).cast("long").alias("n"))).where("n is not null").distinct()
+    used = used.join(new.select("base").distinct(), "base", "left_semi")
+    at = _place(spark, used, "base", ["n"]).select("base", (F.col("n") - F.col("_place") + 1).alias("_at"), F.lit(0).alias("_kind"))
+    rows = _place(spark, new, "base", ["seq"])
+    own = F.struct(*new.columns).alias("_own")
+    rows = rows.select("base", (F.col("_place") - 1).alias("_at"), F.lit(1).alias("_kind"), own)
+    mixed = at.select("*", F.lit(None).cast(rows.schema["_own"].dataType).alias("_own")).unionByName(rows)
+    # With c used numbers before it the k-th row is at place k + c, and its number is k - 1 + c.
+    placed = _place(spark, mixed, "base", ["_at", "_kind"]).where("_kind = 1").select("_own.*", (F.col("_place") - 1).alias("_free"))
+    return placed.withColumn("slug", F.when(F.col("_free") == 0, F.col("base")).otherwise(F.concat_ws("-", "base", "_free"))).drop("_free")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,6 +83,17 @@ def token_bucket(events: DataFrame, capacity: int, period_seconds: int) -> DataF
     return _limited(events, capacity, period_seconds, lambda times, state: take(times, capacity, period, state), lambda: [capacity, None])
 
 
+#: Requests a minute by kind of endpoint.
+TIER_LIMITS = {"login": 10, "refresh": 30, "public": 120}
+
+
+def tier_admission(requests: DataFrame, limits: dict[str, int] | None = None, window_seconds: int = 60) -> DataFrame:
+    """requests (tier, ip, id, ts) with admitted: each tier's limit holds for each ip and window."""
+    keyed = requests.withColumn("key", F.concat_ws("|", "tier", "ip"))
+    admitted = [sliding_admission(keyed.where(F.col("tier") == tier), limit, window_seconds) for tier, limit in (limits or TIER_LIMITS).items()]
+    return reduce(DataFrame.unionByName, admitted).drop("key")
+
+
 def sliding_count(key: str, ts: str, window_seconds: int) -> Column:
     """Events of the key in the window that ends with each event; one exactly a window ago is outside."""
     millis = F.unix_millis(F.col(ts).cast("timestamp"))

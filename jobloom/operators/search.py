@@ -3,6 +3,7 @@ become part of the plan."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,33 +15,59 @@ from jobloom.functions.text import safe
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or our such that the their then there these they this to was we will with you your".split()
 
 
-def tokens(*columns) -> Column:
-    """Distinct words of the columns, without stop words, by a light suffix stemmer."""
-    words = F.split(F.regexp_replace(F.lower(F.concat_ws(" ", *[safe(c) for c in columns])), r"[^\p{L}\p{N}]+", " "), " ")
-    kept = F.filter(words, lambda w: (w != "") & ~w.isin(STOP_WORDS))
-    return F.transform(kept, stem)
+_ENDINGS = [(r"^(.{3,}?)(ies)$", "y"), (r"^(.{3,}?)(?:ing|ed|es|s)$", "")]
 
 
 def stem(word: Column) -> Column:
     """Plural, -ing and -ed endings of words that keep three letters or more."""
-    bare = F.regexp_replace(word, r"^(.{3,}?)(ies)$", "$1y")
-    return F.regexp_replace(bare, r"^(.{3,}?)(?:ing|ed|es|s)$", "$1")
+    for pattern, ending in _ENDINGS:
+        word = F.regexp_replace(word, pattern, f"$1{ending}")
+    return word
 
 
-def query_tokens(q: str) -> Column:
-    return F.array_distinct(tokens(F.lit(q)))
+def query_words(q: str) -> list[str]:
+    """Distinct stems of the words of a query, without stop words."""
+    words = [w for w in re.findall(r"[^\W_]+", q.lower()) if w not in STOP_WORDS]
+    for pattern, ending in _ENDINGS:
+        words = [re.sub(pattern, rf"\g<1>{ending}", w) for w in words]
+    return list(dict.fromkeys(words))
+
+
+def _searched() -> Column:
+    return F.lower(F.concat_ws(" ", *[safe(c) for c in ("title", "description", "requirements")]))
+
+
+def word_counts(q: str) -> Column:
+    """How often each of query_words(q) occurs, by stem, in title, description and requirements. The text is cut
+    into words once, and only words that begin as a wanted one does are stemmed."""
+    wanted = query_words(q)
+    words = F.split(F.regexp_replace(_searched(), r"[^\p{L}\p{N}]+", " "), " ")
+    likely = F.filter(words, lambda w: reduce(lambda a, b: a | b, [w.startswith(_start(x)) for x in wanted]) & ~w.isin(STOP_WORDS))
+
+    def times(stems: Column, wanted_word: str) -> Column:
+        return F.size(F.filter(stems, lambda s: s == wanted_word))
+
+    return F.get(F.transform(F.array(F.transform(likely, stem)), lambda stems: F.array(*[times(stems, w) for w in wanted])), F.lit(0))
+
+
+def _start(stemmed: str) -> str:
+    """What every word with this stem begins with."""
+    return stemmed.removesuffix("y")
 
 
 def full_text_match(q: str) -> Column:
-    """All words of q occur in title, description or requirements; a query of stop words matches nothing."""
-    wanted = query_tokens(q)
-    return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, tokens("title", "description", "requirements"))) == 0)
+    """All words of q occur in title, description or requirements; a query of stop words matches nothing. Texts
+    that lack a word's beginning are not cut into words at all."""
+    wanted = query_words(q)
+    if not wanted:
+        return F.lit(False)
+    hold = reduce(lambda a, b: a & b, [_searched().contains(_start(w)) for w in wanted])
+    return F.when(hold, F.forall(word_counts(q), lambda n: n > 0)).otherwise(False)
 
 
 def text_rank(q: str) -> Column:
     """Sum over the query's words of tf / (tf + 1)."""
-    own = tokens("title", "description", "requirements")
-    return F.aggregate(query_tokens(q), F.lit(0.0), lambda s, w: s + F.try_divide(F.size(F.filter(own, lambda t: t == w)), F.size(F.filter(own, lambda t: t == w)) + 1))
+    return F.aggregate(word_counts(q), F.lit(0.0), lambda s, n: s + n / (n + 1)) if query_words(q) else F.lit(0.0)
 
 
 def posted_after(ts) -> Column:
@@ -70,7 +97,7 @@ def _contains(column: str, text: str) -> Column:
 
 
 def filter_jobs(jobs: DataFrame, job_type=None, level=None, location=None, skill=None, visa=None, emirate=None, joiner=None, remote=None, category=None) -> DataFrame:
-    """Active jobs that meet the given single values."""
+    """Active jobs that meet the given single values; job_order() puts the newest first."""
     equal = {"job_type": job_type, "experience_level": level, "visa_type": visa, "emirate": emirate, "immediate_joiner": joiner, "remote_uae": remote, "job_category": category}
     out = jobs.where("is_active")
     for name, value in equal.items():

@@ -4,6 +4,7 @@ marks as incomplete are dropped. Every mapper gives the columns of POSTING."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,6 +125,15 @@ FEEDS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def ingest(raw: DataFrame, enabled: dict[str, bool] | None = None, feeds: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """Postings of raw payloads (feed, payload), each by its feed's mapper. Feeds that are switched off in enabled
+    are not read; feeds without a mapper give no rows."""
+    mappers = {name: f for name, f in (feeds or FEEDS).items() if (enabled or {}).get(name, True)}
+    if not mappers:
+        raise ValueError("no feed is enabled")
+    return reduce(DataFrame.unionByName, [f(raw.where(F.col("feed") == name).select("payload")).withColumn("feed", F.lit(name)) for name, f in mappers.items()])
+
+
 def route_ats_url(url, html=None) -> Column:
     """struct(ats, board, job) of a recruiting platform's link; Greenhouse also when embedded in a page."""
     page = X.safe(html) if html is not None else F.lit("")
@@ -155,6 +165,6 @@ def postings_from_ats(raw: DataFrame, kind: str) -> DataFrame:
     abroad = (F.col("_place") != "") & city.isNull()
     shown = F.when(F.length("_place") > 80, F.concat(F.substring("_place", 1, 77), F.lit("…"))).otherwise(F.col("_place"))
     message = X.first_match(
-        [(abroad, F.concat(F.lit("⚠️ This job is located in "), shown, F.lit(" — outside the UAE. Confirm before importing."))), (F.col("description").isNull(), "Description could not be extracted. Fill it in before importing.")]
+        [(abroad, F.concat(F.lit("The posting names a place beyond the UAE ("), shown, F.lit("). Review it before importing."))), (F.col("description").isNull(), "Description could not be extracted. Fill it in before importing.")]
     )
     return rows.select("title", "company_name", "description", city.alias("location_uae"), "apply_url", (F.col("description").isNotNull() & ~abroad).alias("complete"), message.alias("message"))

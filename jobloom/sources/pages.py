@@ -6,8 +6,10 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobloom.functions import text as X
 
@@ -38,7 +40,7 @@ def with_jsonld(pages: DataFrame, out: str = "ld") -> DataFrame:
     place = F.when(F.col("_first.jobLocation").startswith("["), F.get_json_object("_first.jobLocation", "$[0]")).otherwise(F.col("_first.jobLocation"))
     staged = staged.withColumns({"_place": place, "_text": _text(X.strip_tags_entities("_first.description")), "_company": X.first_non_blank("_first.hiringOrganization.name", X.company_from_host("url"))})
     city = X.first_non_blank(F.get_json_object("_place", "$.address.addressLocality"), F.get_json_object("_place", "$.address.addressRegion"))
-    message = F.when(F.col("_text").isNull(), "Structured data found but the description field is empty — please fill it in below.")
+    message = F.when(F.col("_text").isNull(), "The page's structured data has no description. Fill it in before importing.")
     preview = _preview(title(F.col("_first")), F.col("_company"), F.col("_text"), city, F.col("_text").isNotNull(), message)
     return staged.withColumn(out, F.when(F.col("_first").isNotNull(), preview)).drop("_bodies", "_nodes", "_first", "_place", "_text", "_company")
 
@@ -136,16 +138,15 @@ def _rendered(html: str | None) -> str | None:
 
 
 def with_elements(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with what the element tree gives: microdata and the rendered text."""
+    """pages (html and other columns) with what the element tree gives: microdata and the rendered text."""
+    names = ["m_title", "m_description", "m_company", "m_place", "rendered"]
 
     def task(batches):
-        for pdf in batches:
-            rows = [_microdata(h) | {"rendered": _rendered(h)} for h in pdf["html"]]
-            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows, columns=["m_title", "m_description", "m_company", "m_place", "rendered"])], axis=1)
+        for b in batches:
+            rows = [_microdata(h) | {"rendered": _rendered(h)} for h in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([r[n] for r in rows], pa.string()) for n in names]], [*b.schema.names, *names])
 
-    columns = pages.select("page_id", "url", "html")
-    extra = ", ".join(f"{c} string" for c in ("m_title", "m_description", "m_company", "m_place", "rendered"))
-    return columns.mapInPandas(task, "page_id long, url string, html string, " + extra)
+    return pages.mapInArrow(task, T.StructType([*pages.schema.fields, *[T.StructField(n, T.StringType()) for n in names]]))
 
 
 def with_microdata(read: DataFrame, out: str = "micro") -> DataFrame:
@@ -163,7 +164,8 @@ PLACEHOLDER = r"(?i)(enable javascript|loading\s*\.\.\.|please wait while|you ne
 def postings_from_pages(pages: DataFrame) -> DataFrame:
     """page_id, url and the preview of each page: JSON-LD, else microdata, else Open Graph; a description that
     these lack is taken from the rendered text, unless that is a loading notice."""
-    read = with_opengraph(with_microdata(with_jsonld(with_elements(pages))))
+    # The parser comes after the long expressions: a filter on the result must not be worked out below it again.
+    read = with_microdata(with_elements(with_opengraph(with_jsonld(pages.select("page_id", "url", "html")))))
     rows = read.select("page_id", "url", "rendered", F.coalesce("ld", "micro", "og").alias("p")).select("page_id", "url", "rendered", "p.*")
     rendered = F.when(~X.matches("rendered", PLACEHOLDER.removeprefix("(?i)")), F.col("rendered"))
     description = F.coalesce("description", rendered)

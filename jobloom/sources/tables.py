@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -30,3 +33,21 @@ def append_log(df: DataFrame, path: str) -> None:
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A snapshot by its schema; the partition column's type would be guessed otherwise."""
     return spark.read.schema(schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares, spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # One process, as in tests: any folder is shared.
+        base = f"/tmp/jobloom-shared/{spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: its lineage is cut, and it survives lost executors."""
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
