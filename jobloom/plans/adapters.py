@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-AS_OF = "TIMESTAMP '1998-09-02 00:00:00'"
-EVENTS_AS_OF = "TIMESTAMP '2024-01-25 12:00:00'"
+#: The clocks of the two groups of tables.
+NOW, EVENTS_NOW = "1998-09-02 00:00:00", "2024-01-25 12:00:00"
+AS_OF, EVENTS_AS_OF = f"TIMESTAMP '{NOW}'", f"TIMESTAMP '{EVENTS_NOW}'"
 
 _TITLES = ["Senior Java Developer", "Sr. Widget Maker", "Backend Engineer in Dubai", "QA Automation Lead", "Mobile Crane Operator", "Data Engineer", "Staff Machine Learning Engineer", "Junior Front-end Developer", "Internal Auditor", "Cloud Architect", "DevOps Engineer", "HVAC Engineer", "Product Designer", "IT Support Specialist", "Principal Data Scientist", "Android Developer", "Full Stack Developer", "Receptionist", "Engineering Manager", "Cyber Security Engineer", "Marketing Writer"]
 _COMPANIES = ["Acme Holdings L.L.C", "Gulf Group Inc.", "Careem", "Emirates NBD", "Emirates Group", "Noon", "Unknown", "Talabat FZ-LLC", "G42", "Nimbus Tech LLC", "Confidential", "Falcon Software, Inc.", "Blue Dune International"]
@@ -64,7 +65,7 @@ VIEWS: dict[str, str] = {
                CASE l.l_linenumber % 5 WHEN 0 THEN 'applied' WHEN 1 THEN 'reviewed' WHEN 2 THEN 'shortlisted' WHEN 3 THEN 'rejected' ELSE 'hired' END AS status
         FROM lineitem l""",
     "profiles": "SELECT c_custkey AS user_id, c_mktsegment AS headline, CAST(c_custkey % 20 AS INT) AS years_experience FROM customer WHERE c_custkey % 3 <> 0",
-    "saved_jobs": "SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS user_id, l_orderkey AS job_id, l_shipdate AS saved_at FROM lineitem WHERE l_linenumber <= 2",
+    "saved_jobs": "SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS user_id, l_orderkey AS job_id, l_shipdate AS saved_at FROM lineitem",
     "subscriptions": "SELECT o_orderkey AS id, o_custkey AS user_id, CASE o_orderkey % 3 WHEN 0 THEN 'starter' WHEN 1 THEN 'professional' ELSE 'free' END AS tier, o_orderdate AS started_at, o_orderdate + INTERVAL 30 DAY AS expires_at, o_orderstatus = 'O' AS is_active FROM orders",
     "keywords": """
         SELECT p_partkey AS id, p_name AS keyword, CAST(p_size % 4 + 1 AS INT) AS tier, CASE p_size % 3 WHEN 0 THEN 'role' WHEN 1 THEN 'skill' ELSE 'x' END AS category, CAST(p_retailprice / 1000 AS DOUBLE) AS weight, p_partkey % 6 <> 0 AS active,

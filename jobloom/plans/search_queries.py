@@ -2,31 +2,51 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions import rules
 from jobloom.functions import text as X
 from jobloom.operators import activity, dedup, directory, limits, maintenance, scoring, search
-from jobloom.plans.adapters import AS_OF, EVENTS_AS_OF
+from jobloom.plans.adapters import AS_OF, EVENTS_AS_OF, EVENTS_NOW, NOW
 from jobloom.plans.catalog import Views, query
+from jobloom.plans.stats_queries import FRICTION_SQL
+from jobloom.plans.text_queries import ENRICHED
+from jobloom.sources.tables import shared_folder, stored
 
-NOW, EVENTS_NOW = "1998-09-02 00:00:00", "2024-01-25 12:00:00"
 _LISTED = "lower(coalesce(publisher, '') || chr(10) || coalesce(apply_url, ''))"
-MULTI = dict(emirates=["dubai", "abu_dhabi"], levels=["senior_5_plus", "mid_3_5_yrs"], job_types=["contract", "full_time"], after="1995-06-01 00:00:00", salary_min=400, salary_max=4000, publishers=["linkedin", "bayt"], mode="external")
-MULTI_SQL = f"""is_active AND emirate IN ('dubai', 'abu_dhabi') AND experience_level IN ('senior_5_plus', 'mid_3_5_yrs') AND job_type IN ('contract', 'full_time') AND coalesce(posted_at, created_at) >= TIMESTAMP '1995-06-01 00:00:00'
-    AND coalesce(salary_min, salary_max) >= 400 AND coalesce(salary_min, salary_max) <= 4000 AND (contains({_LISTED}, 'linkedin') OR contains({_LISTED}, 'bayt') OR linkedin_url IS NOT NULL) AND (apply_url IS NOT NULL OR linkedin_url IS NOT NULL)"""
+MULTI = dict(emirates=["dubai", "abu_dhabi", "sharjah"], levels=["senior_5_plus", "mid_3_5_yrs"], job_types=["part_time", "internship"], after="1992-03-01 00:00:00", salary_min=200, salary_max=6000, publishers=["linkedin", "bayt", "naukri"], mode="external")
+MULTI_SQL = f"""is_active AND emirate IN ('dubai', 'abu_dhabi', 'sharjah') AND experience_level IN ('senior_5_plus', 'mid_3_5_yrs') AND job_type IN ('part_time', 'internship') AND coalesce(posted_at, created_at) >= TIMESTAMP '1992-03-01 00:00:00'
+    AND coalesce(salary_min, salary_max) >= 200 AND coalesce(salary_min, salary_max) <= 6000 AND (contains({_LISTED}, 'linkedin') OR contains({_LISTED}, 'bayt') OR contains({_LISTED}, 'naukri') OR linkedin_url IS NOT NULL) AND (apply_url IS NOT NULL OR linkedin_url IS NOT NULL)"""
 NEWEST_SQL = "created_at - CASE WHEN length(coalesce(description, '')) < 300 THEN INTERVAL 5 DAY ELSE INTERVAL 0 DAY END"
 
 
-@query("a01_read_table", "SELECT * FROM nation")
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+@query("a01_read_table", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, (SELECT count(*) FROM (DESCRIBE {t})) AS n_columns FROM {t}" for t in _TABLES))
 def read(v: Views):
-    return v.nation
+    tables = {t: getattr(v, t) for t in _TABLES}
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n", F.lit(len(df.columns)).cast("long").alias("n_columns")) for t, df in tables.items()])
+
+
+def _first_page(df, *columns):
+    """The first hundred rows, newest first, with their places."""
+    order = search.job_order("newest")
+    # At most 100 rows: the page.
+    return search.page(df, order, 0, 100).select(F.row_number().over(Window.orderBy(*order)).alias("place"), *columns)
+
+
+def _page_sql(columns: str, where: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY {NEWEST_SQL} DESC, created_at DESC, id) AS place, {columns} FROM jobs WHERE {where} QUALIFY place <= 100"
 
 
-@query("c05_filter_jobs", "SELECT id, title FROM jobs WHERE is_active AND job_type = 'contract' AND emirate = 'dubai' AND NOT remote_uae AND list_contains(split(skills_text, ','), 'python')")
+@query("c05_filter_jobs", _page_sql("id, title", "is_active AND job_type = 'contract' AND emirate = 'dubai' AND NOT remote_uae AND list_contains(split(skills_text, ','), 'python')"))
 def filter_single(v: Views):
     jobs = v.jobs.withColumn("skills", F.split("skills_text", ","))
-    return search.filter_jobs(jobs, job_type="contract", emirate="dubai", remote=False, skill="python").select("id", "title")
+    return _first_page(search.filter_jobs(jobs, job_type="contract", emirate="dubai", remote=False, skill="python"), "id", "title")
 
 
 @query("c06_filter_jobs_multi", f"SELECT id, title, company_name, emirate FROM jobs WHERE {MULTI_SQL}")
@@ -34,13 +54,9 @@ def filter_multi(v: Views):
     return search.filter_jobs_multi(v.jobs, **MULTI).select("id", "title", "company_name", "emirate")
 
 
-@query("g01_order_jobs_newest", f"SELECT row_number() OVER (ORDER BY {NEWEST_SQL} DESC, created_at DESC, id) AS place, id FROM jobs WHERE {MULTI_SQL} QUALIFY place <= 100")
+@query("g01_order_jobs_newest", _page_sql("id", MULTI_SQL))
 def order_newest(v: Views):
-    top = search.page(search.filter_jobs_multi(v.jobs, **MULTI), search.job_order("newest"), 0, 100)
-    from pyspark.sql import Window
-
-    # At most 100 rows: the page.
-    return top.select(F.row_number().over(Window.orderBy(*search.job_order("newest"))).alias("place"), "id")
+    return _first_page(search.filter_jobs_multi(v.jobs, **MULTI), "id")
 
 
 for _sort, _sql in {"date_asc": "created_at ASC, created_at DESC, id", "salary_desc": "coalesce(salary_max, salary_min) DESC NULLS LAST, created_at DESC, id", "salary_asc": "coalesce(salary_min, salary_max) ASC NULLS LAST, created_at DESC, id"}.items():
@@ -93,9 +109,9 @@ def rank(v: Views):
     return v.jobs.where(search.full_text_match(q)).select("id", F.round(search.text_rank(q), 6).alias("rank"))
 
 
-@query("c12_admin_search", "SELECT id FROM jobs WHERE (contains(lower(title), 'data') OR contains(lower(company_name), 'data')) AND NOT is_active")
+@query("c12_admin_search", _page_sql("id", "(contains(lower(title), 'data') OR contains(lower(company_name), 'data')) AND is_active"))
 def admin(v: Views):
-    return search.admin_search(v.jobs, "DATA", False).select("id")
+    return _first_page(search.admin_search(v.jobs, "DATA", True), "id")
 
 
 @query("c13_directory_search", "SELECT id, name FROM companies WHERE status = 'APPROVED' AND contains(lower(name), '0') AND city = 'Dubai'")
@@ -160,10 +176,11 @@ def url_exists(v: Views):
     return dedup.apply_url_exists(v.postings, v.jobs).select("seq")
 
 
-@query("d09_linkedin_fragment_exists", "SELECT id FROM jobs WHERE linkedin_url IS NOT NULL AND created_at < TIMESTAMP '1997-01-01 00:00:00' AND is_active")
+@query("d09_linkedin_fragment_exists", "SELECT seq FROM postings WHERE CAST(seq AS STRING) IN (SELECT CAST(id AS STRING) FROM jobs WHERE linkedin_url IS NOT NULL AND is_active)")
 def fragment(v: Views):
-    jobs = v.jobs
-    return dedup.linkedin_known(jobs.where("created_at < '1997-01-01'"), jobs).select("id")
+    """Postings whose LinkedIn link, written with a title in front of the number, is that of a known job."""
+    link = F.concat(F.lit("https://www.linkedin.com/jobs/view/some-title-at-"), F.col("company_name").substr(1, 2), F.lit("-"), F.col("seq").cast("string"))
+    return dedup.linkedin_known(v.postings.select("seq", F.lower(F.regexp_replace(link, " ", "")).alias("linkedin_url")), v.jobs).select("seq")
 
 
 @query("d10_owned", "SELECT a.id, j.posted_by_id AS owner_id FROM applications a JOIN jobs j ON j.id = a.job_id")
@@ -220,13 +237,16 @@ def subscription(v: Views):
 
 @query(
     "f04_assign_unique_slugs",
-    "SELECT seq, CASE WHEN r = 1 AND NOT t THEN base ELSE CONCAT(base, '-', CAST(r - 1 + CASE WHEN t THEN 1 ELSE 0 END AS STRING)) END AS slug FROM (SELECT id AS seq, CONCAT('job-', CAST(id % 97 AS STRING), 'x') AS base, row_number() OVER (PARTITION BY id % 97 ORDER BY id) AS r, id % 97 < 40 AS t FROM jobs WHERE id > 100)",
+    "WITH n AS (SELECT id AS seq, CONCAT('job-', CAST(id % 97 AS STRING), 'x') AS base, row_number() OVER (PARTITION BY id % 97 ORDER BY id) AS k FROM jobs), "
+    "u AS (SELECT DISTINCT CONCAT('job-', CAST(id % 97 AS STRING), 'x') AS base, CASE WHEN id % 7 = 0 THEN 0 ELSE CAST(id % 31 AS INT) END AS n FROM jobs WHERE id % 97 < 40), "
+    "f AS (SELECT base, i, row_number() OVER (PARTITION BY base ORDER BY i) AS k FROM (SELECT base, unnest(range(0, max(k) + 32)) AS i FROM n GROUP BY base) WHERE (base, i) NOT IN (SELECT base, n FROM u)) "
+    "SELECT n.seq, CASE WHEN f.i = 0 THEN n.base ELSE CONCAT(n.base, '-', CAST(f.i AS STRING)) END AS slug FROM n JOIN f ON f.base = n.base AND f.k = n.k",
 )
 def slugs(v: Views):
     base = F.concat(F.lit("job-"), (F.col("id") % 97).cast("string"), F.lit("x"))
-    new = v.jobs.where("id > 100").select(F.col("id").alias("seq"), base.alias("base"))
-    taken = v.jobs.where("id % 97 < 40").select(base.alias("slug")).distinct()
-    return dedup.assign_unique_slugs(new, taken).select("seq", "slug")
+    number = F.when(F.col("id") % 7 == 0, 0).otherwise(F.col("id") % 31)
+    taken = v.jobs.where("id % 97 < 40").select(F.when(number == 0, base).otherwise(F.concat_ws("-", base, number.cast("string"))).alias("slug")).distinct()
+    return dedup.assign_unique_slugs(v.jobs.select(F.col("id").alias("seq"), base.alias("base")), taken).select("seq", "slug")
 
 
 @query("f05_subscription_quota", "WITH c AS (SELECT u.id AS user_id, coalesce(s.tier, 'free') AS tier FROM users u LEFT JOIN (SELECT user_id, tier, row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, id DESC) AS r FROM subscriptions WHERE is_active) s ON s.user_id = u.id AND s.r = 1) SELECT id, posted_by_id, n, n > CASE tier WHEN 'starter' THEN 10 WHEN 'professional' THEN 50 ELSE 1 END AS over_limit FROM (SELECT j.id, j.posted_by_id, c.tier, row_number() OVER (PARTITION BY j.posted_by_id ORDER BY j.created_at, j.id) AS n FROM jobs j JOIN c ON c.user_id = j.posted_by_id)")
@@ -382,21 +402,15 @@ def daily(v: Views):
 # ---- ingest -----------------------------------------------------------------------------------------
 
 
-def _job_table(v: Views):
+def _job_table(enriched: DataFrame) -> DataFrame:
     """Postings with an even number play the table, the others the batch that comes in: between them they are
     all postings."""
-    old = scoring.enrich(v.postings.where("seq % 2 = 0"))
-    return old.select(
-        F.col("seq").alias("id"), "seq", F.col("source").alias("external_source"), "external_job_id", "dedup_hash", "normalized_title", "normalized_company_name", "city", (F.col("seq") % 6 != 0).alias("is_active"), "apply_url", "publisher", "linkedin_easy_apply",
+    return enriched.where("seq % 2 = 0").select(
+        F.col("seq").alias("id"), "seq", "external_source", "external_job_id", "dedup_hash", "normalized_title", "normalized_company_name", "city", (F.col("seq") % 6 != 0).alias("is_active"), "apply_url", "publisher", "linkedin_easy_apply",
         F.lit(None).cast("timestamp").alias("last_seen_at"), F.lit(0).alias("duplicate_source_count"), F.lit(NOW).cast("timestamp").alias("expires_at"),
     )
 
 
-def _batch(v: Views):
-    new = scoring.enrich(v.postings.where("seq % 2 = 1"))
-    return new.withColumn("external_source", F.col("source"))
-
-
 @query("d01_match_external_id", "SELECT p.seq, min(o.seq) AS l1_id FROM (SELECT * FROM postings WHERE seq % 2 = 1) p LEFT JOIN (SELECT * FROM postings WHERE seq % 2 = 0) o ON o.source = p.source AND o.external_job_id = p.external_job_id GROUP BY p.seq")
 def l1(v: Views):
     old = v.postings.where("seq % 2 = 0").select(F.col("seq").alias("id"), F.col("source").alias("external_source"), "external_job_id")
@@ -424,7 +438,7 @@ def similarity(v: Views):
     return pairs.select("a", "b", F.round(dedup.trigram_similarity("a", "b"), 6).alias("similarity"))
 
 
-_NAMED = "SELECT id AS seq, created_at, is_active, location_uae AS city, lower(company_name) AS company, title || ' ' || CAST(salary_min % 4 AS STRING) AS title FROM jobs WHERE salary_min IS NOT NULL"
+_NAMED = "SELECT id AS seq, created_at, is_active, location_uae AS city, lower(company_name) AS company, title || ' ' || CAST(coalesce(salary_min, 5) % 4 AS STRING) AS title FROM jobs"
 
 
 @query(
@@ -435,23 +449,35 @@ _NAMED = "SELECT id AS seq, created_at, is_active, location_uae AS city, lower(c
 )
 def l3(v: Views):
     """Later jobs against earlier active ones."""
-    title = F.concat("title", F.lit(" "), (F.col("salary_min") % 4).cast("string"))
-    named = v.jobs.where("salary_min is not null").select(F.col("id").alias("seq"), "created_at", "is_active", F.col("location_uae").alias("city"), F.col("company_name").alias("normalized_company_name"), title.alias("normalized_title"))
+    title = F.concat("title", F.lit(" "), (F.coalesce("salary_min", F.lit(5)) % 4).cast("string"))
+    named = v.jobs.select(F.col("id").alias("seq"), "created_at", "is_active", F.col("location_uae").alias("city"), F.col("company_name").alias("normalized_company_name"), title.alias("normalized_title"))
     early = F.col("created_at") < F.lit("1999-01-01 00:00:00").cast("timestamp")
     return dedup.match_fuzzy(named.where(~early).drop("is_active"), named.where(early).withColumnRenamed("seq", "id")).select("seq", "l3_id")
 
 
-def _kept(v: Views, name: str, df):
-    """df as a table in the shared folder."""
-    path = _shared_folder(v, name)
-    df.write.parquet(path)
-    return v.spark.read.schema(df.schema).parquet(path)
+_SIMILAR = f"""SELECT a.title, a.company, a.place, b.id, len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))) AS s
+    FROM (SELECT DISTINCT normalized_title AS title, lower(normalized_company_name) AS company, lower(city) AS place, {_GRAMS('normalized_title')} AS x FROM n) a
+    JOIN (SELECT min(id) AS id, normalized_title AS title, lower(normalized_company_name) AS company, lower(city) AS place, any_value({_GRAMS('normalized_title')}) AS x FROM o WHERE is_active GROUP BY ALL) b ON a.company = b.company AND a.place = b.place"""
 
 
-@query("h04_upsert_postings")
+@query(
+    "h04_upsert_postings",
+    f"""WITH e AS ({ENRICHED}),
+    o AS (SELECT seq AS id, source AS external_source, external_job_id, dedup_hash, normalized_title, normalized_company_name, city, seq % 6 <> 0 AS is_active, apply_url, publisher, linkedin_easy_apply FROM e WHERE seq % 2 = 0),
+    n AS (SELECT * FROM e WHERE seq % 2 = 1 AND accepted), s AS ({_SIMILAR}),
+    l3 AS (SELECT title, company, place, id FROM (SELECT *, row_number() OVER (PARTITION BY title, company, place ORDER BY s DESC, id) AS r FROM s WHERE s >= 0.85) WHERE r = 1),
+    l1 AS (SELECT external_source, external_job_id, min(id) AS id FROM o WHERE external_job_id IS NOT NULL GROUP BY ALL), l2 AS (SELECT dedup_hash, min(id) AS id FROM o GROUP BY dedup_hash),
+    m AS (SELECT n.*, coalesce(l1.id, l2.id, l3.id) AS match_id FROM n LEFT JOIN l1 ON l1.external_source = n.source AND l1.external_job_id = n.external_job_id LEFT JOIN l2 ON l2.dedup_hash = n.dedup_hash
+        LEFT JOIN l3 ON l3.title = n.normalized_title AND l3.company = lower(n.normalized_company_name) AND l3.place = lower(n.city)),
+    h AS (SELECT match_id, count(*) AS k, arg_max(apply_url, seq) FILTER (WHERE trim(coalesce(apply_url, '')) <> '') AS u, arg_max(publisher, seq) FILTER (WHERE publisher IS NOT NULL) AS p, arg_max(linkedin_easy_apply, seq) FILTER (WHERE linkedin_easy_apply IS NOT NULL) AS q FROM m WHERE match_id IS NOT NULL GROUP BY match_id)
+    SELECT o.id, external_source, external_job_id, dedup_hash, normalized_title, normalized_company_name, city, is_active OR k IS NOT NULL AS is_active, coalesce(u, apply_url) AS apply_url, coalesce(p, publisher) AS publisher, coalesce(q, linkedin_easy_apply) AS linkedin_easy_apply,
+        CASE WHEN k IS NOT NULL THEN {AS_OF} END AS last_seen_at, CAST(coalesce(k, 0) AS INT) AS duplicate_source_count, {AS_OF} AS expires_at FROM o LEFT JOIN h ON h.match_id = o.id
+    UNION ALL SELECT seq + 10000000, source, external_job_id, dedup_hash, normalized_title, normalized_company_name, city, true, apply_url, publisher, linkedin_easy_apply, {AS_OF}, 0, {AS_OF} + INTERVAL 30 DAY FROM m WHERE match_id IS NULL""",
+)
 def upsert(v: Views):
-    # Each side is read by three matchers, so it is worked out once.
-    jobs, new = (_kept(v, name, df) for name, df in (("jobs", _job_table(v)), ("batch", _batch(v).where("reject_stage is null"))))
+    # All postings are worked out once; each side is read by three matchers.
+    enriched = stored(v.spark, scoring.enrich(v.postings).withColumn("external_source", F.col("source")), "enriched")
+    jobs, new = _job_table(enriched), enriched.where("seq % 2 = 1 and reject_stage is null")
     batch = dedup.resolve(new, jobs)
     new = batch.withColumns({"id": F.col("seq") + 10_000_000, "is_active": F.lit(True), "last_seen_at": F.lit(NOW).cast("timestamp"), "duplicate_source_count": F.lit(0), "expires_at": F.lit(NOW).cast("timestamp") + F.expr("INTERVAL 30 DAYS")})
     return dedup.upsert_postings(jobs, new, NOW).drop("seq")
@@ -459,27 +485,32 @@ def upsert(v: Views):
 
 @query("h05_resolve_batch")
 def same_batch(v: Views):
-    return dedup.resolve_batch(_batch(v).where("reject_stage is null"))
-
+    """All accepted postings as one batch."""
+    accepted = scoring.enrich(v.postings).where("reject_stage is null")
+    return dedup.resolve_batch(stored(v.spark, accepted.select("seq", F.col("source").alias("external_source"), "external_job_id", "dedup_hash", "normalized_title", "normalized_company_name", "city"), "batch"))
 
-@query("g06_order_friction")
-def friction_order(v: Views):
-    return activity.order_friction(activity.friction_signals(v.members, v.login_attempts, EVENTS_NOW)).select("user_id", "signal", "severity", "days")
 
+@query("g06_order_friction", f"SELECT row_number() OVER (ORDER BY CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, days DESC, user_id, signal) AS place, user_id, signal, severity, days FROM ({FRICTION_SQL}) QUALIFY place <= 100")
+def friction_page(v: Views):
+    """The first page of a worklist, with its places."""
+    page = activity.order_friction(activity.friction_signals(v.members, v.login_attempts, EVENTS_NOW)).limit(100)
+    # At most 100 rows.
+    return page.select(F.row_number().over(Window.orderBy(*activity.friction_order())).alias("place"), "user_id", "signal", "severity", "days")
 
-def _shared_folder(v: Views, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors see."""
-    import uuid
 
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/jobloom-checkpoints/{v.spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+@query("i06_tier_admission")
+def tiers_admitted(v: Views):
+    """Requests of each kind of endpoint against its own limit."""
+    kind = F.element_at(F.array(*[F.lit(f"/api/v1/{u}") for u in ("auth/login", "auth/refresh", "jobs")]), (F.col("user_id") % 3 + 1).cast("int"))
+    requests = v.events.select(X.classify_endpoint(kind).alias("tier"), F.concat(F.lit("10.0.0."), (F.col("user_id") % 7).cast("string")).alias("ip"), F.col("event_id").alias("id"), "ts")
+    return limits.tier_admission(requests, window_seconds=4 * 3600)
 
 
 @query("a16_write_jobs", "SELECT id, title, is_active FROM jobs")
 def written(v: Views):
     from jobloom.sources.tables import read_snapshot, write_snapshot
 
-    path = _shared_folder(v, "jobs")
+    path = shared_folder(v.spark, "jobs")
     jobs = v.jobs.select("id", "title", "is_active")
     write_snapshot(jobs, path)
     return read_snapshot(v.spark, path, jobs.schema)
@@ -489,7 +520,7 @@ def written(v: Views):
 def logged(v: Views):
     from jobloom.sources.tables import append_log
 
-    path = _shared_folder(v, "runs")
+    path = shared_folder(v.spark, "runs")
     tally = maintenance.run_tally(v.runs).select("source", "keyword", "fetched", "inserted")
     for source in ("adzuna", "jsearch", "careerjet"):
         append_log(tally.where(F.col("source") == source), path)
@@ -500,7 +531,7 @@ def logged(v: Views):
 def streamed(v: Views):
     from jobloom.streaming.ingest import ingest_stream
 
-    out, landed = _shared_folder(v, "stream"), _shared_folder(v, "landed")
+    out, landed = shared_folder(v.spark, "stream"), shared_folder(v.spark, "landed")
     events = v.events.select("event_id", "event_type")
     events.write.parquet(landed)
     # Written under the batch's number: a repeated batch replaces itself.

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import rules
 from jobloom.operators import activity, directory, maintenance
-from jobloom.plans.adapters import AS_OF, EVENTS_AS_OF
+from jobloom.plans.adapters import AS_OF, EVENTS_AS_OF, EVENTS_NOW, NOW
 from jobloom.plans.catalog import Views, query
-from jobloom.plans.search_queries import EVENTS_NOW, NOW
 
 
 @query("e01_public_stats", "SELECT count(*) FILTER (WHERE is_active) AS active_jobs, count(DISTINCT CASE WHEN is_active THEN company_name END) AS companies, (SELECT count(*) FROM users) AS users FROM jobs")
@@ -104,9 +103,9 @@ def tally(v: Views):
     return maintenance.run_tally(v.runs)
 
 
-@query("e14_keyword_counters", f"SELECT k.id, k.inserted + coalesce(r.i, 0) AS inserted, k.duplicates + coalesce(r.d, 0) AS duplicates, CASE WHEN r.i IS NOT NULL THEN {AS_OF} ELSE k.last_run_at END AS last_run_at FROM keywords k LEFT JOIN (SELECT p_name AS keyword, sum(l_linenumber) AS i, count(*) AS d FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_partkey % 3 = 0 GROUP BY p_name) r ON r.keyword = k.keyword")
+@query("e14_keyword_counters", f"SELECT k.id, k.inserted + coalesce(r.i, 0) AS inserted, k.duplicates + coalesce(r.d, 0) AS duplicates, CASE WHEN r.i IS NOT NULL THEN {AS_OF} ELSE k.last_run_at END AS last_run_at FROM keywords k LEFT JOIN (SELECT p_name AS keyword, sum(l_linenumber) AS i, count(*) AS d FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_name) r ON r.keyword = k.keyword")
 def counters(v: Views):
-    run = v.lineitem.where("l_partkey % 3 = 0").join(v.part, F.col("p_partkey") == F.col("l_partkey"))
+    run = v.lineitem.join(v.part, F.col("p_partkey") == F.col("l_partkey"))
     run = run.groupBy(F.col("p_name").alias("keyword")).agg(F.sum("l_linenumber").alias("inserted"), F.count("*").alias("duplicates"))
     return maintenance.keyword_counters(v.keywords, run, NOW).select("id", "inserted", "duplicates", "last_run_at")
 
@@ -141,7 +140,10 @@ _WAIT = f"'Waiting for ' || CAST({_DAYS} AS STRING) || ' days'"
 _NEVER = f"verified AND last_login IS NULL AND created_at < {EVENTS_AS_OF} - INTERVAL 3 DAY"
 
 
-@query("h02_friction_signals", f"SELECT m.id AS user_id, 'REPEATED_FAILURES' AS signal, CASE WHEN f.n >= 5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 0 AS days, CAST(f.n AS STRING) || ' failed sign-ins in 24 hours' AS message, 'RESET_PASSWORD' AS action FROM members m JOIN (SELECT user_id, count(*) AS n FROM login_attempts WHERE NOT success AND user_id IS NOT NULL AND created_at > {EVENTS_AS_OF} - INTERVAL 1 DAY GROUP BY user_id HAVING count(*) >= 3) f ON f.user_id = m.id UNION ALL SELECT id, 'EMPLOYER_INACTIVE', CASE WHEN {_DAYS} >= 7 THEN 'HIGH' ELSE 'MEDIUM' END, {_DAYS}, {_WAIT}, 'SEND_WELCOME' FROM members WHERE {_NEVER} AND user_type = 'hr' UNION ALL SELECT id, 'VERIFIED_NEVER_LOGIN', 'LOW', {_DAYS}, {_WAIT}, 'SEND_WELCOME' FROM members WHERE {_NEVER} AND user_type <> 'hr' UNION ALL SELECT id, 'STUCK_PENDING_LONG', CASE WHEN {_DAYS} >= 7 THEN 'HIGH' WHEN {_DAYS} >= 3 THEN 'MEDIUM' ELSE 'LOW' END, {_DAYS}, {_WAIT}, 'RESEND_VERIFICATION' FROM members WHERE NOT verified AND created_at < {EVENTS_AS_OF} - INTERVAL 2 DAY")
+FRICTION_SQL = f"SELECT m.id AS user_id, 'REPEATED_FAILURES' AS signal, CASE WHEN f.n >= 5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 0 AS days, CAST(f.n AS STRING) || ' failed sign-ins in 24 hours' AS message, 'RESET_PASSWORD' AS action FROM members m JOIN (SELECT user_id, count(*) AS n FROM login_attempts WHERE NOT success AND user_id IS NOT NULL AND created_at > {EVENTS_AS_OF} - INTERVAL 1 DAY GROUP BY user_id HAVING count(*) >= 3) f ON f.user_id = m.id UNION ALL SELECT id, 'EMPLOYER_INACTIVE', CASE WHEN {_DAYS} >= 7 THEN 'HIGH' ELSE 'MEDIUM' END, {_DAYS}, {_WAIT}, 'SEND_WELCOME' FROM members WHERE {_NEVER} AND user_type = 'hr' UNION ALL SELECT id, 'VERIFIED_NEVER_LOGIN', 'LOW', {_DAYS}, {_WAIT}, 'SEND_WELCOME' FROM members WHERE {_NEVER} AND user_type <> 'hr' UNION ALL SELECT id, 'STUCK_PENDING_LONG', CASE WHEN {_DAYS} >= 7 THEN 'HIGH' WHEN {_DAYS} >= 3 THEN 'MEDIUM' ELSE 'LOW' END, {_DAYS}, {_WAIT}, 'RESEND_VERIFICATION' FROM members WHERE NOT verified AND created_at < {EVENTS_AS_OF} - INTERVAL 2 DAY"
+
+
+@query("h02_friction_signals", FRICTION_SQL)
 def friction(v: Views):
     return activity.order_friction(activity.friction_signals(v.members, v.login_attempts, EVENTS_NOW))
 

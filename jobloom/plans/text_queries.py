@@ -123,11 +123,11 @@ def non_blank(v: Views):
     return v.users.select("id", X.first_non_blank("display_name", "country", "email").alias("shown"))
 
 
-@query("b16_parse_salary_range", "SELECT id, salary_min AS low, coalesce(salary_max, salary_min) AS high FROM jobs WHERE salary_min IS NOT NULL")
+@query("b16_parse_salary_range", "SELECT id, salary_min AS low, CASE WHEN salary_min IS NOT NULL THEN coalesce(salary_max, salary_min) END AS high FROM jobs")
 def salary(v: Views):
     text = F.concat(F.lit("AED "), F.format_number("salary_min", 0), F.coalesce(F.concat(F.lit(" - "), F.format_number("salary_max", 0)), F.lit(" a month")))
     found = X.parse_salary_range(text)
-    return v.jobs.where("salary_min is not null").select("id", found["low"].alias("low"), found["high"].alias("high"))
+    return v.jobs.select("id", found["low"].alias("low"), found["high"].alias("high"))
 
 
 @query("b17_linkedin_job_id", "SELECT id, CASE WHEN linkedin_url IS NOT NULL THEN CAST(id AS STRING) END AS job FROM jobs")
@@ -240,9 +240,12 @@ def hashed(v: Views):
     return v.postings.select("seq", X.dedup_hash("company_name", "title", "location_uae").alias("hash"))
 
 
-@query("b32_slugify")
+_SLUG = "regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
+
+
+@query("b32_slugify", f"SELECT doc_id, CASE WHEN {_SLUG} = '' THEN 'job' ELSE {_SLUG} END AS slug FROM documents")
 def slug(v: Views):
-    return v.documents.select("doc_id", X.slugify("text").alias("slug"))
+    return X.with_slug(v.documents.select("doc_id", "text"), "text").select("doc_id", "slug")
 
 
 _FULL = "CASE WHEN starts_with(trim(u), 'http') THEN trim(u) ELSE 'https://' || trim(u) END"
@@ -312,10 +315,23 @@ def header(v: Views):
 
 @query("b42_description_html")
 def rendered(v: Views):
-    return v.postings.select("seq", html.description_html(F.col("description")).alias("html"))
+    return v.postings.select("seq", html.description_html("description").alias("html"))
+
+
+def _sanitised() -> str:
+    """Without look-ahead and back references: kept tags are marked, the other tags go, and the marks are tags again."""
+    out = "regexp_replace(coalesce(html, ''), '(?i)```[a-z]*', '', 'g')"
+    # The first of the dangerous elements to begin ends with its own kind, so they go in one pass.
+    out = f"regexp_replace({out}, '(?is)" + "|".join(f"<{t}\\b[^>]*>.*?</{t}\\s*>" for t in X.DANGEROUS.split("|")) + "', '', 'g')"
+    out = f"regexp_replace({out}, '(?i)<(/?)(h3|p|ul|li)\\b[^>]*>', chr(1) || '\\1\\2' || chr(2), 'g')"
+    out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
+    for tag in ("h3", "p", "ul", "li"):
+        out = f"regexp_replace({out}, '(?i)' || chr(1) || '(/?){tag}' || chr(2), '<\\1{tag}>', 'g')"
+        out = f"regexp_replace({out}, '<{tag}>\\s*</{tag}>', '', 'g')"
+    return _STRIP(out)
 
 
-@query("b43_sanitise_html")
+@query("b43_sanitise_html", f"SELECT page_id, {_sanitised()} AS html FROM pages")
 def sanitised(v: Views):
     return v.pages.select("page_id", X.sanitise_html("html").alias("html"))
 
@@ -354,17 +370,51 @@ def meta(v: Views):
     return v.postings.select("seq", X.meta_description("description", "title", "company_name", "location_uae").alias("text"))
 
 
-@query("b49_body_html")
+_ESCAPED = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+
+
+@query(
+    "b49_body_html",
+    f"""WITH l AS (SELECT seq, unnest(string_split(replace(description, chr(13), ''), chr(10))) AS raw, generate_subscripts(string_split(replace(description, chr(13), ''), chr(10)), 1) AS i FROM postings),
+    s AS (SELECT seq, i, {_STRIP('raw')} AS line FROM l), k AS (SELECT seq, i, regexp_matches(line, '^(•|- |[*] )') AS bullet, line FROM s),
+    t AS (SELECT seq, i, bullet, CASE WHEN bullet THEN {_STRIP('substring(line, 2)')} ELSE line END AS text FROM k),
+    u AS (SELECT *, sum(length(text)) OVER (PARTITION BY seq ORDER BY i) AS used FROM t WHERE text <> '' AND (bullet OR lower(text) <> 'overview')),
+    w AS (SELECT *, coalesce(lag(bullet) OVER o, false) AS before, lead(bullet) OVER o AS behind FROM u WHERE used <= 8000 WINDOW o AS (PARTITION BY seq ORDER BY i))
+    SELECT p.seq, coalesce(h.html, '') AS html FROM postings p LEFT JOIN (SELECT seq, string_agg(CASE WHEN bullet AND NOT before THEN '<ul>' WHEN before AND NOT bullet THEN '</ul>' ELSE '' END || CASE WHEN bullet THEN '<li>' ELSE '<p>' END || {_ESCAPED('text')}
+    || CASE WHEN bullet THEN '</li>' ELSE '</p>' END || CASE WHEN bullet AND behind IS NULL THEN '</ul>' ELSE '' END, '' ORDER BY i) AS html FROM w GROUP BY seq) h ON h.seq = p.seq""",
+)
 def body(v: Views):
     return v.postings.select("seq", X.body_html("description").alias("html"))
 
 
-@query("b50_job_posting_jsonld")
+_SHOWN_PLACE = f"{_STRIP('''regexp_replace(regexp_replace(location_uae, '(?i)\\s*-\\s*United Arab Emirates\\s*\\(UAE\\)', '', 'g'), '(?i),\\s*AE\\s*$', '', 'g')''')}"
+_ISO = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%SZ')"
+_AMOUNT = "'\"value\":{\"@type\":\"QuantitativeValue\",' || CASE WHEN salary_min IS NULL THEN '' ELSE '\"minValue\":' || CAST(salary_min AS STRING) || ',' END || CASE WHEN salary_max IS NULL THEN '' ELSE '\"maxValue\":' || CAST(salary_max AS STRING) || ',' END || '\"unitText\":\"MONTH\"}'"
+_LD = (
+    "'{\"@context\":\"https://schema.org/\",\"@type\":\"JobPosting\",\"title\":' || to_json(title) || ',\"description\":' || to_json(" + _PLAIN + ") || ',\"hiringOrganization\":{\"@type\":\"Organization\",\"name\":' || to_json(company_name) || '},\"jobLocation\":{\"@type\":\"Place\",\"address\":{\"@type\":\"PostalAddress\",\"addressLocality\":' || to_json("
+    + _SHOWN_PLACE + ") || ',\"addressCountry\":\"AE\"}},\"employmentType\":\"' || CASE job_type WHEN 'full_time' THEN 'FULL_TIME' WHEN 'part_time' THEN 'PART_TIME' WHEN 'contract' THEN 'CONTRACTOR' ELSE 'INTERN' END || '\"' || CASE WHEN posted_at IS NULL THEN '' ELSE ',\"datePosted\":\"' || "
+    + _ISO("posted_at") + " || '\"' END || ',\"validThrough\":\"' || " + _ISO("expires_at") + " || '\",\"directApply\":' || CASE WHEN trim(coalesce(apply_url, '')) = '' THEN 'true' ELSE 'false' END || CASE WHEN salary_min IS NULL AND salary_max IS NULL THEN '' ELSE ',\"baseSalary\":{\"@type\":\"MonetaryAmount\",\"currency\":\"AED\",' || " + _AMOUNT + " || '}' END || '}'"
+)
+
+
+@query("b50_job_posting_jsonld", f"SELECT id, replace(replace(replace({_LD}, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS json FROM jobs")
 def jsonld(v: Views):
     return v.jobs.select("id", X.job_posting_jsonld("title", "description", "company_name", "location_uae", "job_type", "posted_at", "expires_at", "apply_url", "salary_min", "salary_max", F.lit("AED")).alias("json"))
 
 
-@query("b51_ingest_defaults")
+_REASONS = [("trim(title) = ''", "blank_title"), (_re("title", rules.STRONG_NEGATIVE), "other_profession"), (f"{_re('title', rules.TRADE)} AND NOT {_re('title', rules.TRADE_OVERRIDE)}", "trade"), (f"{_re('location_uae', rules.OTHER_COUNTRY)} AND NOT {_re('location_uae', rules.UAE_PLACE)}", "foreign_location"), (f"lower(location_uae) = '{rules.GENERIC_REMOTE}' AND {_re('description', rules.OTHER_COUNTRY)} AND NOT {_re('description', rules.UAE_PLACE)}", "foreign_remote"), (f"{_re('description', rules.EU_SCOPE)} AND NOT {_re('description', rules.UAE_PLACE)}", "eu_scope")]
+_OWN, _WIDE = "trim(split_part(location_uae, ',', 1))", "(split_part(location_uae, ',', 1) || ' ' || location_uae || ' ' || coalesce(emirate, ''))"
+_EMIRATE_SPELLED = f"replace({_emirate(_WIDE)}, '_', ' ')"
+_EVERY_TECH = _TECH.replace("coalesce(description,", "coalesce(lower(title || ' ' || description || ' ' || coalesce(requirements, '')),")
+#: All that scoring.enrich derives from a posting and later queries read; the country is the UAE throughout.
+ENRICHED = f"""SELECT *, sha256(lower({_CLEAN('normalized_company_name')} || '|' || {_CLEAN('normalized_title')} || '|' || {_CLEAN('city')})) AS dedup_hash, reason IS NULL AND greatest(0, least(100, {_POINTS})) >= {rules.MIN_SCORE} AS accepted FROM (
+    SELECT seq, source, external_job_id, publisher, title, description, apply_url, remote_uae, linkedin_easy_apply, CASE WHEN {_CANON} IS NULL THEN {_BARE} ELSE trim({_PREFIX} || ' ' || {_CANON}) END AS normalized_title, CASE WHEN trim({_NOISE}) = '' THEN trim(company_name) ELSE trim({_NOISE}) END AS normalized_company_name,
+    CASE WHEN {_OWN} = '' AND {_emirate(_WIDE)} IS NOT NULL THEN upper(substring({_EMIRATE_SPELLED}, 1, 1)) || substring({_EMIRATE_SPELLED}, 2) ELSE {_OWN} END AS city, {_case(_REASONS)} AS reason, {_EVERY_TECH} AS t FROM postings)"""
+_NORMAL = _CATEGORY.replace("lower(' ' || title", "lower(' ' || normalized_title")
+_REMOTELY = f"(remote_uae OR (NOT regexp_matches({_LOWER}, '\\bhybrid\\b') AND regexp_matches({_LOWER}, '\\b(?:remote|work from home|wfh)\\b')))"
+
+
+@query("b51_ingest_defaults", f"WITH e AS ({ENRICHED}) SELECT seq, normalized_title AS title, coalesce({_NORMAL}, 'other') AS job_category, {_REMOTELY} AS remote_uae, TIMESTAMP '1998-09-02 00:00:00' AS posted_at, TIMESTAMP '1998-10-02 00:00:00' AS expires_at, true AS is_active FROM e WHERE accepted")
 def defaults(v: Views):
     return scoring.ingest_defaults(scoring.enrich(v.postings).where("reject_stage is null"), "1998-09-02 00:00:00").select("seq", "title", "job_category", "remote_uae", "posted_at", "expires_at", "is_active")
 
@@ -469,7 +519,26 @@ def route(v: Views):
     return v.postings.select("seq", feeds.route_ats_url(url).alias("r")).select("seq", "r.ats", "r.board", "r.job")
 
 
-@query("a08_postings_from_pages")
+# Pages of the table have a title, no meta data, and their text in an article, if they have one.
+_HTML_TEXT = lambda c: f"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({c}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->|<[^>]+>', '', 'g'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '[\\s\\x{{A0}}]+', ' ', 'g'))"
+_ARTICLE = _HTML_TEXT("regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1)")
+_RENDERED = f"CASE WHEN length({_ARTICLE}) >= 150 THEN {_ARTICLE} END"
+_RAW_TITLE = _STRIP("""regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\\s{2,}', ' ', 'g')""")
+
+
+def _without_site(title: str) -> str:
+    left = [_STRIP(f"regexp_extract({title}, '(?s)^(.+){sep}', 1)") for sep in (" \\| ", " – ", " — ", " :: ")]
+    return "CASE " + " ".join(f"WHEN {x} <> '' AND len(string_split_regex({x}, '\\s+')) <= 10 THEN {x}" for x in left) + f" ELSE {title} END"
+
+
+_PAGE_TITLE = f"({_without_site(_RAW_TITLE)})"
+_PAGE_HOST = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', ''), '^(?:careers?|jobs?|talent|recruitment)\\.', ''), '\\.[a-z]{2,6}$', '')"
+_PAGE_COMPANY = f"array_to_string(list_transform(list_filter(string_split_regex({_PAGE_HOST}, '[._\\-\\s]+'), lambda w: w <> ''), lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), ' ')"
+_PAGE_CITY = _case([(f"contains(replace(lower({_PAGE_TITLE}), '-', ' '), '{n}')", _NAMES[n]) for n in rules.CITY_ORDER])
+_MISSING = "Description could not be extracted. Fill it in before importing."
+
+
+@query("a08_postings_from_pages", f"SELECT page_id, url AS apply_url, nullif({_PAGE_TITLE}, '') AS title, {_PAGE_COMPANY} AS company_name, {_RENDERED} AS description, {_PAGE_CITY} AS location_uae, {_PAGE_TITLE} <> '' AND {_RENDERED} IS NOT NULL AS complete, CASE WHEN {_PAGE_TITLE} = '' THEN 'No title was found on the page. Fill it in before importing.' WHEN {_RENDERED} IS NULL THEN '{_MISSING}' END AS message FROM pages")
 def page_postings(v: Views):
     return pages.postings_from_pages(v.pages)
 
@@ -483,34 +552,52 @@ def page_jsonld(v: Views):
     return pages.with_jsonld(made).select("seq", "ld.title", "ld.company_name", "ld.location_uae")
 
 
-@query("a10_page_microdata")
+_FLAT = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+_CITY_OF = lambda c: _case([(f"contains(replace(lower({c}), '-', ' '), '{n}')", _NAMES[n]) for n in rules.CITY_ORDER])
+
+
+@query("a10_page_microdata", f"SELECT seq, CASE WHEN length({_FLAT('description')}) >= 80 THEN title END AS title, CASE WHEN length({_FLAT('description')}) >= 80 THEN company_name END AS company_name, CASE WHEN length({_FLAT('description')}) >= 80 THEN {_FLAT('description')} END AS description, CASE WHEN length({_FLAT('description')}) >= 80 THEN CASE WHEN trim(location_uae) = '' THEN {_CITY_OF('title || chr(32) || description')} ELSE coalesce({_CITY_OF('location_uae')}, location_uae) END END AS location_uae FROM postings")
 def page_microdata(v: Views):
-    return pages.with_microdata(pages.with_elements(v.pages)).select("page_id", "micro.*")
+    """Postings as pages with item properties, read again."""
+    tag = lambda name, c: F.concat(F.lit(f'<div itemprop="{name}"><b>'), X.escape_html(c), F.lit("</b></div>"))
+    page = F.concat(F.lit("<html><body><script>var x='<p>';</script>"), tag("title", "title"), tag("hiringOrganization", "company_name"), tag("addressLocality", "location_uae"), tag("description", "description"), F.lit("</body></html>"))
+    made = v.postings.select(F.col("seq").alias("page_id"), page.alias("html"), F.lit("https://x.example/").alias("url"))
+    return pages.with_microdata(pages.with_elements(made)).select(F.col("page_id").alias("seq"), "micro.title", "micro.company_name", "micro.description", "micro.location_uae")
 
 
-@query("a11_page_opengraph")
+@query("a11_page_opengraph", f"SELECT page_id, nullif({_PAGE_TITLE}, '') AS title, {_PAGE_COMPANY} AS company_name, CAST(NULL AS STRING) AS description, {_PAGE_CITY} AS location_uae, false AS complete, CASE WHEN {_PAGE_TITLE} = '' THEN 'No title was found on the page. Fill it in before importing.' ELSE '{_MISSING}' END AS message FROM pages")
 def page_opengraph(v: Views):
     return pages.with_opengraph(v.pages).select("page_id", "og.*")
 
 
-@query("a12_page_linkedin")
+@query("a12_page_linkedin", f"SELECT seq, CAST(seq AS STRING) AS linkedin_id, title, company_name, coalesce({_CITY_OF('location_uae')}, {_CITY_OF('description')}) AS location_uae, {_FLAT('description')} AS description, 'Employment type: Contract' AS requirements, salary_min, coalesce(salary_max, salary_min) AS salary_max, 'contract' AS job_type FROM postings WHERE salary_min IS NOT NULL OR salary_max IS NULL")
 def page_linkedin(v: Views):
-    return pages.linkedin_fields(v.pages)
+    """Postings as public job pages, read again."""
+    tag = lambda name, c: F.concat(F.lit(f'<span class="x {name}">'), X.escape_html(c), F.lit("</span>"))
+    salary = F.coalesce(F.concat(F.lit("AED "), F.format_number("salary_min", 0), F.coalesce(F.concat(F.lit(" - "), F.format_number("salary_max", 0)), F.lit(""))), F.lit(""))
+    criteria = F.lit('<h3 class="description__job-criteria-subheader">Employment type</h3><span class="description__job-criteria-text">Contract</span>')
+    page = F.concat(F.lit("<html><body>"), tag("topcard__title", "title"), tag("topcard__flavor", "company_name"), tag("topcard__flavor--bullet", "location_uae"), tag("description__text", "description"), criteria, tag("salary", salary), F.lit("</body></html>"))
+    made = v.postings.where("salary_min is not null or salary_max is null").select(F.col("seq").alias("page_id"), F.concat(F.lit("https://ae.linkedin.com/jobs/view/"), "seq").alias("url"), page.alias("html"))
+    return pages.linkedin_fields(made).select(F.col("page_id").alias("seq"), "linkedin_id", "title", "company_name", "location_uae", "description", "requirements", "salary_min", "salary_max", "job_type")
 
 
-@query("a15_rendered_description")
+@query("a15_rendered_description", f"SELECT page_id, {_RENDERED} AS rendered FROM pages")
 def page_rendered(v: Views):
     return pages.with_elements(v.pages).select("page_id", "rendered")
 
 
-@query("a19_job_page_html")
+_META = f"CASE WHEN length({_PLAIN}) <= 155 THEN {_PLAIN} WHEN length(regexp_extract(substring({_PLAIN}, 1, 155), '(?s)^(.*) ', 1)) < 77 THEN rtrim(substring({_PLAIN}, 1, 154)) || '…' ELSE rtrim(regexp_extract(substring({_PLAIN}, 1, 155), '(?s)^(.*) ', 1)) || '…' END"
+_HEAD = _ESCAPED("title || ' at ' || company_name")
+
+
+@query("a19_job_page_html", f"SELECT id, '<!doctype html><html><head><title>' || {_HEAD} || '</title><meta name=\"description\" content=\"' || {_ESCAPED(_META)} || '\"></head><body><h1>' || {_HEAD} || '</h1><p>' || {_ESCAPED(_STRIP('description'))} || '</p></body></html>' AS html FROM jobs WHERE is_active")
 def job_pages(v: Views):
     head = X.escape_html(F.concat("title", F.lit(" at "), "company_name"))
     page = F.concat(F.lit("<!doctype html><html><head><title>"), head, F.lit('</title><meta name="description" content="'), X.escape_html(X.meta_description("description", "title", "company_name", "location_uae")), F.lit('"></head><body><h1>'), head, F.lit("</h1>"), X.body_html("description"), F.lit("</body></html>"))
     return v.jobs.where("is_active").select("id", page.alias("html"))
 
 
-@query("c18_complete_preview")
+@query("c18_complete_preview", f"SELECT page_id, CASE WHEN {_PAGE_TITLE} = '' THEN 'No title was found on the page. Fill it in before importing.' ELSE '{_MISSING}' END AS message FROM pages WHERE {_PAGE_TITLE} = '' OR {_RENDERED} IS NULL")
 def complete(v: Views):
     return pages.postings_from_pages(v.pages).where("not complete").select("page_id", "message")
 
@@ -528,3 +615,30 @@ def tokens(v: Views):
     from jobloom.operators.search import publisher_match
 
     return v.postings.withColumn("linkedin_url", F.lit(None).cast("string")).where(publisher_match(["indeed", "acme2"])).select("seq")
+
+
+#: Further entries: one in capitals, with a class, optional and repeated parts, and one without a plain beginning.
+MORE_TECHNOLOGIES = [("erlang", r"Erlang|\b[Ee]lixir\b", "Erlang"), ("color", r"colou?r", "Color"), ("sql", r"(?<![\w])SQL(?![\w])", "SQL"), ("numbers", r"[0-9]{3,}", "Numbers"), ("wide", r"(?:plat|uni)form(?:s|ed)?", "Wide"), ("plus", r"c\+\+|th\w+ing", "Plus")]
+
+
+@query("b24_custom_catalogue", "SELECT seq, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_re('description', p)} THEN '{k}' END" for k, p, _ in MORE_TECHNOLOGIES) + "], lambda x: x IS NOT NULL), ',') AS technologies FROM postings")
+def custom_technologies(v: Views):
+    return v.postings.select("seq", F.array_join(X.extract_technologies("description", MORE_TECHNOLOGIES), ",").alias("technologies"))
+
+
+@query("j01_ingest_enabled_feeds", "SELECT CASE WHEN seq % 3 = 0 THEN 'adzuna' ELSE 'careerjet' END AS feed, title, company_name FROM postings WHERE (seq % 3 = 0 AND apply_url <> '') OR seq % 3 = 1")
+def ingested(v: Views):
+    """Payloads of three feeds, of which one is switched off."""
+    k = F.col("seq") % 3
+    adzuna_ = _payload(results=F.array(F.struct(F.col("seq").alias("id"), "title", F.col("apply_url").alias("redirect_url"), F.struct(F.col("company_name").alias("display_name")).alias("company"), "description")))
+    careerjet_ = _payload(jobs=F.array(F.struct(F.concat(F.lit("https://www.careerjet.ae/jobad/"), "seq").alias("url"), "title", F.col("company_name").alias("company"), F.col("location_uae").alias("locations"), "description")))
+    himalayas_ = _payload(jobs=F.array(F.struct(F.col("seq").alias("guid"), "title", F.col("company_name").alias("companyName"), F.lit("s").alias("slug"), "description")))
+    raw = v.postings.select(F.when(k == 0, "adzuna").when(k == 1, "careerjet").otherwise("himalayas").alias("feed"), F.when(k == 0, adzuna_).when(k == 1, careerjet_).otherwise(himalayas_).alias("payload"))
+    return feeds.ingest(raw, {"himalayas": False}).select("feed", "title", "company_name")
+
+
+@query("j02_format_by_source", f"SELECT id, CASE WHEN source = 'adzuna' THEN '<p>' || {_ESCAPED('description')} || '</p>' ELSE '<ul><li>' || {_ESCAPED('title')} || '</li></ul>' END AS html FROM jobs")
+def formatted_by_source(v: Views):
+    """A formatter of its own for one source, the default one for the others."""
+    chosen = {"Adzuna": lambda c: F.concat(F.lit("<p>"), X.escape_html(c), F.lit("</p>")), "default": lambda c: F.concat(F.lit("<ul><li>"), X.escape_html("title"), F.lit("</li></ul>"))}
+    return v.jobs.select("id", html.format_description("source", "description", chosen).alias("html"))
