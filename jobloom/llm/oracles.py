@@ -43,14 +43,14 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 
 def _licenses() -> str:
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in BASE.items())
-    templates = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in TEMPLATES.items())
+    templates = ", ".join(f"('{t.label}', {t.words}, {list(t.marks)}, {list(t.without) or '[]::VARCHAR[]'}, {t.need()}, {t.span})" for t in TEMPLATES)
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER} AS t, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
-p(phrase, label, n) AS (VALUES {phrases}), t(label, words) AS (VALUES {templates}),
+p(phrase, label, n) AS (VALUES {phrases}), t(label, words, marks, without, need, span) AS (VALUES {templates}),
 b AS (SELECT r, i - 1 AS pos, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) o JOIN p ON array_to_string(o.w[o.i : o.i + p.n - 1], ' ') = p.phrase),
 f AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY r),
-l AS (SELECT r, list_distinct(regexp_extract_all(line, '{_ALNUM}')) AS words FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
-m AS (SELECT l.r, t.label, len(list_intersect(l.words, t.words)) / len(t.words) AS score FROM l JOIN t ON list_has_any(l.words, t.words) WHERE 10 * len(list_intersect(l.words, t.words)) >= 8 * len(t.words)),
+l AS (SELECT r, label, words, marks, without, need, list_distinct(w[i : i + span - 1]) AS own FROM (SELECT d.r, d.w, t.*, unnest(range(1, len(d.w) + 1)) AS i FROM d JOIN t ON list_has_all(d.w, t.marks))),
+m AS (SELECT r, label, len(list_intersect(own, words)) / len(words) AS score FROM l WHERE list_has_all(own, marks) AND NOT list_has_any(own, without) AND len(list_intersect(own, words)) >= need),
 g AS (SELECT r, max(score) AS best FROM m GROUP BY r),
 a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM b UNION SELECT r, label FROM m) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score

@@ -383,6 +383,42 @@ def test_licenses_base_places(spark):
     assert labels[7] == "gpl,gpl-3.0" and labels[8] == "mit"
 
 
+def plain_templates(text, templates, threshold):
+    """The best containment of each template over all blocks of a text."""
+    w, found = plain.alnum(text), {}
+    for t in templates:
+        wanted = set(t.text.split())
+        for i in range(len(w)):
+            own = set(w[i : i + t.span])
+            if set(t.marks) <= own and not own & set(t.without) and len(own & wanted) >= t.need(threshold):
+                found[t.label] = max(found.get(t.label, 0), len(own & wanted) / len(wanted))
+    return found
+
+
+def test_license_templates_are_brute_force(spark):
+    """Notices wrapped over lines, with words lost and put in, and look-alikes, among prose."""
+    r = random.Random(12)
+    prose = lambda n: [r.choice("the a of this under license version public is software copy mit gnu free use boat sail wind".split()) for _ in range(n)]
+    rows = []
+    for i in range(150):
+        w = r.choice(licenses.TEMPLATES).text.split()
+        w = [x for x in w if r.random() > 0.06]
+        for _ in range(r.randint(0, 4)):
+            w.insert(r.randrange(len(w) + 1), r.choice(["boat", "lesser", "2", "noncommercial"]))
+        w = prose(r.randint(0, 30)) + w + prose(r.randint(0, 30))
+        rows.append((i, "".join(x.title() + r.choice([" ", " ", "\n * ", ", "]) for x in w)))
+    given = [(500, "Released under the BSD license."), (501, "Licensed under CC BY 4.0."), (502, "Licensed under the Mozilla Public License, version 2.0."), (503, "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following\n# conditions are met:")]
+    rows += given + [(504, "released under a tree far away from here by someone the mit of old lost its license"), (505, None), (506, "")]
+    want = {d: plain_templates(t, licenses.TEMPLATES, licenses.THRESHOLD) for d, t in rows}
+    texts = licenses.scanned(spark, keyed(frame(spark, rows, extra=True)), licenses.TEMPLATES)
+    got = {}
+    for x in licenses.template_matches(spark, texts, licenses.TEMPLATES).collect():
+        got.setdefault(x["id"], {})[x["label"]] = x["containment"]
+    assert got == {d: f for d, f in want.items() if f} and len(got) > 50
+    assert "mit" not in want[500] and "cc-by-nc" not in want[501] and "apache-2.0" not in want[502] and want[503] == {"bsd": 1.0} and not want[504]
+    assert {k for f in got.values() for k in f} == {t.label for t in licenses.TEMPLATES}
+
+
 def test_neighbours_are_brute_force(spark):
     r = random.Random(3)
     rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(1, 160)]
