@@ -15,12 +15,14 @@ of their sets has at least 75 % of the size of the union. The result is each doc
    already known to be connected are skipped.
 4. A candidate component of more than `most` documents is cut into chunks by hash. Chunks are linked inside,
    then their classes' representatives among each other; whatever is not yet in the component's largest
-   class is compared with all chunks. So no task holds such a component and no link is lost.
+   class is compared with those that share one of its first shingles and are of a fitting size, chunk by chunk. So
+   no task holds such a component and no link is lost.
 
 Shingles are compared by 64-bit hashes (32 bits and the bucket only in the filters, where equality by
-accident makes a candidate more). Null and wordless texts have size 0 and are alone; with fewer than five
-words the whole sequence is the only shingle. Repeated rows are in one component. A null doc_id never is the
-smallest unless there is no other. Extra columns are ignored.
+accident makes a candidate more), equal sets are found by 128-bit hashes and then numbered. Null and wordless texts
+have size 0 and are alone; with fewer than five words the whole sequence is the only shingle. Very long texts are
+taken whole. Repeated rows are in one component. A null doc_id never is the smallest unless there is no other. An
+empty table gives no rows. Extra columns are ignored by near_duplicates and kept by keep_first.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import SPACED, arrow_batches, free_name, keyed, mix, stored, word_hashes, words
+from jobloom.llm.common import SPACED, arrow_batches, free_name, keyed, mix, row_key, stored, word_hashes, words
 from jobloom.llm.graphs import components
 
 WIDTH = 5
@@ -225,7 +227,7 @@ def _number(part: int, k: int) -> int:
 
 
 def signatures(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of documents (bucket -1: batch, place, rk, doc_id, n, same: hash of the set) and packed
+    """Rows of documents (bucket -1: batch, place, rk, doc_id, n, same and more: hashes of the set) and packed
     prefixes. In a batch each set's prefix is dealt once."""
 
     def task(batches):
@@ -234,26 +236,26 @@ def signatures(docs: DataFrame, buckets: int) -> DataFrame:
             sets = [s for _, _, data, offsets in arrow_batches(b, "text") for s in shingle_sets(data, offsets)]
             number, k = _number(part, k), k + 1
             n = np.array([len(s) for s in sets], np.int64)
-            same = mix(np.array([(s * (s >> np.uint64(29) | np.uint64(1))).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64) + n.astype(np.uint64)).view(np.int64)
-            yield _rows(number, -1, pa.array(np.arange(len(sets)), pa.int32()), b.column("rk"), b.column("doc_id"), pa.array(n), pa.array(same), None, None)
+            same, more = (mix(np.array([x(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64) + n.astype(np.uint64)).view(np.int64) for x in (lambda s: s * (s >> np.uint64(29) | np.uint64(1)), lambda s: mix(s ^ _SALTS[6])))
+            yield _rows(number, -1, pa.array(np.arange(len(sets)), pa.int32()), b.column("rk"), b.column("doc_id"), pa.array(n), pa.array(same), pa.array(more), None, None)
             _, once = np.unique(same, return_index=True)
             firsts = np.zeros(len(sets), bool)
             firsts[once] = True
             dealt = [s[: prefix_length(len(s))] if f else s[:0] for s, f in zip(sets, firsts, strict=True)]
             for bucket, hashes, counts in _deal(dealt, buckets):
-                yield _rows(number, bucket, None, None, None, None, None, hashes, counts)
+                yield _rows(number, bucket, None, None, None, None, None, None, hashes, counts)
 
     return docs.select("doc_id", "rk", "text").mapInArrow(task, _ROWS)
 
 
-_ROWS = "batch long, bucket int, place int, rk long, doc_id long, n long, same long, hashes binary, counts binary"
-_NAMES = ["batch", "bucket", "place", "rk", "doc_id", "n", "same", "hashes", "counts"]
+_ROWS = "batch long, bucket int, place int, rk long, doc_id long, n long, same long, more long, hashes binary, counts binary"
+_NAMES = ["batch", "bucket", "place", "rk", "doc_id", "n", "same", "more", "hashes", "counts"]
 
 
-def _rows(batch, bucket, place, rk, doc_id, n, same, hashes, counts) -> pa.RecordBatch:
+def _rows(batch, bucket, place, rk, doc_id, n, same, more, hashes, counts) -> pa.RecordBatch:
     rows = 1 if place is None else len(place)
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    given = [pa.array(np.full(rows, batch)), pa.array(np.full(rows, bucket), pa.int32()), place, rk, doc_id, n, same, *[None if x is None else pa.array([x.tobytes()], pa.binary()) for x in (hashes, counts)]]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    given = [pa.array(np.full(rows, batch)), pa.array(np.full(rows, bucket), pa.int32()), place, rk, doc_id, n, same, more, *[None if x is None else pa.array([x.tobytes()], pa.binary()) for x in (hashes, counts)]]
     return pa.RecordBatch.from_arrays([pa.nulls(rows, t) if g is None else g for g, t in zip(given, types, strict=True)], _NAMES)
 
 
@@ -427,9 +429,8 @@ def _link_groups(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.select(*key, "rk", "text").repartition(*key).sortWithinPartitions(*key).mapInArrow(task, "rk long, class long")
 
 
-def _cross_links(some: DataFrame, every: DataFrame) -> DataFrame:
-    """Links a, b between classes of some and of every, chunk against chunk of one candidate component."""
-    pair = ["component", "a_chunk", "b_chunk"]
+def _cross_links(some: DataFrame, every: DataFrame, key: list[str]) -> DataFrame:
+    """Links a, b between classes of some and of every, group by group of key."""
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -444,13 +445,35 @@ def _cross_links(some: DataFrame, every: DataFrame) -> DataFrame:
         moved = np.flatnonzero(found.label != np.arange(len(known)))
         return pa.table({"a": pa.array(known[moved]), "b": pa.array(known[found.label[moved]])})
 
-    columns = [*pair, "class", "text"]
+    columns = [*key, "class", "text"]
     other = every.select([F.col(c).alias(f"of_{c}") for c in columns])
-    return some.select(columns).groupBy(pair).cogroup(other.groupBy([f"of_{c}" for c in pair])).applyInArrow(task, "a long, b long")
-
-
-def _classes(spark: SparkSession, docs: DataFrame, most: int) -> DataFrame:
-    """rk and class of rows (component, rk, text)."""
+    return some.select(columns).groupBy(key).cogroup(other.groupBy([f"of_{c}" for c in key])).applyInArrow(task, "a long, b long")
+
+
+def _apart_links(spark: SparkSession, split: DataFrame, tokens: DataFrame, most: int) -> DataFrame:
+    """Links between documents that are not in their component's main class and all others, from split (rk, n,
+    text, class, main). Linked documents share a token, and their sizes differ by a third of the smaller at most. So
+    only those that share a token and are in neighbouring size classes (powers of 4/3) meet; groups of documents of
+    one class are left out, others are cut into chunks of `most`. Texts are joined last."""
+    sized = split.select("rk", "class", "main", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int").alias("z"))
+    key = ["token", "z"]
+    near = F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1))
+    apart = tokens.join(sized.where(F.col("class") != F.col("main")), "rk").select("token", near.alias("z"), "rk", "class")
+    every = tokens.join(sized, "rk").select("token", "z", "rk", "class").join(apart.select(key).distinct(), key, "left_semi")
+    apart, every = stored(spark, apart, "jaccard-apart"), stored(spark, every, "jaccard-met")
+    of = lambda df, n: df.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias(n), F.min("class").alias(f"low_{n}"), F.max("class").alias(f"high_{n}"))
+    met = of(apart, "n_a").join(of(every, "n_b"), key).where((F.col("low_n_a") != F.col("high_n_b")) | (F.col("high_n_a") != F.col("low_n_b"))).select(*key, "n_a", "n_b")
+    met = stored(spark, met, "jaccard-groups")
+    chunk = lambda n: F.pmod(F.xxhash64("rk"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    texts = split.select("rk", "text")
+    some = apart.join(met, key).withColumn("a_chunk", chunk("n_a")).withColumn("b_chunk", each("n_b")).join(texts, "rk")
+    others = every.join(met, key).withColumn("b_chunk", chunk("n_b")).withColumn("a_chunk", each("n_a")).join(texts, "rk")
+    return _cross_links(some, others, [*key, "a_chunk", "b_chunk"])
+
+
+def _classes(spark: SparkSession, docs: DataFrame, tokens: DataFrame, most: int) -> DataFrame:
+    """rk and class of rows (component, rk, n, text); tokens: rk and the tokens of which a linked pair shares one."""
     size = docs.groupBy("component").agg(F.count("*").alias("m"))
     sized = docs.join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("rk"), F.ceil(F.col("m") / most)).cast("int"))
     first = stored(spark, _link_groups(sized, ["component", "chunk"]), "jaccard-chunks")
@@ -462,16 +485,10 @@ def _classes(spark: SparkSession, docs: DataFrame, most: int) -> DataFrame:
     heads = labelled.where(F.col("rk") == F.col("class")).select("component", "rk", "text")
     heads = heads.join(heads.groupBy("component").agg(F.count("*").alias("h")), "component").withColumn("chunk", F.pmod(F.xxhash64("rk"), F.ceil(F.col("h") / most)).cast("int"))
     second = _link_groups(heads, ["component", "chunk"]).select(F.col("rk").alias("class"), F.col("class").alias("joined"))
-    labelled = stored(spark, labelled.join(second, "class").select("component", "rk", "text", "m", F.col("joined").alias("class")), "jaccard-joined")
+    labelled = stored(spark, labelled.join(second, "class").select("component", "rk", "n", "text", F.col("joined").alias("class")), "jaccard-joined")
     per_class = labelled.groupBy("component", "class").agg(F.count("*").alias("k"))
     main = per_class.groupBy("component").agg(F.max(F.struct("k", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("component", F.col("main.class").alias("main"))
-    split = labelled.join(main, "component")
-    apart = split.where(F.col("class") != F.col("main"))
-    n_a = apart.groupBy("component").agg(F.ceil(F.count("*") / most).cast("int").alias("n_a"))
-    n_b = F.ceil(F.col("m") / most).cast("int")
-    some = apart.join(n_a, "component").withColumn("a_chunk", F.pmod(F.xxhash64("rk"), F.col("n_a")).cast("int")).withColumn("b_chunk", F.explode(F.sequence(F.lit(0), n_b - 1)))
-    every = split.join(n_a, "component").withColumn("b_chunk", F.pmod(F.xxhash64("rk"), n_b).cast("int")).withColumn("a_chunk", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)))
-    links = stored(spark, _cross_links(some, every), "jaccard-cross")
+    links = stored(spark, _apart_links(spark, labelled.join(main, "component"), tokens, most), "jaccard-cross")
     joined = labelled.select("rk", "class")
     if not links.isEmpty():
         names = components(spark, links).select(F.col("node").alias("class"), F.col("component").alias("joined"))
@@ -480,44 +497,48 @@ def _classes(spark: SparkSession, docs: DataFrame, most: int) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, most: int = MOST) -> DataFrame:
-    """doc_id, rk, n_shingles, component_id, component (a key that also tells apart components without
-    any doc_id) of every row of docs."""
+    """doc_id, rk, n_shingles, component_id, component (a number that also tells apart components without
+    any doc_id; null without words) of every row of docs."""
     docs = keyed(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     # A bucket holds the shingles of about 16 MB of text: some MB.
     buckets = int(max(12, -(-size // (16 << 20))))
     partitions = buckets
     table = stored(spark, signatures(docs, buckets), "jaccard-signatures")
-    members = table.where("bucket = -1").select("batch", "place", "rk", "doc_id", "n", "same")
+    members = table.where("bucket = -1").select("batch", "place", "rk", "doc_id", "n", "same", "more")
     shared = shared_counts(table.where("bucket >= 0").select("batch", "bucket", "hashes", "counts"), partitions)
     # least_shared() as a column.
     overlap = F.ceil(3 * F.col("n") / 4)
     least = F.least(F.greatest(F.lit(1), F.floor(overlap / 8)), overlap)
-    likely = members.join(shared, ["batch", "place"]).where((F.col("n") > 0) & (F.col("shared") >= least)).groupBy("same", "n").agg(F.min("rk").alias("rk"))
-    # Copies of a set in one batch are dealt once, so the chosen row may be another: take the set's first row.
-    sets = members.where("n > 0").groupBy("same", "n").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("least_id"))
-    sets = stored(spark, sets.join(likely.select("same", "n", F.lit(True).alias("likely")), ["same", "n"], "left"), "jaccard-sets")
-    chosen = sets.where("likely").select("rk")
-    texts = stored(spark, docs.join(chosen, "rk").dropDuplicates(["rk"]).select("rk", "text"), "jaccard-texts")
+    one = ["same", "more", "n"]
+    likely = members.join(shared, ["batch", "place"]).where((F.col("n") > 0) & (F.col("shared") >= least)).select(*one).distinct()
+    # Copies of a set in one batch are dealt once, so the likely row may be another: take the set's first row. Sets
+    # are numbered when they are stored, so that no two share a number.
+    sets = members.where("n > 0").groupBy(*one).agg(F.min(F.struct("rk", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("row"), F.min("doc_id").alias("least_id"))
+    sets = stored(spark, sets.join(likely.withColumn("likely", F.lit(True)), one, "left").withColumn("node", F.monotonically_increasing_id()), "jaccard-sets")
+    chosen = sets.where("likely").select(F.col("row.id").alias("id"), F.col("row.rk").alias("rk"), "node", "n")
+    # From here on rk is a set's number.
+    texts = stored(spark, docs.join(chosen, ["id", "rk"]).dropDuplicates(["node"]).select(F.col("node").alias("rk"), "n", "text"), "jaccard-texts")
     tokens = stored(spark, rare_shingles(texts, buckets, partitions), "jaccard-tokens")
     heads = tokens.groupBy("token").agg(F.min("rk").alias("head"), F.count("*").alias("k")).where("k > 1").select("token", "head")
     edges = tokens.join(heads, "token").where("rk <> head").select(F.col("rk").alias("a"), F.col("head").alias("b")).distinct()
     candidates = components(spark, edges).withColumnRenamed("node", "rk")
-    classes = _classes(spark, texts.join(candidates, "rk"), most)
-    grouped = sets.join(classes, "rk", "left").withColumn("component", F.coalesce("class", "rk")).select("same", "n", "least_id", "component")
+    classes = _classes(spark, texts.join(candidates, "rk"), tokens, most).withColumnRenamed("rk", "node")
+    grouped = sets.join(classes, "node", "left").withColumn("component", F.coalesce("class", "node")).select(*one, "least_id", "component")
     ids = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = grouped.join(ids, "component").select("same", "n", "component", "component_id")
-    full = members.where("n > 0").join(named, ["same", "n"]).select("doc_id", "rk", F.col("n").alias("n_shingles"), "component_id", "component")
-    empty = members.where("n = 0").select("doc_id", "rk", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rk").alias("component"))
+    named = grouped.join(ids, "component").select(*one, "component", "component_id")
+    full = members.where("n > 0").join(named, one).select("doc_id", "rk", F.col("n").alias("n_shingles"), "component_id", "component")
+    empty = members.where("n = 0").select("doc_id", "rk", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     return full.unionByName(empty)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, most: int = MOST) -> DataFrame:
     """docs with one row of each component: the one with the smallest doc_id. Documents without words stay."""
     found = near_duplicates(spark, docs, most)
-    rk = free_name(docs, "_rk")
-    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("first")).select(F.col("first.rk").alias(rk))
-    marked = docs.withColumn(rk, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    kept = marked.join(first, rk).dropDuplicates([rk])
+    id_name, rk = free_name(docs, "_id"), free_name(docs, "_rk")
+    key = row_key()
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("first")).select(F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias(id_name), F.col("first.rk").alias(rk))
+    marked = docs.withColumns({id_name: key[0], rk: key[1]})
+    kept = marked.join(first, [id_name, rk]).dropDuplicates([id_name, rk])
     without = marked.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return kept.unionByName(without).drop(rk)
+    return kept.unionByName(without).drop(id_name, rk)
