@@ -134,3 +134,59 @@ def nearest(rows, k=5, every=50):
             best = sorted((-cosine(v, w), j) for j, w in good if j != i and len(v) == len(w))[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return out
+
+
+def bigram_scores(rows, mu=20.0):
+    """Scores from exact bigram counts, quantised as the model does it."""
+    tokens = [[*spaced(t), None] for _, t in rows]
+    train = [own for (doc, _), own in zip(rows, tokens, strict=True) if crc(doc) % 7 != 2]
+    count = Counter(t for own in train for t in own)
+    pairs = Counter(p for own in train for p in zip(["<begin>", *own[:-1]], own, strict=True))
+    n, v = sum(count.values()), len(count)
+    middle = lambda c: 0 if not c else 1 if c == 1 else 0.75 * 2 ** (1 + int(math.log2(c)))
+    out = []
+    for (doc, _), own in zip(rows, tokens, strict=True):
+        total = 0.0
+        for a, b in zip(["<begin>", *own[:-1]], own, strict=True):
+            first = len(train) if a == "<begin>" else count[a]
+            p = (count[b] + 1) / (n + v + 1)
+            total += math.log10(min((min(middle(pairs[a, b]), first) + mu * p) / (first + mu), 1.0))
+        out.append((doc, total))
+    return out
+
+
+def statistics(text):
+    """The quality classifier's statistics of one text, by its characters and words."""
+    raw = (text or "").encode()
+    lowered = raw.translate(bytes(b + 32 if 65 <= b < 91 else b for b in range(256)))
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    words = [lowered[a:b] for a, b in spans]
+    n, size = len(words), max(len(raw), 1)
+    share = lambda kind: sum(b in kind for b in raw) / size
+    again = lambda gap: sum(a == b for a, b in zip(words, words[gap:], strict=False)) / max(n, 1)
+    lines = lowered.split(b"\n") if raw else []
+    ended = [x + b"\n" for x in lines[:-1]] + [x for x in lines[-1:] if x]
+    loud = sum(b - a > 1 and 65 <= raw[a] < 91 and (65 <= raw[b - 1] < 91 or raw[b - 1] == 33) for a, b in spans)
+    some = max(n, 1)
+    return [
+        math.log1p(len(raw)), math.log1p(n), sum(map(len, words)) / some, share(range(65, 91)), share(range(48, 58)), share(b".,;:'\"-()?!"), share(b"#$%&*@^~|<>{}[]\\/=+_`"), share(b"!"), share(range(128, 256)), again(1), len(set(words)) / some, again(2),
+        max(len(ended), 1) / some, 1 - len(set(ended)) / max(len(ended), 1) if raw else 0.0, max(map(len, words), default=0), loud / some,
+    ]
+
+
+def ftrl(examples, epochs=6, alpha=1.0, beta=1.0, l1=6.0, l2=0.01):
+    """Weights after learning examples (features, label) one by one, feature by feature."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        return 0.0 if abs(z[f]) <= l1 else -(z[f] - math.copysign(l1, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    for _ in range(epochs):
+        for features, label in examples:
+            w = {f: weight(f) for f in [*features, "bias"]}
+            error = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - label
+            for f in w:
+                step = (math.sqrt(n[f] + error * error) - math.sqrt(n[f])) / alpha
+                z[f] += error - step * w[f]
+                n[f] += error * error
+    return {f: weight(f) for f in list(z) if weight(f)}

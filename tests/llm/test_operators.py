@@ -198,6 +198,46 @@ def test_classifiers_hold_out(spark, query):
     assert area > 0.85
 
 
+def test_toxicity_is_plain_ftrl(spark):
+    r = random.Random(3)
+    texts = {i: " ".join(r.choice("good fine bad vile boat sail".split()) for _ in range(r.randint(0, 9))) for i in range(80)}
+    labels = {i: int("vile" in t) for i, t in texts.items()}
+    docs = frame(spark, list(texts.items()), extra=True)
+    given = spark.createDataFrame([(i, y, y) for i, y in labels.items()], "doc_id long, quality int, toxic int")
+    slots, weights, bias = toxicity.fit(docs, given, F.lit(True))
+    order = [x["doc_id"] for x in docs.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").collect()]
+    one = lambda w: int(common.Hashes(np.frombuffer(w.encode(), np.uint8)).of(np.array([0]), np.array([len(w)]))[0])
+    cut = lambda x: (x & ((1 << 64) - 1)) >> (64 - toxicity.BITS)
+
+    def features(t):
+        h = [one(w) for w in plain.alnum(t)]
+        pairs = {cut((a * salt + b) * 0x9FB21C651E98DF25) for gap, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)) for a, b in zip(h, h[gap:], strict=False)}
+        return sorted({cut(x) for x in h} | pairs)
+
+    want = plain.ftrl([(features(texts[i]), labels[i]) for i in order])
+    assert bias == pytest.approx(want.pop("bias", 0.0)) and len(want) > 2
+    assert dict(zip(slots.tolist(), weights.tolist(), strict=True)) == pytest.approx(want)
+    assert toxicity.fit(docs, given, F.lit(True), most_features=1)[0].size == 0  # one document is too little for any weight
+
+
+def test_quality_statistics_and_rules_are_the_plain_ones(spark):
+    rows = [r for r in made() + pairs(spark)[:60] if r[1] is None or len(r[1]) < 20_000] + [(900, "AB! CD ab\nab\n\nx\n"), (901, "\n"), (902, "Ünï çödé 123 #$ !!")]
+    docs = frame(spark, rows, extra=True)
+    df, name = quality.with_statistics(docs)
+    got = df.select("text", f"{name}.*").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [r[s] for s in quality.STATISTICS] == pytest.approx(plain.statistics(r["text"]))
+    labels = spark.createDataFrame([(d, int("e" in (t or "")), 0) for d, t in rows if d is not None], "doc_id long, quality int, toxic int")
+    rules, intercept = quality.fit(spark, docs, labels, F.lit(True))
+    assert rules and all(len(r) == len({(s, most) for s, most, _ in r}) for r, _ in rules)
+    scored = df.select("text", quality.score_column((rules, intercept), f"{name}.").alias("score")).collect()
+    for r in scored:
+        own = dict(zip(quality.STATISTICS, plain.statistics(r["text"]), strict=True))
+        total = intercept + sum(w for rule, w in rules if all((own[s] <= t) == most for s, most, t in rule))
+        assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-6 or any(abs(own[s] - t) < 1e-9 for rule, _ in rules for s, _, t in rule)
+
+
 def test_classifiers_without_labels(spark):
     docs = frame(spark, [(1, None), (2, "a b c"), (3, "")], extra=True)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -445,6 +485,17 @@ def test_language_model_base_and_both_ways(spark):
     assert np.allclose(*scores) and max(scores[0]) <= 0
 
 
+def test_language_model_scores_are_the_plain_ones(spark):
+    """The filter's false hits can only raise a count, and do so seldom."""
+    rows = [r for r in made() if r[0] is not None]
+    want = dict(plain.bigram_scores(list(dict(rows).items())))
+    docs = frame(spark, list(dict(rows).items()))
+    got = {r["doc_id"]: r for r in language_model.score_texts(spark, docs).collect()}
+    assert all(got[d]["score"] >= w - 1e-9 for d, w in want.items())
+    gap = sum(got[d]["score"] - w for d, w in want.items()) / sum(r["n_tokens"] for r in got.values())
+    assert gap < 0.05 and sum(abs(got[d]["score"] - w) < 1e-9 for d, w in want.items()) > 5
+
+
 def test_language_model_beats_its_base(spark):
     got = Q.op10_language_model(spark, SF).where("held_out").agg(F.sum("base_score"), F.sum("score")).collect()[0]
     assert got[1] > got[0]
@@ -466,6 +517,46 @@ def test_empty_tables(spark, run):
     assert run(spark, frame(spark, [(1, "x")]).limit(0)).count() == 0
 
 
+def test_classifiers_and_packing_of_no_documents(spark):
+    none = frame(spark, [(1, "x")]).limit(0)
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.score_toxicity(spark, none, labels)[0].count() == 0
+    assert quality.keep_good(spark, none, labels).count() == 0
+    assert packing.pack(none).count() == 0
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark):
+    """A text of 3 MB twice, one with a single word of 1 MB, and a short one."""
+    r = random.Random(9)
+    some = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(4000)]
+    text = " ".join(r.choice(some) for _ in range(500_000))
+    return [(1, text), (2, text), (3, "x" * 1_000_000), (4, "a short one")]
+
+
+def test_long_texts_are_taken_whole(spark, long_texts):
+    docs = frame(spark, long_texts, extra=True).repartition(2)
+    size = {d: len(t) for d, t in long_texts}
+    removed = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(spark, docs).collect()}
+    assert [removed[d]["n_removed"] for d in (1, 2, 3, 4)] == [size[1], size[2], size[3], 0] and removed[1]["n_passage_words"] == 500_000
+    assert {r["doc_id"]: r["size"] for r in sharding.shard(spark, docs).collect()} == {d: n + 1 for d, n in size.items()}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark, docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    items = spark.createDataFrame([(1, " ".join(long_texts[0][1].split()[-13:]))], "item_id long, text string")
+    df, name = decontamination.find_benchmark(spark, docs, items)
+    assert {r["doc_id"]: (r["n"], r["hit"]) for r in df.select("doc_id", F.col(f"{name}.n_words").alias("n"), decontamination.hit_words(name).alias("hit")).collect()} == {1: (500_000, 13), 2: (500_000, 13), 3: (1, 0), 4: (3, 0)}
+    assert {r["doc_id"]: r["n_words"] for r in licenses.scan_licenses(spark, docs).collect()} == {1: 500_000, 2: 500_000, 3: 1, 4: 3}
+    scores = {r["doc_id"]: r for r in language_model.score_texts(spark, docs).collect()}
+    assert [scores[d]["n_tokens"] for d in (1, 2, 3, 4)] == [500_001, 500_001, 2, 4] and scores[1]["score"] == scores[2]["score"]
+    labels = spark.createDataFrame([(1, 1, 1), (3, 0, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    for df, score in ((x[0], f"{x[1]}.score") for x in [toxicity.score_toxicity(spark, docs, labels)]):
+        assert all(0 <= r[0] <= 1 for r in df.select(score).collect())
+    assert quality.keep_good(spark, docs, labels).count() <= 4
+    lengths = {}
+    for r in packing.pack(docs).collect():
+        lengths.setdefault(r["doc_id"], [r["doc_tokens"], 0])[1] += r["length"]
+    assert set(lengths) == {1, 2, 3, 4} and all(a == b for a, b in lengths.values())
+
+
 def test_keys_of_equal_rows(spark):
     assert keyed(frame(spark, [(1, None), (1, ""), (1, "a")])).select("rk").distinct().count() == 2
 

@@ -77,6 +77,11 @@ def test_stages_take_odd_rows(spark):
         more = docs.selectExpr("*", "1 AS _rk", "2 AS _found", "3 AS _result", "4 AS _row")
         assert stage(spark, more, SF).columns == more.columns
         assert stage(spark, more, SF).count() > 0 and stage(spark, docs.limit(0), SF).count() == 0
+    pieces = corpus_pipeline.STAGES[-1][1](spark, more, SF).collect()
+    whole = {}
+    for r in pieces:
+        whole[r["doc_id"]] = whole.get(r["doc_id"], 0) + r["length"]
+    assert set(whole) == {d for d, _ in made()} and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
 
 
 def test_run(spark):
