@@ -372,7 +372,7 @@ def admission(v: Views):
 
 @query("i08_token_bucket")
 def bucket(v: Views):
-    return limits.token_bucket(v.events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), "ts"), 3, 4 * 3600)
+    return limits.token_bucket(v.events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), "ts"), 2, 48 * 3600)
 
 
 @query("i09_classify_endpoint", "SELECT event_id AS id, CASE WHEN event_id % 4 IN (0, 1) THEN 'login' WHEN event_id % 4 = 2 THEN 'refresh' ELSE 'public' END AS tier, CASE WHEN event_id % 2 = 0 THEN CONCAT('10.0.0.', CAST(user_id % 256 AS STRING)) ELSE 'peer' END AS ip FROM events")

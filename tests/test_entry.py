@@ -70,7 +70,7 @@ def test_limiters_on_table(spark, name, tiers):
         key = (kind, user % 7) if tiers else user
         t = [int(ts.timestamp() * 1_000_000)]
         if name == "i08_token_bucket":
-            want[i] = limits.take(t, 3, window, state.setdefault(key, [3, None]))[0]
+            want[i] = limits.take(t, 2, 12 * window, state.setdefault(key, [2, None]))[0]
         else:
             want[i] = limits.admit(t, tiers[kind] if tiers else 3, window, state.setdefault(key, []))[0]
     got = {r["id"]: r["admitted"] for r in E.queries()[name](spark, SF).collect()}
