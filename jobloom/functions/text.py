@@ -218,12 +218,14 @@ def _title_and_text(title, description) -> Column:
 
 def classify_seniority(title, description) -> Column:
     text = _title_and_text(title, description)
-    return first_match([(text.rlike(rf"\b(?:{p})\b"), name) for name, p in rules.SENIORITY], "mid")
+    # A pattern is searched for only where one of its alternatives' beginnings occurs at all.
+    may = lambda p: contains_any(text, [plain_start(alt) for alt in alternatives(p)])
+    return first_match([(may(p) & text.rlike(rf"\b(?:{p})\b"), name) for name, p in rules.SENIORITY], "mid")
 
 
 def classify_work_mode(title, description, remote) -> Column:
     text = _title_and_text(title, description)
-    return first_match([(F.coalesce(col(remote), F.lit(False)), "remote"), (text.rlike(r"\bhybrid\b"), "hybrid"), (text.rlike(r"\b(?:remote|work from home|wfh)\b"), "remote")], "onsite")
+    return first_match([(F.coalesce(col(remote), F.lit(False)), "remote"), (text.contains("hybrid") & text.rlike(r"\bhybrid\b"), "hybrid"), (contains_any(text, ["remote", "work from home", "wfh"]) & text.rlike(r"\b(?:remote|work from home|wfh)\b"), "remote")], "onsite")
 
 
 _BEFORE, _AFTER = r"(?<![\w])", r"(?![\w])"

@@ -49,7 +49,8 @@ def similar_titles(ours: DataFrame, theirs: DataFrame, block: list[str], least:
     each, in any one order of all trigrams; rarest first makes such meetings rare. So titles are joined on the block
     and a trigram of their prefix, and only what meets and has fitting sizes is compared.
     """
-    ours, theirs = (df.withColumn("_grams", trigrams("title")) for df in (ours, theirs))
+    # Several steps read the distinct titles, which are few beside the rows that they come from.
+    ours, theirs = (stored(df.sparkSession, df.withColumn("_grams", trigrams("title")), "titles") for df in (ours, theirs))
     counted = ours.select("_grams").unionByName(theirs.select("_grams")).select(F.explode("_grams").alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_often"))
 
     def prefixes(df: DataFrame) -> DataFrame:

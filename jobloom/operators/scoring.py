@@ -22,8 +22,9 @@ def reject_reason(title, location, country, description) -> Column:
             (X.matches(title, rules.TRADE) & ~X.matches(title, rules.TRADE_OVERRIDE), "trade"),
             (foreign(loc) & ~uae(loc), "foreign_location"),
             ((loc == rules.GENERIC_REMOTE) & foreign(desc) & ~uae(desc), "foreign_remote"),
-            (X.matches(description, rules.EU_SCOPE) & ~uae(description), "eu_scope"),
-            (~uae(everything) & (F.upper(X.safe(country)) != "AE"), "not_in_uae"),
+            # Cheap tests come first: what every match of the scope pattern holds one of, and the country.
+            (X.contains_any(desc, ["€", "£", "eur", "gbp", "authorize", "location"]) & X.matches(description, rules.EU_SCOPE) & ~uae(description), "eu_scope"),
+            ((F.upper(X.safe(country)) != "AE") & ~uae(everything), "not_in_uae"),
         ]
     )
 

@@ -476,7 +476,7 @@ _SIMILAR = f"""SELECT a.title, a.company, a.place, b.id, len(list_intersect(a.x,
 )
 def upsert(v: Views):
     # All postings are worked out once; each side is read by three matchers.
-    enriched = stored(v.spark, scoring.enrich(v.postings).withColumn("external_source", F.col("source")), "enriched")
+    enriched = v.enriched.withColumn("external_source", F.col("source"))
     jobs, new = _job_table(enriched), enriched.where("seq % 2 = 1 and reject_stage is null")
     batch = dedup.resolve(new, jobs)
     new = batch.withColumns({"id": F.col("seq") + 10_000_000, "is_active": F.lit(True), "last_seen_at": F.lit(NOW).cast("timestamp"), "duplicate_source_count": F.lit(0), "expires_at": F.lit(NOW).cast("timestamp") + F.expr("INTERVAL 30 DAYS")})
@@ -486,8 +486,7 @@ def upsert(v: Views):
 @query("h05_resolve_batch")
 def same_batch(v: Views):
     """All accepted postings as one batch."""
-    accepted = scoring.enrich(v.postings).where("reject_stage is null")
-    return dedup.resolve_batch(stored(v.spark, accepted.select("seq", F.col("source").alias("external_source"), "external_job_id", "dedup_hash", "normalized_title", "normalized_company_name", "city"), "batch"))
+    return dedup.resolve_batch(v.enriched.where("reject_stage is null").withColumn("external_source", F.col("source")))
 
 
 @query("g06_order_friction", f"SELECT row_number() OVER (ORDER BY CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, days DESC, user_id, signal) AS place, user_id, signal, severity, days FROM ({FRICTION_SQL}) QUALIFY place <= 100")
