@@ -6,8 +6,9 @@ pattern; where it can't move, the patterns whose last block has the same hash ar
 Many cursors, each over its own stretch of the words of many documents, advance together in numpy.
 
 Defined cases: null or wordless texts have no words and no hits; a null item_id counts as an empty id;
-items with the same id count once; repeated rows of documents each get their row; an empty benchmark hits
-nothing. Words are compared by 64-bit hashes.
+items with the same id count once; repeated rows of documents each get their row; very long texts are searched
+whole; an empty benchmark hits nothing and an empty table gives no rows; other columns stay, whatever their names.
+Words are compared by 64-bit hashes.
 
 The windows of one pass are broadcast and number at most `most_windows` (about 110 bytes each); a larger
 benchmark is searched in several passes over parts of its items, whose hits are merged per document.

@@ -8,7 +8,7 @@ a window then merges the tiles' k best. Every row takes part, so nothing is appr
 
 Vectors that are null, zero, or hold null or non-finite components take no part. Only vectors of one length
 are compared. Rows equal in id and vector count once; a query never meets its own id. Ties go to the smaller
-id. Null ids take no part. An empty table gives no rows.
+id. Null ids take no part. An empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
