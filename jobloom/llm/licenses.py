@@ -131,10 +131,19 @@ def template_matches(spark: SparkSession, texts: DataFrame, templates: list[Temp
         need = t.need(threshold)
         rows += [(w, k, t.label, t.words, list(t.marks), list(t.without), need, t.span) for w in ordered[: len(ordered) - need + 1]]
     index = spark.createDataFrame(rows, "word string, template int, label string, wanted array<string>, marks array<string>, without array<string>, need int, span int")
-    likely = texts.where("words is not null").select("id", "rk", "words", "held")
-    found = likely.select("id", "rk", "words", F.posexplode("words").alias("at", "word")).join(F.broadcast(index), "word")
+    # Of a text only what lies around the words of some prefix goes on, as far as the longest block reaches.
+    reach = max(t.span for t in templates)
+    first = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
+
+    def near(w: Column, at: Column) -> Column:
+        begin = F.greatest(at - reach + 1, F.lit(0))
+        return F.when(F.array_contains(first, w), F.struct(w.alias("word"), at.alias("at"), begin.alias("from"), F.slice("words", begin + 1, at + reach - begin).alias("near")))
+
+    hits = texts.where("words is not null").select("id", "rk", F.explode(F.filter(F.transform("words", near), lambda h: h.isNotNull())).alias("hit")).select("id", "rk", "hit.*")
+    found = hits.join(F.broadcast(index), "word")
     begin = F.greatest(F.col("at") - F.col("span") + 1, F.lit(0))
-    around = found.select("id", "rk", "template", "label", "wanted", "marks", "without", "need", "span", begin.alias("begin"), F.slice("words", begin + 1, F.col("at") + F.col("span") - begin).alias("near"), (F.col("at") - begin).alias("last"))
+    own = F.slice("near", begin - F.col("from") + 1, F.col("at") + F.col("span") - begin)
+    around = found.select("id", "rk", "template", "label", "wanted", "marks", "without", "need", "span", begin.alias("begin"), own.alias("near"), (F.col("at") - begin).alias("last"))
     around = around.where((F.size(F.array_intersect("near", "wanted")) >= F.col("need")) & (F.size(F.array_intersect("near", "marks")) == F.size("marks")))
 
     def block(s: Column) -> Column:
