@@ -120,6 +120,15 @@ def scanned(spark: SparkSession, docs: DataFrame, templates: list[Template], thr
     return stored(spark, listed.select("doc_id", "id", "rk", F.size("words").cast("long").alias("n_words"), *places, "held", F.when(likely, F.col("words")).alias("words")), "license-texts")
 
 
+def _values(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small table of plain words, numbers and lists of words as an inline table of SQL."""
+
+    def text(x) -> str:
+        return f"cast(array({', '.join(map(text, x))}) as array<string>)" if isinstance(x, list) else f"'{x}'" if isinstance(x, str) else str(x)
+
+    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)} AS t({', '.join(names)})")
+
+
 def template_matches(spark: SparkSession, texts: DataFrame, templates: list[Template], threshold: float = THRESHOLD) -> DataFrame:
     """id, rk, label, containment and first_word of the best block of every template found in scanned() texts."""
     counted = texts.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
@@ -130,7 +139,7 @@ def template_matches(spark: SparkSession, texts: DataFrame, templates: list[Temp
         ordered = sorted(t.words, key=lambda w: (often.get(w, 0), w))
         need = t.need(threshold)
         rows += [(w, k, t.label, t.words, list(t.marks), list(t.without), need, t.span) for w in ordered[: len(ordered) - need + 1]]
-    index = spark.createDataFrame(rows, "word string, template int, label string, wanted array<string>, marks array<string>, without array<string>, need int, span int")
+    index = _values(spark, rows, ["word", "template", "label", "wanted", "marks", "without", "need", "span"])
     # Of a text only what lies around the words of some prefix goes on, as far as the longest block reaches.
     reach = max(t.span for t in templates)
     first = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
