@@ -340,7 +340,8 @@ def _shared_tables(spark: SparkSession, tables: DataFrame, segments: int):
         at += n
     order = np.argsort(word)
     word = word[order]
-    count = count[order]
+    # Every worker holds a copy, so counts take the fewest bytes that hold them all.
+    count = count[order].astype(np.min_scalar_type(int(count.max(initial=0))))
     return word, count, filter_
 
 
