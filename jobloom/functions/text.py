@@ -504,7 +504,7 @@ def is_cased(text: Column) -> Column:
 
 
 def is_list(text: Column) -> Column:
-    return (F.regexp_count(text, F.lit(";")) >= 2) | text.rlike(BULLET)
+    return (F.length(text) - F.length(F.replace(text, F.lit(";"), F.lit(""))) >= 2) | text.rlike(BULLET)
 
 
 def score_header(c) -> Column:
