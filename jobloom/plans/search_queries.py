@@ -502,7 +502,7 @@ def tiers_admitted(v: Views):
     """Requests of each kind of endpoint against its own limit."""
     kind = F.element_at(F.array(*[F.lit(f"/api/v1/{u}") for u in ("auth/login", "auth/refresh", "jobs")]), (F.col("user_id") % 3 + 1).cast("int"))
     requests = v.events.select(X.classify_endpoint(kind).alias("tier"), F.concat(F.lit("10.0.0."), (F.col("user_id") % 7).cast("string")).alias("ip"), F.col("event_id").alias("id"), "ts")
-    return limits.tier_admission(requests, window_seconds=4 * 3600)
+    return limits.tier_admission(requests, window_seconds=240 * 3600)
 
 
 @query("a16_write_jobs", "SELECT id, title, is_active FROM jobs")

@@ -72,7 +72,7 @@ def test_limiters_on_table(spark, name, tiers):
         if name == "i08_token_bucket":
             want[i] = limits.take(t, 2, 12 * window, state.setdefault(key, [2, None]))[0]
         else:
-            want[i] = limits.admit(t, tiers[kind] if tiers else 3, window, state.setdefault(key, []))[0]
+            want[i] = limits.admit(t, tiers[kind] if tiers else 3, window * (60 if tiers else 1), state.setdefault(key, []))[0]
     got = {r["id"]: r["admitted"] for r in E.queries()[name](spark, SF).collect()}
     assert got == want and set(want.values()) == {True, False}
 
