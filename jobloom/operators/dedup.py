@@ -200,10 +200,10 @@ def linkedin_known(new: DataFrame, jobs: DataFrame) -> DataFrame:
     return new.withColumn("_id", linkedin_job_id("linkedin_url")).join(known, "_id", "left_semi").drop("_id")
 
 
-def _place(spark: SparkSession, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+def _place(spark: SparkSession, rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """rows with _place: their place, from 1 on, among the rows of one key in that order. Places come from a sort by
     ranges of key and order, so a key with many rows is spread over tasks; one count a range reaches the driver."""
-    sort = [key, *order]
+    sort = [*key, *order]
     ranged = rows.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_row", F.monotonically_increasing_id())
     kept = stored(spark, ranged, "places")
     part, row = F.shiftrightunsigned("_row", 33), F.col("_row").bitwiseAND((1 << 33) - 1)
@@ -213,7 +213,7 @@ def _place(spark: SparkSession, rows: DataFrame, key: str, order: list[str]) ->
         bases.append((p, base))
         base += n
     numbered = kept.join(F.broadcast(spark.createDataFrame(bases, "_part long, _base long")), part == F.col("_part")).withColumn("_place", F.col("_base") + row)
-    first = stored(spark, numbered.groupBy(key).agg(F.min("_place").alias("_first")), "places-first")
+    first = stored(spark, numbered.groupBy(*key).agg(F.min("_place").alias("_first")), "places-first")
     return numbered.join(first, key).withColumn("_place", F.col("_place") - F.col("_first") + 1).drop("_row", "_part", "_base", "_first")
 
 
@@ -229,11 +229,11 @@ def assign_unique_slugs(new: DataFrame, taken: DataFrame) -> DataFrame:
     # A slug may be a base itself or a base with a number.
     used = used.select("base", F.when(F.col("n") == "", 0).otherwise(F.col("n").try_cast("long")).alias("n")).unionByName(taken.select(F.col("slug").alias("base"), F.lit(0).cast("long").alias("n"))).where("n is not null").distinct()
     used = used.join(new.select("base").distinct(), "base", "left_semi")
-    at = _place(spark, used, "base", ["n"]).select("base", (F.col("n") - F.col("_place") + 1).alias("_at"), F.lit(0).alias("_kind"))
-    rows = _place(spark, new, "base", ["seq"])
     own = F.struct(*new.columns).alias("_own")
-    rows = rows.select("base", (F.col("_place") - 1).alias("_at"), F.lit(1).alias("_kind"), own)
-    mixed = at.select("*", F.lit(None).cast(rows.schema["_own"].dataType).alias("_own")).unionByName(rows)
+    rows = new.select(F.lit(1).alias("_kind"), "base", F.col("seq").cast("long").alias("_n"), own)
+    both = used.select(F.lit(0).alias("_kind"), "base", F.col("n").alias("_n"), F.lit(None).cast(rows.schema["_own"].dataType).alias("_own")).unionByName(rows)
+    at = F.when(F.col("_kind") == 0, F.col("_n") - F.col("_place") + 1).otherwise(F.col("_place") - 1)
+    mixed = _place(spark, both, ["_kind", "base"], ["_n"]).select("_kind", "base", at.alias("_at"), "_own")
     # With c used numbers before it the k-th row is at place k + c, and its number is k - 1 + c.
-    placed = _place(spark, mixed, "base", ["_at", "_kind"]).where("_kind = 1").select("_own.*", (F.col("_place") - 1).alias("_free"))
+    placed = _place(spark, mixed, ["base"], ["_at", "_kind"]).where("_kind = 1").select("_own.*", (F.col("_place") - 1).alias("_free"))
     return placed.withColumn("slug", F.when(F.col("_free") == 0, F.col("base")).otherwise(F.concat_ws("-", "base", "_free"))).drop("_free")
