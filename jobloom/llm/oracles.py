@@ -58,5 +58,42 @@ FROM d LEFT JOIN f ON f.r = d.r LEFT JOIN a ON a.r = d.r LEFT JOIN g ON g.r = d.
 """
 
 
+HARD_NEGATIVES = """
+WITH v AS (SELECT DISTINCT CAST(vec_id AS BIGINT) AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(coalesce(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])), 0) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_AT = lambda kind, pattern, test: rf"""SELECT r, {kind} AS kind, a - length(m) AS a, a AS e, m FROM (
+  SELECT r, m, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS a FROM (SELECT r, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, unnest(gaps[1 : len(ms)]) AS gap FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps FROM d WHERE regexp_matches(t, '{pattern}')))) WHERE {test}"""
+
+SANITISATION = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS (
+  {_AT(0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+', 'true')}
+  UNION ALL {_AT(1, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+', "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INT), 0) > 255)) = 0")}
+  UNION ALL {_AT(2, '[0-9]([ -]?[0-9])+', f"length({_DIGITS}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CAST(substr(reverse({_DIGITS}), CAST(i AS INT), 1) AS INT) * (2 - i % 2) - CASE WHEN i % 2 = 0 AND CAST(substr(reverse({_DIGITS}), CAST(i AS INT), 1) AS INT) > 4 THEN 9 ELSE 0 END)) % 10 = 0")}
+  UNION ALL {_AT(3, '[+][0-9][ ().0-9-]+[0-9]', f"length({_DIGITS}) BETWEEN 10 AND 15")}),
+named AS (SELECT r, a, e, kind, kind || ':' || CASE WHEN kind < 2 THEN lower(m) ELSE {_DIGITS} END AS entity FROM base),
+tokens AS (SELECT r, a - length(m) AS a, a AS e, m AS w FROM (SELECT r, m, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS a FROM (
+  SELECT r, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, unnest(gaps[1 : len(ms)]) AS gap FROM (SELECT r, regexp_extract_all({_LOWER.replace('text', 't')}, '{_ALNUM}') AS ms, string_split_regex({_LOWER.replace('text', 't')}, '{_ALNUM}') AS gaps FROM d)))),
+clear AS (SELECT r, a, e, w, row_number() OVER (PARTITION BY r ORDER BY a) AS k FROM tokens x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = x.r AND b.a < x.e AND x.a < b.e)),
+words AS (SELECT r, a, e, k, w, CASE WHEN length(w) > 3 THEN left(w, 3) || '*' END AS letters, coalesce(lag(w, 16) OVER o, '') || ' ' || coalesce(lead(w, 16) OVER o, '') AS around FROM clear WINDOW o AS (PARTITION BY r ORDER BY k)),
+terms AS (SELECT r, k, w AS term, around FROM words UNION ALL SELECT r, k, letters, around FROM words WHERE letters IS NOT NULL),
+place AS (SELECT DISTINCT n.r, n.entity, n.a, (SELECT count(*) FROM clear c WHERE c.r = n.r AND c.a < n.a) AS before FROM named n),
+near AS (SELECT p.r, entity, term, arg_min(around, k) AS around FROM place p JOIN terms t ON t.r = p.r AND t.k > before - 8 AND t.k <= before + 8 GROUP BY ALL),
+pairs AS (SELECT entity, term, sum(n) AS n_et FROM (SELECT entity, term, around, count(*) AS n FROM near GROUP BY ALL) GROUP BY ALL HAVING sum(n) >= 3 AND 2 * max(n) <= sum(n)),
+n_e AS (SELECT entity, count(DISTINCT r) AS n_e FROM named GROUP BY entity), n_t AS (SELECT term, count(DISTINCT r) AS n_t FROM terms GROUP BY term), total AS (SELECT count(*) AS n FROM d),
+told AS (SELECT DISTINCT term FROM pairs JOIN n_e USING (entity) JOIN n_t USING (term), total WHERE n_e < n AND log2(n * n_et / (n_e * n_t)) >= 0.9 * log2(n / n_e)),
+spans AS (SELECT r, a, e, kind, ['email', 'ip', 'card', 'phone'][kind + 1] AS name FROM base UNION ALL SELECT r, a, e, 4, 'term' FROM words WHERE w IN (FROM told)),
+by_row AS (SELECT r, string_agg(name || ':' || a || ':' || e, ',' ORDER BY a, kind) AS spans, coalesce(string_agg(name || ':' || a || ':' || e, ',' ORDER BY a, kind) FILTER (WHERE kind < 4), '') AS base, {', '.join(f"count(*) FILTER (WHERE kind = {i}) AS n_{x}" for i, x in enumerate(('email', 'ip', 'card', 'phone')))} FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN by_row USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": JACCARD, "op4_decontamination": DECONTAMINATION, "op8_licenses": _licenses(), "op9_neighbours": NEIGHBOURS}
+    return {"op3_jaccard_join": JACCARD, "op4_decontamination": DECONTAMINATION, "op8_licenses": _licenses(), "op9_neighbours": NEIGHBOURS, "op11_sanitisation": SANITISATION, "op12_hard_negatives": HARD_NEGATIVES}
