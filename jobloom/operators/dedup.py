@@ -41,28 +41,44 @@ def match_hash(new: DataFrame, jobs: DataFrame) -> DataFrame:
     return new.join(known, "dedup_hash", "left")
 
 
-def similar_titles(ours: DataFrame, theirs: DataFrame, block: list[str], least: float) -> DataFrame:
+def similar_titles(ours: DataFrame, theirs: DataFrame, block: list[str], least: float, hot: int = 20_000) -> DataFrame:
     """block, title, other and like of pairs of titles (block, title) whose trigram sets have a similarity of
     least. Both sides hold distinct titles.
 
-    Sets of n and m trigrams can only be that similar if they share one of the first n - least * n + 1 trigrams of
-    each, in any one order of all trigrams; rarest first makes such meetings rare. So titles are joined on the block
-    and a trigram of their prefix, and only what meets and has fitting sizes is compared.
+    Sets of n >= m trigrams are only that similar if one of the first n - least * n + 1 trigrams of the larger is
+    among the first m - 2 least / (1 + least) * m + 1 of the smaller, in any one order of all trigrams; the rarest of
+    the block come first. So titles meet on the block and such a trigram, the larger one of either side with the
+    smaller one of the other. Where they meet first, what follows in both must suffice for the overlap that they
+    need; the join tests that, so pairs that share only what all titles of a block have in common never come out.
+    Trigrams that more than `hot` titles of a block have are dealt over several keys.
     """
-    # Several steps read the distinct titles, which are few beside the rows that they come from.
-    ours, theirs = (stored(df.sparkSession, df.withColumn("_grams", trigrams("title")), "titles") for df in (ours, theirs))
-    counted = ours.select("_grams").unionByName(theirs.select("_grams")).select(F.explode("_grams").alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_often"))
-
-    def prefixes(df: DataFrame) -> DataFrame:
-        dealt = df.select(*block, "title", F.explode("_grams").alias("_gram")).join(counted, "_gram")
-        ordered = dealt.groupBy(*block, "title").agg(F.sort_array(F.collect_list(F.struct("_often", "_gram")))["_gram"].alias("_grams"))
+    # Both joins read the distinct titles with their trigrams, which are few beside the rows that they come from.
+    both = ours.select(*block, "title", F.lit(True).alias("_ours"))
+    both = both if theirs is ours else both.unionByName(theirs.select(*block, "title", F.lit(False).alias("_ours")))
+    dealt = both.select(*block, "title", "_ours", F.explode(trigrams("title")).alias("_gram"))
+    counted = dealt.groupBy(*block, "_gram").agg(F.count("*").alias("_often"))
+    grams = F.sort_array(F.collect_list(F.struct("_often", "_gram"))).alias("_grams")
+    both = stored(ours.sparkSession, dealt.join(counted, [*block, "_gram"]).groupBy(*block, "title", "_ours").agg(grams), "title-grams")
+    mine, others = both.where("_ours"), both if theirs is ours else both.where("not _ours")
+
+    def firsts(df: DataFrame, share: float, probe: bool, name: str) -> DataFrame:
         n = F.size("_grams")
-        return ordered.withColumn("_gram", F.explode(F.slice("_grams", 1, (n - F.ceil(least * n - 1e-9) + 1).cast("int"))))
+        long = (n - F.ceil(share * n - 1e-9) + 1).cast("int")
+        out = df.select(*block, F.col("title").alias(name), F.col("_grams")["_gram"].alias(f"_{name}s"), n.alias(f"_{name}_n"), F.posexplode(F.slice("_grams", 1, long)).alias(f"_{name}_at", "_first"))
+        parts = F.ceil(F.col("_first._often") / hot).cast("int")
+        part = F.pmod(F.xxhash64(name), parts).cast("int") if probe else F.explode(F.sequence(F.lit(0), parts - 1))
+        return out.withColumn("_gram", F.col("_first._gram")).withColumn("_part", part).drop("_first")
+
+    def met(probe_ours: bool) -> DataFrame:
+        a = firsts(mine, least if probe_ours else 2 * least / (1 + least), probe_ours, "title")
+        b = firsts(others, 2 * least / (1 + least) if probe_ours else least, not probe_ours, "other")
+        n, m = F.col("_title_n"), F.col("_other_n")
+        need = F.ceil(least / (1 + least) * (n + m) - 1e-9)
+        fits = (n >= m) & (m >= least * n - 1e-9) if probe_ours else (m > n) & (n >= least * m - 1e-9)
+        enough = F.least(n - F.col("_title_at"), m - F.col("_other_at")) >= need
+        return a.join(b, [*block, "_gram", "_part"]).where(fits & enough).select(*block, "title", "other", set_similarity(F.col("_titles"), F.col("_others")).alias("like")).where(F.col("like") >= least)
 
-    a, b = prefixes(ours), prefixes(theirs).withColumnsRenamed({"title": "other", "_grams": "_theirs"})
-    small, large = F.least(F.size("_grams"), F.size("_theirs")), F.greatest(F.size("_grams"), F.size("_theirs"))
-    met = a.join(b, [*block, "_gram"]).where(small >= least * large - 1e-9).dropDuplicates([*block, "title", "other"])
-    return met.select(*block, "title", "other", set_similarity(F.col("_grams"), F.col("_theirs")).alias("like")).where(F.col("like") >= least)
+    return met(True).unionByName(met(False)).dropDuplicates([*block, "title", "other"])
 
 
 def match_fuzzy(new: DataFrame, jobs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -126,32 +142,44 @@ def _kept_here(rows: list[tuple[int, list[str]]], near: dict[str, list[str]]) ->
     return kept
 
 
-def resolve_batch(batch: DataFrame, least: float = SIMILARITY, small: int = 20_000) -> DataFrame:
-    """seq, leader and level of each row of a batch whose rows are taken in the order of seq: a row that
-    matches an earlier kept row by id (L1), hash (L2) or title within company and city (L3, the most similar) is
-    counted on it, and its own keys are not kept; the others are kept and lead themselves (NONE).
+_KINDS = ("_id", "_hash", "_named")
+_BLOCK = ["_company", "_city"]
 
-    Which rows are kept follows in rounds. Rows are first reduced to the earliest of equal keys, so copies don't
-    count. In a round every undecided row that is the earliest under all its keys, near titles included, is kept,
-    and all that match a newly kept row are settled; each round settles the earliest undecided row at least. Only
-    minima per key are exchanged, never a key's rows. When at most `small` keys and near titles are left, they are
-    settled in one go in the order of seq, which gives the same rows; that bounds the rounds that long chains of
-    single matches would take. Null ids and hashes match nothing, nor do titles without company, city or letters.
-    """
-    spark = batch.sparkSession
+
+def _row_keys(rows: DataFrame, *keep: str) -> DataFrame:
+    """keep, the block and title of each row, and its keys: id, hash and title within the block. Null ids and hashes
+    match nothing, nor do titles without company, city or letters."""
     text = lambda kind, *c: F.when(F.forall(F.array(*c), lambda x: x.isNotNull()), F.concat_ws("\x1f", F.lit(kind), *c))
-    block, title = ["_company", "_city"], F.when(F.size(trigrams("normalized_title")) > 0, F.col("normalized_title"))
-    rows = batch.select("seq", F.lower("normalized_company_name").alias("_company"), F.lower("city").alias("_city"), title.alias("title"), F.col("external_source").cast("string").alias("_source"), F.col("external_job_id").cast("string").alias("_job"), "dedup_hash")
-    rows = rows.select("seq", *block, "title", text("id", F.coalesce("_source", F.lit("")), F.col("_job")).alias("_id"), text("hash", F.col("dedup_hash")).alias("_hash"), text("title", *map(F.col, block), F.col("title")).alias("_named"))
-    rows = stored(spark, rows, "batch-rows")
-    kinds = ["_id", "_hash", "_named"]
-    titles = rows.where("_named is not null").select(*block, "title").distinct()
-    key = lambda c: F.concat_ws("\x1f", F.lit("title"), *block, c)
-    near = similar_titles(titles, titles, block, least).where("title <> other").select(key("title").alias("key"), key("other").alias("other"), "like")
+    title = F.when(F.size(trigrams("normalized_title")) > 0, F.col("normalized_title"))
+    out = rows.select(*keep, F.lower("normalized_company_name").alias("_company"), F.lower("city").alias("_city"), title.alias("title"), F.col("external_source").cast("string").alias("_source"), F.col("external_job_id").cast("string").alias("_job"), "dedup_hash")
+    return out.select(*keep, *_BLOCK, "title", text("id", F.coalesce("_source", F.lit("")), F.col("_job")).alias("_id"), text("hash", F.col("dedup_hash")).alias("_hash"), text("title", *map(F.col, _BLOCK), F.col("title")).alias("_named"))
+
+
+_TITLE_KEY = lambda c: F.concat_ws("\x1f", F.lit("title"), *_BLOCK, c)
+
+
+def _titles(rows: DataFrame) -> DataFrame:
+    return rows.where("_named is not null").select(*_BLOCK, "title").distinct()
+
+
+def _unmatched(rows: DataFrame, leaders: DataFrame, least: float) -> DataFrame:
+    """rows that share no key with a leader and whose title is near none of an active one's."""
+    for k in ("_id", "_hash"):
+        rows = rows.join(leaders.where(f"{k} is not null").select(k).distinct(), k, "left_anti")
+    near = similar_titles(_titles(rows), _titles(leaders.where("_active")), _BLOCK, least)
+    return rows.join(near.select(_TITLE_KEY("title").alias("_named")).distinct(), "_named", "left_anti")
+
+
+def _leaders_of_chunk(rows: DataFrame, least: float, small: int) -> DataFrame:
+    """seq of the rows (seq, keys) that are kept when they are taken in the order of seq, in rounds: every undecided
+    row that is the earliest under all its keys, near titles included, is kept, and all that match a newly kept row
+    are settled; each round settles the earliest undecided row at least. Only minima per key are exchanged."""
+    spark = rows.sparkSession
+    titles = _titles(rows)
+    near = similar_titles(titles, titles, _BLOCK, least).where("title <> other").select(_TITLE_KEY("title").alias("key"), _TITLE_KEY("other").alias("other"))
     near = stored(spark, near, "batch-titles")
-    first = rows.groupBy(*kinds).agg(F.min("seq").alias("seq"))
-    open_ = stored(spark, first.select("seq", F.explode(F.array_compact(F.array(*kinds))).alias("key")), "batch-keys")
-    kept = [rows.where(" and ".join(f"{k} is null" for k in kinds)).select("seq")]
+    open_ = stored(spark, rows.select("seq", F.explode(F.array_compact(F.array(*_KINDS))).alias("key")), "batch-keys")
+    kept = []
     while True:
         close = near.join(open_.select("key").distinct(), "key", "left_semi").join(open_.select(F.col("key").alias("other")).distinct(), "other", "left_semi")
         if open_.count() + close.count() <= small:
@@ -162,7 +190,7 @@ def resolve_batch(batch: DataFrame, least: float = SIMILARITY, small: int = 20_0
             for r in close.select("key", "other").collect():
                 by.setdefault(r["key"], []).append(r["other"])
             kept.append(spark.createDataFrame([(s,) for s in _kept_here(list(own.items()), by)], "seq long"))
-            break
+            return reduce(DataFrame.unionByName, kept)
         low = open_.groupBy("key").agg(F.min("seq").alias("low"))
         beside = close.join(low.withColumnRenamed("key", "other"), "other").select("key", "low")
         low = low.unionByName(beside).groupBy("key").agg(F.min("low").alias("low"))
@@ -173,19 +201,72 @@ def resolve_batch(batch: DataFrame, least: float = SIMILARITY, small: int = 20_0
         taken = taken.unionByName(close.join(taken, "key", "left_semi").select(F.col("other").alias("key"))).distinct()
         gone = open_.join(taken, "key", "left_semi").select("seq").distinct()
         open_ = stored(spark, open_.join(gone, "seq", "left_anti"), "batch-keys")
-    leaders = stored(spark, rows.join(reduce(DataFrame.unionByName, kept), "seq", "left_semi").select("seq", *kinds), "batch-kept")
-    # Of kept rows each key has one at most.
-    by_key = lambda k, name: leaders.where(f"{k} is not null").select(k, F.col("seq").alias(name))
-    same = leaders.where("_named is not null").select(F.col("_named").alias("key"), F.lit(1.0).alias("like"), "seq")
-    similar = near.join(by_key("_named", "seq").withColumnRenamed("_named", "other"), "other").select("key", "like", "seq").unionByName(same)
-    similar = similar.groupBy("key").agg(F.collect_list(F.struct("like", (-F.col("seq")).alias("seq"))).alias("_near")).withColumnRenamed("key", "_named")
-    found = rows.join(by_key("_id", "_l1"), "_id", "left").join(by_key("_hash", "_l2"), "_hash", "left").join(similar, "_named", "left")
-    earlier = lambda c: F.when(F.col(c) < F.col("seq"), F.col(c))
-    best = -F.array_max(F.filter("_near", lambda x: -x["seq"] < F.col("seq")))["seq"]
-    is_kept = leaders.select(F.col("seq").alias("_kept"))
-    found = found.join(is_kept, F.col("seq") == F.col("_kept"), "left").select("seq", "_kept", earlier("_l1").alias("_l1"), earlier("_l2").alias("_l2"), best.alias("_l3"))
-    level = F.when(F.col("_kept").isNotNull(), "NONE").when(F.col("_l1").isNotNull(), "L1").when(F.col("_l2").isNotNull(), "L2").otherwise("L3")
-    return found.select(F.col("seq").cast("long").alias("seq"), F.coalesce("_kept", "_l1", "_l2", "_l3").cast("long").alias("leader"), level.alias("level"))
+
+
+def resolve_batch(batch: DataFrame, jobs: DataFrame | None = None, least: float = SIMILARITY, small: int = 20_000, first: int = 1024, growth: int = 8) -> DataFrame:
+    """seq, job, leader and level of each row of a batch whose rows are taken in the order of seq after the table
+    jobs: a row that matches a job or an earlier kept row by id (L1), hash (L2) or title within company and city (L3,
+    the most similar, of equally similar ones the job with the smallest id, then the earliest row) is counted on it,
+    and its own keys are not kept; the others are kept and lead themselves (NONE). L3 looks at active jobs only.
+    So resolving a stream batch by batch, each against the table that the last one left, gives what one fold over all
+    rows gives, however they were cut.
+
+    Rows are first reduced to the earliest of equal keys, so copies don't count. Chunks of growing size (the first
+    `first` rows in the order of seq, then `growth` times as many, and so on) are settled one after the other: what
+    matches a leader found so far is dropped, and only the rest of a chunk is compared within itself. Titles of one
+    kind, however many, thus meet the few leaders of their kind instead of each other. A chunk is settled in rounds;
+    when at most `small` keys and near titles of it are left, they are settled in one go in the order of seq, which
+    gives the same rows and bounds the rounds that long chains of single matches would take.
+    """
+    spark = batch.sparkSession
+    rows = stored(spark, _row_keys(batch.withColumn("seq", F.col("seq").cast("long")), "seq"), "batch-rows")
+    empty = spark.createDataFrame([], "id long, is_active boolean, normalized_company_name string, city string, normalized_title string, external_source string, external_job_id string, dedup_hash string")
+    table = (empty if jobs is None else jobs).withColumns({"job": F.col("id").cast("long"), "_active": F.coalesce("is_active", F.lit(True))})
+    table = _row_keys(table, "job", "_active").withColumn("seq", F.lit(None).cast("long"))
+    table = stored(spark, table, "batch-jobs")
+    keyless = " and ".join(f"{k} is null" for k in _KINDS)
+    open_ = stored(spark, rows.where(f"not ({keyless})").groupBy(*_KINDS).agg(F.min("seq").alias("seq"), *(F.first(c).alias(c) for c in (*_BLOCK, "title"))), "batch-first")
+    n, cuts, size = open_.count(), [], first
+    while size < n:
+        cuts.append(size / n)
+        size += size * growth
+    edges = [None, *(open_.approxQuantile("seq", cuts, 1e-4) if cuts else []), None]
+    leaders, has_leaders = table, not table.isEmpty()
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        chunk = open_
+        if low is not None:
+            chunk = chunk.where(F.col("seq") > int(low))
+        if high is not None:
+            chunk = chunk.where(F.col("seq") <= int(high))
+        chunk = stored(spark, _unmatched(chunk, leaders, least) if has_leaders else chunk, "batch-chunk")
+        found = chunk.join(_leaders_of_chunk(chunk, least, small), "seq", "left_semi").withColumns({"job": F.lit(None).cast("long"), "_active": F.lit(True)})
+        leaders, has_leaders = leaders.unionByName(stored(spark, found.select(*leaders.columns), "batch-kept")), True
+    keyless = rows.where(keyless).select("seq")
+    return _counted_on(rows, leaders, keyless, least)
+
+
+def _counted_on(rows: DataFrame, leaders: DataFrame, keyless: DataFrame, least: float) -> DataFrame:
+    """The leader of each row: of jobs with equal keys the one with the smallest id; of kept rows each key has one."""
+    spark = rows.sparkSession
+    is_kept = leaders.where("seq is not null").select(F.col("seq").alias("_kept")).unionByName(keyless.select(F.col("seq").alias("_kept")))
+    # Places of jobs and kept rows in one order: jobs by id, then rows by seq.
+    place = F.struct(F.col("seq").isNotNull().alias("new"), F.coalesce("job", "seq").alias("at"))
+
+    def by(k: str, name: str) -> DataFrame:
+        return leaders.where(f"{k} is not null").groupBy(k).agg(F.min(place).alias(name))
+
+    titled = leaders.where("_active and _named is not null").select(*_BLOCK, "title", F.col("_named").alias("other"), place.alias("place"))
+    jobs_by_title = titled.groupBy("other", "place.new").agg(F.min("place").alias("place"))
+    near = similar_titles(_titles(rows), titled.select(*_BLOCK, "title").distinct(), _BLOCK, least).select(_TITLE_KEY("title").alias("_named"), _TITLE_KEY("other").alias("other"), "like")
+    near = near.join(jobs_by_title, "other").groupBy("_named").agg(F.collect_list(F.struct((-F.col("like")).alias("unlike"), "place")).alias("_near"))
+    found = rows.join(by("_id", "_l1"), "_id", "left").join(by("_hash", "_l2"), "_hash", "left").join(near, "_named", "left")
+    found = stored(spark, found.join(is_kept, F.col("seq") == F.col("_kept"), "left"), "batch-found")
+    before = lambda p: ~p["new"] | (p["at"] < F.col("seq"))
+    l1, l2 = (F.when(before(F.col(x)), F.col(x)) for x in ("_l1", "_l2"))
+    l3 = F.array_min(F.filter("_near", lambda x: before(x["place"])))["place"]
+    level = F.when(F.col("_kept").isNotNull(), "NONE").when(l1.isNotNull(), "L1").when(l2.isNotNull(), "L2").otherwise("L3")
+    best = F.when(F.col("_kept").isNull(), F.coalesce(l1, l2, l3))
+    return found.select("seq", level.alias("level"), best.alias("_best"), "_kept").select("seq", F.when(~F.col("_best.new"), F.col("_best.at")).alias("job"), F.coalesce("_kept", F.when(F.col("_best.new"), F.col("_best.at"))).alias("leader"), "level")
 
 
 def apply_url_exists(new: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -2,85 +2,208 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def admit(times: list[int], limit: int, window: int, admitted: list[int]) -> list[bool]:
-    """Whether each event (in order, microseconds) is let in: fewer than limit were within the window before
-    it. admitted holds those let in and still in the window, and is updated."""
-    out = []
-    for t in times:
-        while admitted and admitted[0] <= t - window:
-            admitted.pop(0)
-        ok = len(admitted) < limit
-        if ok:
-            admitted.append(t)
-        out.append(ok)
+from jobloom.sources.tables import stored
+
+
+def admit(times: list[int], limit: int, window: int, held: list[int]) -> list[bool]:
+    """Whether each event (in order, microseconds) is let in: fewer than limit were let in within the window before
+    it. held: the last ones let in, at most limit; it is updated. Refused events are passed over, not visited."""
+    out, i = [False] * len(times), 0
+    while i < len(times) and limit > 0:
+        if len(held) >= limit:
+            i = bisect_left(times, held[0] + window, i)
+            if i == len(times):
+                break
+            held.pop(0)
+        out[i] = True
+        held.append(times[i])
+        i += 1
     return out
 
 
-def take(times: list[int], capacity: int, period: int, state: list) -> list[bool]:
-    """Token bucket with greedy refill: capacity tokens come back evenly over period. state: tokens, time."""
-    out = []
-    for t in times:
-        tokens, last = state
-        tokens = min(capacity, tokens + (t - last) * capacity / period) if last is not None else capacity
-        ok = tokens >= 1
-        state[:] = [tokens - ok, t]
-        out.append(ok)
+def take(times: list[int], capacity: int, period: int, state: list[int]) -> list[bool]:
+    """Token bucket with greedy refill: capacity tokens come back evenly over period. state: tokens in parts of a
+    period and the time at which they were counted, so that all is in whole numbers; empty for a full bucket. Refused
+    events are passed over, since they take nothing."""
+    out, i = [False] * len(times), 0
+    while i < len(times) and capacity > 0:
+        tokens, last = state or (capacity * period, times[i])
+        i = bisect_left(times, last - (tokens - period) // capacity, i)
+        if i == len(times):
+            break
+        tokens = min(capacity * period, tokens + (times[i] - last) * capacity)
+        out[i] = True
+        state[:] = [tokens - period, times[i]]
+        i += 1
     return out
 
 
-def _folded(timed: DataFrame, names: list[str], schema, step, start) -> DataFrame:
-    """Rows of timed (key, _t, id) folded by step(times, state) in order, each key from start() on. Tasks read
-    sorted batches and carry one key's state from batch to batch, so memory does not grow with a key."""
-
-    def task(batches):
-        key, state = object(), None
+@dataclass
+class Limiter:
+    """step(times, state) folds events in order and updates state, which is empty at first and again after a silence
+    of window; a run of at most `most` events from there is let in whole. seen(state, t) is what of the state matters
+    from time t on."""
+
+    step: Callable[[list[int], list[int]], list[bool]]
+    seen: Callable[[list[int], int], list[int]]
+    window: int
+    most: int
+
+
+def sliding(limit: int, window: int) -> Limiter:
+    return Limiter(lambda times, held: admit(times, limit, window, held), lambda held, t: [x for x in held if x > t - window], window, limit)
+
+
+def bucket(capacity: int, period: int) -> Limiter:
+    def seen(state: list[int], t: int) -> list[int]:
+        left = min(capacity * period, state[0] + (t - state[1]) * capacity) if state else capacity * period
+        return [] if left == capacity * period else [left]
+
+    return Limiter(lambda times, state: take(times, capacity, period, state), seen, period, capacity)
+
+
+def _keys(pdf: pd.DataFrame) -> np.ndarray:
+    """Where a batch, sorted by key, begins a key."""
+    key = pdf["_key"].to_numpy(object)
+    new = np.ones(len(key), bool)
+    new[1:] = [a is not b and a != b for a, b in zip(key[1:], key[:-1], strict=True)]
+    return new
+
+
+def _fold(pdf: pd.DataFrame, limiter: Limiter, key, state: list[int]) -> tuple[np.ndarray, object, list[int]]:
+    """admitted of a sorted batch that follows events of key in that state, the last key and its state. Only runs
+    between silences that pass `most` are folded, the first and the last of the batch besides."""
+    times = pdf["_t"].to_numpy(np.int64)
+    new = _keys(pdf)
+    new[1:] |= np.diff(times) >= limiter.window
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(times))
+    names = pdf["_key"].to_numpy(object)
+    out = np.ones(len(times), bool)
+    fold = end - begin > limiter.most
+    fold[[0, -1]] = True
+    for a, b in zip(begin[fold].tolist(), end[fold].tolist(), strict=True):
+        if a or names[0] is not key and names[0] != key:
+            key, state = names[a], []
+        out[a:b] = limiter.step(times[a:b].tolist(), state)
+    return out, key, state
+
+
+_STATE = "_part int, first string, last string, whole boolean, met boolean, state array<long>"
+
+
+def _limited(events: DataFrame, limiter: Limiter) -> DataFrame:
+    """events (key, id, ts) with admitted. They are sorted by ranges of key, time and id, so that a key with most of
+    the events is spread over many parts. What an event meets depends on all before it; so each part is first folded
+    as if nothing came before. A part that begins in the middle of a key's run is folded again from the state in which
+    the part before it ended, but only until both folds are in the same state, after which they agree; where a run
+    passes a whole part without that, its end has changed and the next part follows. After `rounds` of this, runs that
+    still differ (a key that never rests can keep its phase for ever) are passed through once, for the states between
+    parts alone. At last all parts are folded from their right states at once. Only states reach the driver, one a
+    part."""
+    rounds = 3
+    spark, names = events.sparkSession, events.columns
+    sort = ["_key", "_t", "id"]
+    timed = events.withColumns({"_t": F.unix_micros(F.col("ts").cast("timestamp")), "_key": F.col("key").cast("string")})
+    parts = stored(spark, timed.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_part", F.spark_partition_id()), "limited")
+
+    def runs(df: DataFrame) -> DataFrame:
+        return df.repartition("_part").sortWithinPartitions("_part", *sort)
+
+    def states(starts: dict[int, list[int]], old: dict[int, list[int]] | None, chain: bool = False):
+        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            part, first, key, t, state, was, whole, met = None, None, None, None, [], None, True, False
+            rows = []
+            for pdf in batches:
+                for p, own in pdf.groupby("_part", sort=True):
+                    if p != part:
+                        if part is not None:
+                            rows.append((part, first, key, whole, met, state))
+                        state = list(state) if chain and part is not None else list(starts.get(p, []))
+                        was = list(old[p]) if old is not None else None
+                        first = key = own["_key"].iloc[0]
+                        part, t, whole, met = int(p), None, True, False
+                    if met:
+                        continue  # both folds agree from here on
+                    times = own["_t"].to_numpy(np.int64)
+                    gaps = np.diff(times, prepend=times[0] if t is None else t)
+                    whole = whole and own["_key"].iloc[0] == key and not _keys(own)[1:].any() and not (gaps >= limiter.window).any()
+                    t = int(times[-1])
+                    if was is not None:
+                        _, _, was = _fold(own, limiter, key, was)
+                    _, key, state = _fold(own, limiter, key, state)
+                    met = was is not None and limiter.seen(state, t) == limiter.seen(was, t)
+            if part is not None:
+                rows.append((part, first, key, whole, met, state))
+            yield pd.DataFrame(rows, columns=["_part", "first", "last", "whole", "met", "state"])
+
+        return task
+
+    keyed = parts.select("_part", *sort)
+    found = {r["_part"]: r for r in runs(keyed).mapInPandas(states({}, None), _STATE).collect()}
+    order = sorted(found)
+    ends = {p: list(found[p]["state"]) for p in order}
+    # Parts whose first run goes on from the part before.
+    follows = {p: q for q, p in zip(order[:-1], order[1:], strict=True) if found[q]["last"] == found[p]["first"]}
+    behind = {q: p for p, q in follows.items()}
+    used: dict[int, list[int]] = {}
+    for n in range(rounds + 1):
+        # A part whose run does not fill it ends as it did, whatever came before.
+        change = [p for p in follows if found[p]["whole"] and ends[follows[p]] != used.get(p, [])]
+        if not change:
+            break
+        starts = {p: ends[follows[p]] for p in change}
+        if n < rounds:
+            task = states(starts, {p: used.get(p, []) for p in change})
+            for r in runs(keyed.where(F.col("_part").isin(change))).mapInPandas(task, _STATE).collect():
+                if not r["met"]:  # else it ends as before
+                    ends[r["_part"]] = list(r["state"])
+            used |= starts
+            continue
+        # What has not settled: each run's parts, one after the other.
+        for p in sorted(change):
+            if ends[follows[p]] == used.get(p, []):
+                continue
+            chain = [p]
+            while (after := behind.get(chain[-1])) is not None and found[after]["whole"]:
+                chain.append(after)
+            task = states({p: ends[follows[p]]}, None, chain=True)
+            before = ends[follows[p]]
+            for r in sorted(keyed.where(F.col("_part").isin(chain)).coalesce(1).sortWithinPartitions("_part", *sort).mapInPandas(task, _STATE).collect(), key=lambda r: r["_part"]):
+                used[r["_part"]], before = before, list(r["state"])
+                ends[r["_part"]] = before
+    right = {p: ends[q] for p, q in follows.items()}
+
+    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, key, state = None, None, []
         for pdf in batches:
-            parts = []
-            for k, own in pdf.groupby("key", sort=False, dropna=False):
-                k = None if pd.isna(k) else k
-                if k != key:
-                    key, state = k, start()
-                parts.append(pd.Series(step(own["_t"].tolist(), state), own.index, dtype=bool))
-            if parts:
-                pdf["admitted"] = pd.concat(parts)
-                yield pdf[[*names, "admitted"]]
-
-    return timed.repartition("key").sortWithinPartitions("key", "_t", "id").mapInPandas(task, schema)
-
-
-def _limited(events: DataFrame, most: int, seconds: int, step, start) -> DataFrame:
-    """events with admitted: runs of at most `most` events between silences of `seconds` are let in whole, the
-    others are folded. A silence brings the state back to start()'s, so leaving runs out changes nothing."""
-    by_key = Window.partitionBy("key").orderBy("_t", "id")
-    gap = (F.col("_t") - F.lag("_t").over(by_key)) >= seconds * 1_000_000
-    timed = events.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_run", F.sum(F.coalesce(gap, F.lit(True)).cast("long")).over(by_key))
-    sized = timed.withColumn("_n", F.count("*").over(Window.partitionBy("key", "_run")))
-    names = events.columns
-    quiet = sized.where(F.col("_n") <= most).select(*names, F.lit(True).alias("admitted"))
-    return quiet.unionByName(_folded(sized.where(F.col("_n") > most).select(*names, "_t"), names, quiet.schema, step, start))
+            for p, own in pdf.groupby("_part", sort=True):
+                if p != part:
+                    part, key, state = p, own["_key"].iloc[0], list(right.get(p, []))
+                admitted, key, state = _fold(own, limiter, key, state)
+                yield own.assign(admitted=admitted)[[*names, "admitted"]]
+
+    return runs(parts).mapInPandas(final, events.withColumn("admitted", F.lit(True)).schema)
 
 
 def sliding_admission(events: DataFrame, limit: int, window_seconds: int) -> DataFrame:
-    """events (key, id, ts) with admitted. Each key's events are folded in order; an event's fate depends on
-    those before it, so no aggregate expresses it. Keys that never reach the limit inside a window, nearly
-    all of them, are settled by a window count; the rest is folded batch by batch with at most limit times held.
-    All of a key's hot stretches pass through one task, but not through its memory at once."""
-    window = window_seconds * 1_000_000
-    return _limited(events, limit, window_seconds, lambda times, held: admit(times, limit, window, held), list)
+    """events (key, id, ts) with admitted: let in if fewer than limit of their key were within the window before."""
+    return _limited(events, sliding(limit, window_seconds * 1_000_000))
 
 
 def token_bucket(events: DataFrame, capacity: int, period_seconds: int) -> DataFrame:
-    """events with admitted, by a bucket per key. After a silence of a whole period the bucket is full again,
-    so a run of at most capacity events is let in whole; the rest is folded with tokens and time held."""
-    period = period_seconds * 1_000_000
-    return _limited(events, capacity, period_seconds, lambda times, state: take(times, capacity, period, state), lambda: [capacity, None])
+    """events (key, id, ts) with admitted, by a bucket per key."""
+    return _limited(events, bucket(capacity, period_seconds * 1_000_000))
 
 
 #: Requests a minute by kind of endpoint.

@@ -110,6 +110,7 @@ def with_views(sql: str) -> str:
     if not used:
         return sql
     ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in used)
-    if sql.lstrip().upper().startswith("WITH "):
-        return f"WITH {ctes}, {sql.lstrip()[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.lstrip().upper().startswith(start):
+            return f"{start}{ctes}, {sql.lstrip()[len(start) :]}"
     return f"WITH {ctes} {sql}"

@@ -365,12 +365,31 @@ def rolling(v: Views):
     return v.events.select(F.col("event_id").alias("id"), limits.sliding_count("user_id", "ts", 3600).alias("n"))
 
 
-@query("i06_sliding_admission")
+def _fold_sql(key: str, columns: str, start: str, seen: str, ok: str, after: str) -> str:
+    """Events of a key taken one after the other: each step of the recursion decides the k-th event of all keys. held
+    is the state; seen what is left of it at the event, after what it becomes."""
+    return f"""WITH RECURSIVE o AS (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS k, {key} AS owner FROM events),
+    f(owner, k, event_id, held, last, admitted) AS (SELECT owner, k - 1, event_id, {start}, t, false FROM o WHERE k = 1
+        UNION ALL SELECT owner, k, event_id, CASE WHEN ok THEN {after} ELSE h END, t, ok FROM (SELECT *, {ok} AS ok FROM (SELECT o.owner, o.k, o.event_id, o.t, o.user_id, {seen} AS h FROM f JOIN o ON o.owner = f.owner AND o.k = f.k + 1)))
+    SELECT {columns}, f.admitted FROM f JOIN o USING (owner, k)"""
+
+
+def _window_sql(key: str, columns: str, limit: str, seconds: int) -> str:
+    return _fold_sql(key, columns, "CAST([] AS BIGINT[])", f"list_filter(f.held, lambda x: x > o.t - {seconds * 1_000_000})", f"len(h) < {limit}", "list_append(h, t)")
+
+
+def _bucket_sql(key: str, columns: str, capacity: int, seconds: int) -> str:
+    """Tokens are counted in parts of the period, so all is in whole numbers."""
+    period = seconds * 1_000_000
+    return _fold_sql(key, columns, f"CAST({capacity * period} AS BIGINT)", f"least({capacity * period}, f.held + (o.t - f.last) * {capacity})", f"h >= {period}", f"h - {period}")
+
+
+@query("i06_sliding_admission", _window_sql("user_id", "CAST(o.user_id AS STRING) AS key, o.event_id AS id, o.ts", "3", 4 * 3600))
 def admission(v: Views):
     return limits.sliding_admission(v.events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), "ts"), 3, 4 * 3600)
 
 
-@query("i08_token_bucket")
+@query("i08_token_bucket", _bucket_sql("user_id", "CAST(o.user_id AS STRING) AS key, o.event_id AS id, o.ts", 2, 48 * 3600))
 def bucket(v: Views):
     return limits.token_bucket(v.events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), "ts"), 2, 48 * 3600)
 
@@ -483,12 +502,6 @@ def upsert(v: Views):
     return dedup.upsert_postings(jobs, new, NOW).drop("seq")
 
 
-@query("h05_resolve_batch")
-def same_batch(v: Views):
-    """All accepted postings as one batch."""
-    return dedup.resolve_batch(v.enriched.where("reject_stage is null").withColumn("external_source", F.col("source")))
-
-
 @query("g06_order_friction", f"SELECT row_number() OVER (ORDER BY CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, days DESC, user_id, signal) AS place, user_id, signal, severity, days FROM ({FRICTION_SQL}) QUALIFY place <= 100")
 def friction_page(v: Views):
     """The first page of a worklist, with its places."""
@@ -497,7 +510,11 @@ def friction_page(v: Views):
     return page.select(F.row_number().over(Window.orderBy(*activity.friction_order())).alias("place"), "user_id", "signal", "severity", "days")
 
 
-@query("i06_tier_admission")
+_TIER = "CASE user_id % 3 WHEN 0 THEN 'login' WHEN 1 THEN 'refresh' ELSE 'public' END"
+_IP = "CONCAT('10.0.0.', CAST(user_id % 7 AS STRING))"
+
+
+@query("i06_tier_admission", _window_sql(f"CONCAT({_TIER}, {_IP})", f"{_TIER} AS tier, {_IP} AS ip, o.event_id AS id, o.ts", "CASE user_id % 3 WHEN 0 THEN 10 WHEN 1 THEN 30 ELSE 120 END", 240 * 3600))
 def tiers_admitted(v: Views):
     """Requests of each kind of endpoint against its own limit."""
     kind = F.element_at(F.array(*[F.lit(f"/api/v1/{u}") for u in ("auth/login", "auth/refresh", "jobs")]), (F.col("user_id") % 3 + 1).cast("int"))
@@ -526,13 +543,55 @@ def logged(v: Views):
     return v.spark.read.parquet(path)
 
 
-@query("i01_ingest_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+# Taken in order of arrival, a posting that matches an earlier kept one by id, hash or title counts on it. Each step
+# of the recursion decides one posting from the list of those kept so far.
+_FOLD = f"""e AS ({ENRICHED}), n AS (SELECT *, source || chr(31) || external_job_id AS xid, lower(normalized_company_name) AS c, lower(city) AS p, row_number() OVER (ORDER BY seq) AS k FROM e WHERE accepted),
+    t AS (SELECT DISTINCT c, p, normalized_title AS title, {_GRAMS('normalized_title')} AS x FROM n WHERE c IS NOT NULL AND p IS NOT NULL),
+    s AS (SELECT a.c, a.p, a.title, b.title AS other, len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))) AS likeness FROM t a JOIN t b ON a.c = b.c AND a.p = b.p AND len(a.x) > 0 AND len(b.x) > 0),
+    m AS (SELECT k, j, min(level) AS level, max(likeness) AS likeness FROM (
+        SELECT a.k, b.k AS j, 1 AS level, NULL AS likeness FROM n a JOIN n b ON a.xid = b.xid AND b.k < a.k UNION ALL SELECT a.k, b.k, 2, NULL FROM n a JOIN n b ON a.dedup_hash = b.dedup_hash AND b.k < a.k
+        UNION ALL SELECT a.k, b.k, 3, likeness FROM n a JOIN s ON s.c = a.c AND s.p = a.p AND s.title = a.normalized_title AND likeness >= 0.85 JOIN n b ON b.c = s.c AND b.p = s.p AND b.normalized_title = s.other AND b.k < a.k) GROUP BY ALL),
+    near AS (SELECT k, list(j) AS js FROM m GROUP BY k),
+    fold(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT fold.k + 1, CASE WHEN list_has_any(fold.kept, coalesce(near.js, [])) THEN fold.kept ELSE list_append(fold.kept, fold.k + 1) END FROM fold LEFT JOIN near ON near.k = fold.k + 1 WHERE fold.k < (SELECT count(*) FROM n)),
+    kept AS (SELECT unnest(kept) AS j FROM fold WHERE k = (SELECT count(*) FROM n)),
+    best AS (SELECT k, j, level FROM m JOIN kept USING (j) WHERE k NOT IN (SELECT j FROM kept) QUALIFY row_number() OVER (PARTITION BY k ORDER BY level, likeness DESC, j) = 1)"""
+
+
+@query("h05_resolve_batch", f"WITH RECURSIVE {_FOLD} SELECT n.seq, coalesce(l.seq, n.seq) AS leader, CASE WHEN best.k IS NULL THEN 'NONE' ELSE 'L' || best.level END AS level FROM n LEFT JOIN best ON best.k = n.k LEFT JOIN n l ON l.k = best.j")
+def same_batch(v: Views):
+    """All accepted postings as one batch."""
+    accepted = v.enriched.where("reject_stage is null").withColumn("external_source", F.col("source"))
+    return dedup.resolve_batch(accepted).select("seq", "leader", "level")
+
+
+@query(
+    "i01_ingest_stream",
+    f"""WITH RECURSIVE {_FOLD}, h AS (SELECT j, count(*) AS k, arg_max(apply_url, seq) FILTER (WHERE trim(coalesce(apply_url, '')) <> '') AS u, arg_max(publisher, seq) FILTER (WHERE publisher IS NOT NULL) AS p, arg_max(linkedin_easy_apply, seq) FILTER (WHERE linkedin_easy_apply IS NOT NULL) AS q FROM best JOIN n USING (k) GROUP BY j)
+    SELECT n.seq AS id, n.source AS external_source, n.external_job_id, n.dedup_hash, n.normalized_title, n.normalized_company_name, n.city, true AS is_active, coalesce(u, apply_url) AS apply_url, coalesce(h.p, publisher) AS publisher, coalesce(q, linkedin_easy_apply) AS linkedin_easy_apply,
+        {AS_OF} AS last_seen_at, CAST(coalesce(h.k, 0) AS INT) AS duplicate_source_count, {AS_OF} + INTERVAL 30 DAY AS expires_at FROM n JOIN kept ON kept.j = n.k LEFT JOIN h ON h.j = n.k""",
+)
 def streamed(v: Views):
-    from jobloom.streaming.ingest import ingest_stream
-
-    out, landed = shared_folder(v.spark, "stream"), shared_folder(v.spark, "landed")
-    events = v.events.select("event_id", "event_type")
-    events.write.parquet(landed)
-    # Written under the batch's number: a repeated batch replaces itself.
-    ingest_stream(v.spark, landed, events.schema, f"{out}-checkpoint", lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
-    return v.spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
+    """Postings land in three files, in the order of arrival; each is a batch that is merged into the table of the
+    batches before it, and the second is merged twice. The last version is what one fold over all postings gives."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    from jobloom.sources.snapshots import Snapshots
+    from jobloom.streaming.ingest import JOBS, ingest_stream, merge_postings
+
+    spark, landed, root = v.spark, shared_folder(v.spark, "landed"), shared_folder(v.spark, "job-table")
+    postings = v.postings
+    cuts = postings.approxQuantile("seq", [0.3, 0.6], 0.01)
+    cuts = [None, *map(int, cuts), None]
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        part = postings.where((F.col("seq") > low if low is not None else F.lit(True)) & (F.col("seq") <= high if high is not None else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(landed)
+    table = Snapshots(spark, root, _parse_datatype_string(JOBS), width=4096)
+    table.publish(0, table.read())
+
+    def merge(batch: DataFrame, number: int) -> None:
+        merge_postings(table, batch, number, NOW)
+        if number == 1 and merge_postings(table, batch, number, NOW):
+            raise RuntimeError("a batch was merged twice")
+
+    ingest_stream(spark, landed, postings.schema, f"{root}-checkpoint", merge, files=1)
+    return table.read()

@@ -9,14 +9,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from jobloom.operators.dedup import resolve_batch, upsert_postings
 from jobloom.operators.limits import admit, take
+from jobloom.operators.scoring import enrich
+from jobloom.sources.snapshots import Snapshots
+from jobloom.sources.tables import stored
+
+
+def ingest_stream(spark: SparkSession, path: str, schema, checkpoint: str, merge: Callable[[DataFrame, int], None], files: int | None = None) -> None:
+    """Run merge(batch, batch id) over every newly landed file of postings (at most `files` a batch), then stop. The
+    checkpoint makes a batch run once; merge must write under its batch id, so that a repeated batch changes nothing."""
+    reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    query = reader.parquet(path).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
+    query.awaitTermination()
 
 
-def ingest_stream(spark: SparkSession, path: str, schema, checkpoint: str, merge: Callable[[DataFrame, int], None]) -> None:
-    """Run merge(batch, batch id) over every newly landed file of postings, then stop. The checkpoint makes a
-    batch run once; merge must write under its batch id, so that a repeated batch replaces itself."""
-    query = spark.readStream.schema(schema).parquet(path).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
-    query.awaitTermination()
+#: The columns of the job table that the ingest keeps.
+JOBS = "id long, external_source string, external_job_id string, dedup_hash string, normalized_title string, normalized_company_name string, city string, is_active boolean, apply_url string, publisher string, linkedin_easy_apply boolean, last_seen_at timestamp, duplicate_source_count int, expires_at timestamp"
+
+
+def merge_postings(table: Snapshots, batch: DataFrame, number: int, as_of) -> int:
+    """Merge a batch of postings (seq in the order of arrival) into the job table as its version number + 1: enrich,
+    reject, resolve against the table and within the batch, update the jobs that were met and add the others, whose id
+    is their seq. Only buckets with such rows are written; returns their number (0: the batch was merged before)."""
+    spark = batch.sparkSession
+    if table.latest() > number:
+        return 0
+    enriched = stored(spark, enrich(batch).withColumn("external_source", F.col("source")), "ingest-batch")
+    accepted = enriched.where("reject_stage is null")
+    jobs = table.read(number)
+    found = stored(spark, resolve_batch(accepted, jobs), "ingest-resolved")
+    now = F.lit(as_of).cast("timestamp")
+    fresh = {"id": F.col("seq"), "is_active": F.lit(True), "last_seen_at": now, "duplicate_source_count": F.lit(0), "expires_at": now + F.expr("INTERVAL 30 DAYS")}
+    # Rows that lead themselves are new jobs; the others count on a job of the table or of this batch.
+    rows = accepted.join(found, "seq").withColumns(fresh)
+    new = stored(spark, rows.where("level = 'NONE'"), "ingest-new")
+    hits = stored(spark, rows.where("level <> 'NONE'").withColumn("match_id", F.coalesce("job", "leader")), "ingest-hits")
+
+    def change(old: DataFrame) -> DataFrame:
+        return upsert_postings(old.unionByName(new.select(*old.columns)), hits, as_of)
+
+    touched = hits.select(F.col("match_id").alias("id")).unionByName(new.select("id"))
+    return table.update(number + 1, touched, change)
 
 
 def windowed_failures(attempts: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -64,13 +100,13 @@ class _Bucket(StatefulProcessor):
         self.capacity, self.period = capacity, period
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bucket = handle.getValueState("bucket", "tokens double, t long")
+        self.bucket = handle.getValueState("bucket", "tokens long, t long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(rows).sort_values(["t", "id"])
-        state = list(self.bucket.get()) if self.bucket.exists() else [self.capacity, None]
+        state = list(self.bucket.get()) if self.bucket.exists() else []
         pdf["admitted"] = take(pdf["t"].tolist(), self.capacity, self.period, state)
-        self.bucket.update((float(state[0]), int(state[1])))
+        self.bucket.update((int(state[0]), int(state[1])))
         yield pdf[["key", "id", "t", "admitted"]]
 
     def close(self) -> None:

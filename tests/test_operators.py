@@ -145,7 +145,7 @@ def test_limiters_equal_a_fold(spark):
     rows, events = _events(spark)
     sliding = _fold(rows, lambda t, s: limits.admit(t, 3, 60_000_000, s), list)
     assert {r["id"]: r["admitted"] for r in limits.sliding_admission(events, 3, 60).collect()} == sliding
-    bucket = _fold(rows, lambda t, s: limits.take(t, 3, 60_000_000, s), lambda: [3, None])
+    bucket = _fold(rows, lambda t, s: limits.take(t, 3, 60_000_000, s), list)
     assert {r["id"]: r["admitted"] for r in limits.token_bucket(events, 3, 60).collect()} == bucket
     assert 0 < sum(sliding.values()) < len(rows)
     burst = spark.createDataFrame([("k", i, dt.datetime(2024, 1, 1, 0, 0, i)) for i in range(11)], "key string, id long, ts timestamp")
@@ -159,7 +159,7 @@ def test_limiters_hold_no_whole_run(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     try:
-        for df, step, start in ((limits.sliding_admission(events, 3, 60), lambda t, s: limits.admit(t, 3, 60_000_000, s), list), (limits.token_bucket(events, 3, 60), lambda t, s: limits.take(t, 3, 60_000_000, s), lambda: [3, None])):
+        for df, step, start in ((limits.sliding_admission(events, 3, 60), lambda t, s: limits.admit(t, 3, 60_000_000, s), list), (limits.token_bucket(events, 3, 60), lambda t, s: limits.take(t, 3, 60_000_000, s), list)):
             plan = df._jdf.queryExecution().executedPlan().toString()
             assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan
             assert {r["id"]: r["admitted"] for r in df.collect()} == _fold(rows, step, start)
