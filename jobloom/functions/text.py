@@ -4,6 +4,8 @@ names) and gives a column, so Catalyst plans them with the rest of the query."""
 from __future__ import annotations
 
 import re
+import re._constants as _sre
+import warnings
 from functools import reduce
 
 import pandas as pd
@@ -231,40 +233,89 @@ def classify_work_mode(title, description, remote) -> Column:
 _BEFORE, _AFTER = r"(?<![\w])", r"(?![\w])"
 
 
+def _parsed(pattern: str):
+    """The pattern's tree; None where the two pattern languages could read it differently (quoting, octal escapes,
+    sets in sets, Unicode case) or the parser at hand doesn't know it."""
+    if re.search(r"\\[0Q]|\(\?[a-zA-Z]*[uUxd]", pattern):
+        return None
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")  # it warns of sets in sets
+            return re._parser.parse(pattern, re.IGNORECASE)
+    except (re.error, Warning, OverflowError, RecursionError):
+        return None
+
+
 def alternatives(pattern: str) -> list[str]:
-    """The top-level alternatives of a pattern."""
-    out, depth, at, k = [], 0, 0, 0
-    while k < len(pattern):
-        ch = pattern[k]
-        if ch == "\\":
-            k += 1
-        elif ch in "([":
-            depth += 1
-        elif ch in ")]":
-            depth -= 1
-        elif ch == "|" and depth == 0:
-            out.append(pattern[at:k])
-            at = k + 1
-        k += 1
+    """The top-level alternatives of a pattern; the pattern itself where it can't be told."""
+    if _parsed(pattern) is None:
+        return [pattern]
+    out, depth, at = [], 0, 0
+    # An escape, a set (its first sign may be a bracket), or a sign.
+    for m in re.finditer(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", pattern, re.DOTALL):
+        depth += {"(": 1, ")": -1}.get(m[0], 0)
+        if m[0] == "|" and depth == 0:
+            out.append(pattern[at : m.start()])
+            at = m.end()
     return [*out, pattern[at:]]
 
 
-def plain_start(pattern: str) -> str:
-    """Lower-case text that every match of a pattern without top-level alternatives begins with; empty if the
-    pattern doesn't tell so plainly."""
-    rest = pattern.removeprefix(_BEFORE).removeprefix(r"\b")
-    out = ""
-    while m := re.match(r"([A-Za-z0-9_ ]|\\[.#+-])(?![?*+{])", rest):
-        out += m[1][-1]
-        rest = rest[m.end() :]
-    return out.lower()
+def _flat(items):
+    """The items of a sequence, with groups opened."""
+    for op, arg in items:
+        if op is _sre.SUBPATTERN:
+            yield from _flat(arg[3])
+        elif op is _sre.ATOMIC_GROUP:
+            yield from _flat(arg)
+        else:
+            yield op, arg
+
+
+def _needed(items) -> frozenset[str]:
+    """Texts of which every match of a sequence holds one; empty if that can't be told."""
+    found: list[frozenset[str]] = []
+    run = ""
+
+    def ends() -> None:
+        nonlocal run
+        found.append(frozenset([run]))
+        run = ""
+
+    for op, arg in _flat(items):
+        if op is _sre.LITERAL and arg < 128:
+            run += chr(arg).lower()
+        elif op in (_sre.MAX_REPEAT, _sre.MIN_REPEAT, _sre.POSSESSIVE_REPEAT):
+            least, most, body = arg
+            own = list(_flat(body))
+            if least and all(o is _sre.LITERAL and x < 128 for o, x in own):
+                run += "".join(chr(x) for _, x in own).lower() * min(least, 20)
+                if least == most and least <= 20:
+                    continue
+            elif least:
+                found.append(_needed(own))
+            ends()
+        elif op is _sre.BRANCH:
+            ends()
+            each = [_needed(x) for x in arg[1]]
+            if all(each):
+                found.append(frozenset().union(*each))
+        elif op not in (_sre.AT, _sre.ASSERT, _sre.ASSERT_NOT):  # these take no room
+            ends()
+    ends()
+    return max((x for x in found if x and min(map(len, x)) > 1), key=lambda x: (min(map(len, x)), -len(x)), default=frozenset())
+
+
+def needed_texts(pattern: str) -> list[str]:
+    """Lower-case texts (A-Z) of which every match of the pattern, in any case, holds one; empty if none are known."""
+    tree = _parsed(pattern)
+    return sorted(_needed(tree)) if tree is not None else []
 
 
 def extract_technologies(c, catalogue=None) -> Column:
     """Keys whose pattern occurs (in any case of A-Z), in the catalogue's order.
 
     A text is cut into its words once. A pattern that is a word between non-word characters is looked up among
-    them; others are searched for, but where they plainly begin with some text only if that occurs.
+    them; others are searched for, but where their tree tells texts that every match holds only if one of them occurs.
     """
     entries = catalogue or rules.TECHNOLOGIES
     word = lambda alt: m[1].lower() if (m := re.fullmatch(re.escape(_BEFORE) + r"([A-Za-z0-9_]+)" + re.escape(_AFTER), alt)) else None
@@ -277,9 +328,8 @@ def extract_technologies(c, catalogue=None) -> Column:
     def occurs(alt: str, s: Column) -> Column:
         if word(alt):
             return F.array_contains(s["held"], word(alt))
-        start = plain_start(alt)
-        found = matches(c, alt)
-        return s["lower"].contains(start) & found if len(start) > 1 else found
+        found, needed = matches(c, alt), needed_texts(alt)
+        return reduce(lambda a, b: a | b, [s["lower"].contains(x) for x in needed]) & found if needed else found
 
     def keys(s):
         return F.array(*[F.when(reduce(lambda a, b: a | b, [occurs(alt, s) for alt in alts]), F.lit(key)) for key, alts in parts])

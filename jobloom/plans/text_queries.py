@@ -617,8 +617,9 @@ def tokens(v: Views):
     return v.postings.withColumn("linkedin_url", F.lit(None).cast("string")).where(publisher_match(["indeed", "acme2"])).select("seq")
 
 
-#: Further entries: one in capitals, with a class, optional and repeated parts, and one without a plain beginning.
-MORE_TECHNOLOGIES = [("erlang", r"Erlang|\b[Ee]lixir\b", "Erlang"), ("color", r"colou?r", "Color"), ("sql", r"(?<![\w])SQL(?![\w])", "SQL"), ("numbers", r"[0-9]{3,}", "Numbers"), ("wide", r"(?:plat|uni)form(?:s|ed)?", "Wide"), ("plus", r"c\+\+|th\w+ing", "Plus")]
+#: Further entries: one in capitals, with a class, optional and repeated parts, one without a plain beginning, and
+#: brackets in sets before and behind an alternative.
+MORE_TECHNOLOGIES = [("erlang", r"Erlang|\b[Ee]lixir\b", "Erlang"), ("color", r"colou?r", "Color"), ("sql", r"(?<![\w])SQL(?![\w])", "SQL"), ("numbers", r"[0-9]{3,}", "Numbers"), ("wide", r"(?:plat|uni)form(?:s|ed)?", "Wide"), ("plus", r"c\+\+|th\w+ing", "Plus"), ("call", r"jav[a(]x?[(]|kafka|und[^)]heit", "Call"), ("close", r"vis[)]|(?:re[)(]|an)d\b|[|]", "Close")]
 
 
 @query("b24_custom_catalogue", "SELECT seq, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_re('description', p)} THEN '{k}' END" for k, p, _ in MORE_TECHNOLOGIES) + "], lambda x: x IS NOT NULL), ',') AS technologies FROM postings")

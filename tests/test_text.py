@@ -81,6 +81,32 @@ def test_technologies_of_any_catalogue(spark):
         assert {x["row"]: x["found"] for x in df.select("row", X.extract_technologies("t", catalogue).alias("found")).collect()} == want
 
 
+def _random_pattern(r, depth=0):
+    """Letters, brackets in sets, escapes, optional and repeated parts, groups and alternatives."""
+    atom = lambda: r.choice(["a", "b", "ab", "Go", "k", "é", r"\.", r"\(", "[(]", "[)b]", "[^)]", "[a|]", r"[\]|]", r"\b", r"\w", ".", "(?=a)", "(?:k)"]) if depth > 2 or r.random() < 0.7 else "(?:" + _random_pattern(r, depth + 1) + ")"
+    part = lambda: "".join((x := atom()) + (r.choice(["", "", "", "?", "+", "*", "{2}", "{1,2}"]) if not x.startswith(("(?=", r"\b")) else "") for _ in range(r.randint(1, 4)))
+    return "|".join(part() for _ in range(r.choice([1, 1, 2, 3])))
+
+
+def test_any_pattern_is_found_as_by_a_search(spark):
+    """Random patterns, and some that lost matches: equal to a plain search."""
+    import random
+
+    r = random.Random(3)
+    some = ["java[(]|kotlin", "foo[)]x|bazooka", r"\Qa|b\E|zz", "[a[b|]]c|dd", r"(?iu)k8s|é", r"\0101b", "a{2,}b|(?:ab){2}"]
+    texts = ["".join(r.choice(["a", "b", "ab", "go", "GO", "k", "K", "K", "é", ".", "(", ")", "|", "]", " ", "kotlin", "bazooka", "dd"]) for _ in range(r.randint(0, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["We like kotlin and bazooka", *texts])], "row long, t string").coalesce(1)
+    for patterns in (some, [_random_pattern(r) for _ in range(40)], [_random_pattern(r) for _ in range(40)]):
+        catalogue = [(str(i), p, "") for i, p in enumerate(patterns)]
+        plain = {x["row"]: [k for k, _, _ in catalogue if x[k]] for x in df.select("row", *[F.col("t").rlike("(?i)" + p).alias(k) for k, p, _ in catalogue]).collect()}
+        assert {x["row"]: x["found"] for x in df.select("row", X.extract_technologies("t", catalogue).alias("found")).collect()} == plain
+
+
+def test_needed_texts():
+    assert X.needed_texts("java[(]|kotlin") == ["java(", "kotlin"] and X.alternatives("java[(]|kotlin") == ["java[(]", "kotlin"]
+    assert X.needed_texts("x(?:ab|cd)+y") == ["ab", "cd"] and X.needed_texts("colou?r") == ["colo"] and X.needed_texts("[ab]c|d") == []
+
+
 def test_slugs(spark):
     rows = [(1, "Ingénieur Sénior — Données!"), (2, "  "), (3, None), (4, "Plain Title, 2"), (5, "漢字"), (6, "-a-")]
     df = spark.createDataFrame(rows, "i long, t string")
