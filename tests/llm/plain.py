@@ -144,13 +144,15 @@ def bigram_scores(rows, mu=20.0):
     pairs = Counter(p for own in train for p in zip(["<begin>", *own[:-1]], own, strict=True))
     n, v = sum(count.values()), len(count)
     middle = lambda c: 0 if not c else 1 if c == 1 else 0.75 * 2 ** (1 + int(math.log2(c)))
+    follow = Counter()
+    for (a, _), c in pairs.items():
+        follow[a] += middle(c)
     out = []
     for (doc, _), own in zip(rows, tokens, strict=True):
         total = 0.0
         for a, b in zip(["<begin>", *own[:-1]], own, strict=True):
-            first = len(train) if a == "<begin>" else count[a]
             p = (count[b] + 1) / (n + v + 1)
-            total += math.log10(min((min(middle(pairs[a, b]), first) + mu * p) / (first + mu), 1.0))
+            total += math.log10((middle(pairs[a, b]) + mu * p) / (follow[a] + mu))
         out.append((doc, total))
     return out
 

@@ -496,6 +496,28 @@ def test_language_model_scores_are_the_plain_ones(spark):
     assert gap < 0.05 and sum(abs(got[d]["score"] - w) < 1e-9 for d, w in want.items()) > 5
 
 
+def test_language_model_is_a_probability():
+    """After every word, the probabilities of all words and of an unknown one add up to 1, but for false hits."""
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"w{min(x, 300)}" for x in r.zipf(1.3, r.integers(1, 120))) for _ in range(150)]
+    data, offsets = common.buffers(pa.array(texts))
+    h, at = language_model.tokens(data, offsets)
+    before, pair = language_model.bigrams(h, at)
+    word, c = np.unique(h, return_counts=True)
+    distinct, place, n = np.unique(pair, return_index=True, return_counts=True)
+    own = language_model._segment(distinct, 3).astype(int)
+    filter_ = language_model.Filter({s: language_model.filter_of(distinct[own == s].astype(np.uint32), n[own == s]).tobytes() for s in range(3)}, 3)
+    first, follow = language_model._sum(language_model._top(before[place]), language_model.count_at(language_model.level_of(n)))
+    mass, times = [], []
+    for w, k in zip([language_model.BEGIN, *word], [len(texts), *c], strict=True):
+        level = filter_.level(common.mix(np.full(len(word), w) * language_model._A + word * language_model._B))
+        total = language_model._counts(first, follow, language_model._top(np.array([w])))[0]
+        p = (c + 1) / (len(h) + len(word) + 1)
+        mass.append(float(((language_model.count_at(level) + language_model.MU * p) / (total + language_model.MU)).sum()) + language_model.MU / (len(h) + len(word) + 1) / (total + language_model.MU))
+        times.append(k)
+    assert 0.99 < min(mass) and np.average(mass, weights=times) < 1.05
+
+
 def test_language_model_beats_its_base(spark):
     got = Q.op10_language_model(spark, SF).where("held_out").agg(F.sum("base_score"), F.sum("score")).collect()[0]
     assert got[1] > got[0]
