@@ -13,10 +13,11 @@ of their sets has at least 75 % of the size of the union. The result is each doc
 3. In a candidate component a signature tree holds OR-combined bitmaps and size ranges; a dual traversal
    prunes node pairs by their maximum possible overlap, and surviving pairs are verified on whole sets. Pairs
    already known to be connected are skipped.
-4. A candidate component of more than `most` documents is cut into chunks by hash. Chunks are linked inside,
-   then their classes' representatives among each other; whatever is not yet in the component's largest
-   class is compared with those that share one of its first shingles and are of a fitting size, chunk by chunk. So
-   no task holds such a component and no link is lost.
+4. A candidate component of more than `most` documents or MOST_BYTES is cut into chunks by hash. Chunks are linked
+   inside, then their classes' representatives among each other. Then the component is cut into chunks of neighbouring
+   sizes, and those meet in which something that is not yet in its largest class shares one of the first shingles with
+   something of fitting size; each text goes once to each chunk that its own meets. So no task holds such a component
+   and no link is lost.
 
 Shingles are compared by 64-bit hashes (32 bits and the bucket only in the filters, where equality by
 accident makes a candidate more), equal sets are found by 128-bit hashes and then numbered. Null and wordless texts
@@ -30,14 +31,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm.common import SPACED, arrow_batches, free_name, keyed, mix, row_key, stored, word_hashes, words
 from jobloom.llm.graphs import components
 
 WIDTH = 5
-MOST = 4000
+MOST, MOST_BYTES = 4000, 64 << 20
 _SALTS = mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
@@ -450,45 +451,53 @@ def _cross_links(some: DataFrame, every: DataFrame, key: list[str]) -> DataFrame
     return some.select(columns).groupBy(key).cogroup(other.groupBy([f"of_{c}" for c in key])).applyInArrow(task, "a long, b long")
 
 
-def _apart_links(spark: SparkSession, split: DataFrame, tokens: DataFrame, most: int) -> DataFrame:
-    """Links between documents that are not in their component's main class and all others, from split (rk, n,
-    text, class, main). Linked documents share a token, and their sizes differ by a third of the smaller at most. So
-    only those that share a token and are in neighbouring size classes (powers of 4/3) meet; groups of documents of
-    one class are left out, others are cut into chunks of `most`. Texts are joined last."""
-    sized = split.select("rk", "class", "main", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int").alias("z"))
-    key = ["token", "z"]
-    near = F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1))
-    apart = tokens.join(sized.where(F.col("class") != F.col("main")), "rk").select("token", near.alias("z"), "rk", "class")
-    every = tokens.join(sized, "rk").select("token", "z", "rk", "class").join(apart.select(key).distinct(), key, "left_semi")
-    apart, every = stored(spark, apart, "jaccard-apart"), stored(spark, every, "jaccard-met")
-    of = lambda df, n: df.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias(n), F.min("class").alias(f"low_{n}"), F.max("class").alias(f"high_{n}"))
-    met = of(apart, "n_a").join(of(every, "n_b"), key).where((F.col("low_n_a") != F.col("high_n_b")) | (F.col("high_n_a") != F.col("low_n_b"))).select(*key, "n_a", "n_b")
-    met = stored(spark, met, "jaccard-groups")
-    chunk = lambda n: F.pmod(F.xxhash64("rk"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    texts = split.select("rk", "text")
-    some = apart.join(met, key).withColumn("a_chunk", chunk("n_a")).withColumn("b_chunk", each("n_b")).join(texts, "rk")
-    others = every.join(met, key).withColumn("b_chunk", chunk("n_b")).withColumn("a_chunk", each("n_a")).join(texts, "rk")
-    return _cross_links(some, others, [*key, "a_chunk", "b_chunk"])
+def _parts(m: str, size: str, most: int) -> Column:
+    """How many chunks hold m documents of so many bytes: at most about `most` documents and MOST_BYTES each."""
+    return F.ceil(F.greatest(F.col(m) / most, F.col(size) / MOST_BYTES)).cast("int")
+
+
+def _meetings(spark: SparkSession, split: DataFrame, tokens: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides, as rows (component, z, part, z2, part2, class, text), of the chunk pairs in which documents that are
+    not in their component's main class meet what they can link to, from split (component, rk, n, text, class, main).
+
+    Linked documents share a token, and their sizes differ by a third of the smaller at most. So a component's
+    documents are cut into chunks of neighbouring size (powers of 4/3), and two chunks of the same or of adjacent sizes
+    meet once, however many tokens they share, if a token occurs in both, on one side in a document that is apart, and
+    they aren't all of one class. Which chunks meet is found from tokens alone; then each text goes once to each
+    chunk that its own meets."""
+    sized = split.select("component", "rk", "class", (F.col("class") != F.col("main")).alias("apart"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int").alias("z"), F.octet_length("text").alias("size"))
+    per_size = sized.groupBy("component", "z").agg(F.count("*").alias("m"), F.sum("size").alias("size")).select("component", "z", _parts("m", "size", most).alias("parts"))
+    placed = stored(spark, sized.join(per_size, ["component", "z"]).withColumn("part", F.pmod(F.xxhash64("rk"), F.col("parts")).cast("int")).select("component", "rk", "class", "apart", "z", "part"), "jaccard-placed")
+    held = tokens.join(placed, "rk").groupBy("token", "component", "z", "part").agg(F.max("apart").alias("apart"), F.min("class").alias("low"), F.max("class").alias("high"))
+    held = stored(spark, held, "jaccard-held")
+    other = held.select("token", "component", *(F.col(c).alias(f"{c}2") for c in ("z", "part", "apart", "low", "high")))
+    fits = ((F.col("z2") == F.col("z")) & (F.col("part2") >= F.col("part"))) | (F.col("z2") == F.col("z") + 1)
+    open_ = (F.col("apart") | F.col("apart2")) & ((F.col("low") != F.col("high2")) | (F.col("high") != F.col("low2")))
+    met = stored(spark, held.join(other, ["token", "component"]).where(fits & open_).select("component", "z", "part", "z2", "part2").distinct(), "jaccard-met")
+    texts = placed.join(split.select("rk", "text"), "rk").select("component", "z", "part", "class", "text")
+    ours = texts.join(met, ["component", "z", "part"])
+    theirs = texts.withColumnsRenamed({"z": "z2", "part": "part2"}).join(met, ["component", "z2", "part2"])
+    return ours, theirs
 
 
 def _classes(spark: SparkSession, docs: DataFrame, tokens: DataFrame, most: int) -> DataFrame:
     """rk and class of rows (component, rk, n, text); tokens: rk and the tokens of which a linked pair shares one."""
-    size = docs.groupBy("component").agg(F.count("*").alias("m"))
-    sized = docs.join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("rk"), F.ceil(F.col("m") / most)).cast("int"))
+    size = docs.groupBy("component").agg(F.count("*").alias("m"), F.sum(F.octet_length("text")).alias("size")).select("component", _parts("m", "size", most).alias("parts"))
+    sized = docs.join(size, "component").withColumn("chunk", F.pmod(F.xxhash64("rk"), F.col("parts")).cast("int"))
     first = stored(spark, _link_groups(sized, ["component", "chunk"]), "jaccard-chunks")
-    large = size.where(F.col("m") > most)
+    large = size.where("parts > 1")
     if large.isEmpty():
         return first
     # Components of several chunks: their classes' representatives, then what that leaves apart.
-    labelled = stored(spark, sized.where(F.col("m") > most).join(first, "rk"), "jaccard-large")
+    labelled = stored(spark, sized.where("parts > 1").drop("parts", "chunk").join(first, "rk"), "jaccard-large")
     heads = labelled.where(F.col("rk") == F.col("class")).select("component", "rk", "text")
-    heads = heads.join(heads.groupBy("component").agg(F.count("*").alias("h")), "component").withColumn("chunk", F.pmod(F.xxhash64("rk"), F.ceil(F.col("h") / most)).cast("int"))
+    per_head = heads.groupBy("component").agg(F.count("*").alias("m"), F.sum(F.octet_length("text")).alias("size")).select("component", _parts("m", "size", most).alias("parts"))
+    heads = heads.join(per_head, "component").withColumn("chunk", F.pmod(F.xxhash64("rk"), F.col("parts")).cast("int"))
     second = _link_groups(heads, ["component", "chunk"]).select(F.col("rk").alias("class"), F.col("class").alias("joined"))
     labelled = stored(spark, labelled.join(second, "class").select("component", "rk", "n", "text", F.col("joined").alias("class")), "jaccard-joined")
     per_class = labelled.groupBy("component", "class").agg(F.count("*").alias("k"))
     main = per_class.groupBy("component").agg(F.max(F.struct("k", "class")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("component", F.col("main.class").alias("main"))
-    links = stored(spark, _apart_links(spark, labelled.join(main, "component"), tokens, most), "jaccard-cross")
+    links = stored(spark, _cross_links(*_meetings(spark, labelled.join(main, "component"), tokens, most), ["component", "z", "part", "z2", "part2"]), "jaccard-cross")
     joined = labelled.select("rk", "class")
     if not links.isEmpty():
         names = components(spark, links).select(F.col("node").alias("class"), F.col("component").alias("joined"))

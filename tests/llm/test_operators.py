@@ -121,6 +121,24 @@ def test_jaccard_is_brute_force(spark, most, seed):
     assert as_rows(jaccard.near_duplicates(spark, frame(spark, rows, extra=True), most), *JACCARD) == sorted(plain.jaccard_components(rows), key=repr)
 
 
+def test_jaccard_copies_texts_a_few_times(spark, monkeypatch):
+    """Documents made of shared lines: candidate components of many chunks, in which much stays apart. Each text goes
+    once to a chunk that its own meets, not once for every shared shingle."""
+    r = random.Random(11)
+    lines = [" ".join(f"w{r.randrange(4000)}" for _ in range(9)) for _ in range(60)]
+    rows = [(i, "\n".join(r.choice(lines[(i % 6) * 8 : (i % 6) * 8 + 20]) for _ in range(r.randint(5, 9)))) for i in range(240)]
+    copies = []
+
+    def counted(*given, own=jaccard._meetings):
+        ours, theirs = own(*given)
+        copies.append(ours.count() + theirs.count())
+        return ours, theirs
+
+    monkeypatch.setattr(jaccard, "_meetings", counted)
+    assert as_rows(jaccard.near_duplicates(spark, frame(spark, rows), 24), *JACCARD) == sorted(plain.jaccard_components(rows), key=repr)
+    assert 0 < sum(copies) <= 24 * len(rows)
+
+
 def test_jaccard_on_table(spark):
     assert as_rows(Q.op3_jaccard_join(spark, SF), *JACCARD) == sorted(plain.jaccard_components(pairs(spark)), key=repr)
 
