@@ -220,8 +220,8 @@ def _title_and_text(title, description) -> Column:
 
 def classify_seniority(title, description) -> Column:
     text = _title_and_text(title, description)
-    # A pattern is searched for only where one of its alternatives' beginnings occurs at all.
-    may = lambda p: contains_any(text, [plain_start(alt) for alt in alternatives(p)])
+    # A pattern is searched for only where a text that it needs occurs at all.
+    may = lambda p: contains_any(text, needed_texts(p)) if needed_texts(p) else F.lit(True)
     return first_match([(may(p) & text.rlike(rf"\b(?:{p})\b"), name) for name, p in rules.SENIORITY], "mid")
 
 

@@ -130,18 +130,55 @@ def filter_jobs_multi(jobs: DataFrame, emirates=(), categories=(), levels=(), jo
 THIN, THIN_DAYS = 300, 5
 
 
-def job_order(sort: str = "newest", q: str = "") -> list[Column]:
-    """Sort keys: an explicit date order wins over relevance; newest ranks thin descriptions 5 days older."""
+def sort_keys(sort: str = "newest", q: str = "") -> list[tuple[Column, bool]]:
+    """Sort keys and whether they fall, nulls last: an explicit date order wins over relevance; newest ranks thin
+    descriptions 5 days older."""
     sort = sort or "newest"
     thin = F.when(F.length(safe("description")) < THIN, F.expr(f"INTERVAL {THIN_DAYS} DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
-    keys = {"newest": [(F.col("created_at") - thin).desc_nulls_last()], "date_asc": [F.col("created_at").asc_nulls_last()]}.get(sort, [])
+    keys = {"newest": [(F.col("created_at") - thin, True)], "date_asc": [(F.col("created_at"), False)]}.get(sort, [])
     if q:
-        keys.append(text_rank(q).desc_nulls_last())
+        keys.append((text_rank(q), True))
     if sort == "salary_desc":
-        keys.append(F.coalesce("salary_max", "salary_min").desc_nulls_last())
+        keys.append((F.coalesce("salary_max", "salary_min"), True))
     if sort == "salary_asc":
-        keys.append(F.coalesce("salary_min", "salary_max").asc_nulls_last())
-    return [*keys, F.col("created_at").desc(), F.col("id")]
+        keys.append((F.coalesce("salary_min", "salary_max"), False))
+    return [*keys, (F.col("created_at"), True), (F.col("id"), False)]
+
+
+def order_of(keys: list[tuple[Column, bool]]) -> list[Column]:
+    return [k.desc_nulls_last() if falls else k.asc_nulls_last() for k, falls in keys]
+
+
+def job_order(sort: str = "newest", q: str = "") -> list[Column]:
+    return order_of(sort_keys(sort, q))
+
+
+CURSOR = "_cursor"
+
+
+def page_after(df: DataFrame, keys: list[tuple[Column, bool]], after=None, size: int = 20) -> DataFrame:
+    """The page that follows a row in the order of keys, the last of which is unique, with a column _cursor; after:
+    the last row's _cursor on the page before, None for the first page. Rows up to the cursor are filtered out, the
+    first key's bound by itself so that it reaches the scan; so a late page costs what the first one costs, and rows
+    that come or go before the cursor move nothing."""
+    size = min(max(size, 1), 100)
+    cursor = F.struct(*[k.alias(f"k{i}") for i, (k, _) in enumerate(keys)]).alias(CURSOR)
+    if after is not None:
+        values = [F.lit(after[f"k{i}"]) for i in range(len(keys))]
+
+        def behind(i: int, or_equal: bool) -> Column:
+            key, falls = keys[i]
+            if after[f"k{i}"] is None:  # nulls are last: only nulls are left
+                return key.isNull() if or_equal else F.lit(False)
+            past = (key < values[i]) if falls else (key > values[i])
+            return past | key.isNull() | ((key == values[i]) if or_equal else F.lit(False))
+
+        later, same = behind(0, False), keys[0][0].eqNullSafe(values[0])
+        for i in range(1, len(keys)):
+            later = later | (same & behind(i, False))
+            same = same & keys[i][0].eqNullSafe(values[i])
+        df = df.where(behind(0, True)).where(later)
+    return df.orderBy(*order_of(keys)).limit(size).select("*", cursor)
 
 
 def page(df: DataFrame, order: list, number: int = 0, size: int = 20) -> DataFrame:

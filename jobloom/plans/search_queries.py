@@ -71,6 +71,15 @@ def third_page(v: Views):
     return search.page(v.jobs, [F.desc("created_at"), "id"], 2, 1000).select("id")
 
 
+@query("g03_page_after", f"SELECT id, title FROM jobs WHERE is_active ORDER BY coalesce(salary_max, salary_min) DESC NULLS LAST, created_at DESC, id LIMIT 40 OFFSET 80")
+def page_by_cursor(v: Views):
+    """The third page, by the cursors of the two before it."""
+    jobs, keys, cursor = v.jobs.where("is_active"), search.sort_keys("salary_desc"), None
+    for _ in range(2):
+        cursor = search.page_after(jobs, keys, cursor, 40).select(search.CURSOR).collect()[-1][0]  # 40 rows
+    return search.page_after(jobs, keys, cursor, 40).select("id", "title")
+
+
 @query("c07_posted_after", "SELECT id FROM jobs WHERE coalesce(posted_at, created_at) >= TIMESTAMP '1997-01-01 00:00:00'")
 def posted(v: Views):
     return v.jobs.where(search.posted_after("1997-01-01 00:00:00")).select("id")
@@ -406,11 +415,32 @@ def views(v: Views):
     return maintenance.view_counts(v.jobs, v.applications)
 
 
-@query("i11_login_failures_windowed", "SELECT user_id, date_trunc('hour', created_at) + h * INTERVAL 1 HOUR AS window_end, count(*) AS failures FROM login_attempts, generate_series(1, 24) AS g(h) WHERE NOT success AND user_id IS NOT NULL GROUP BY user_id, window_end")
+#: Login attempts land in five files, of which the third and the fifth bring late ones.
+_LANDED = "CASE WHEN created_at < TIMESTAMP '2024-01-10 00:00:00' THEN CASE WHEN id % 10 = 0 THEN 2 ELSE 0 END WHEN created_at < TIMESTAMP '2024-01-20 00:00:00' THEN CASE WHEN id % 10 = 1 THEN 4 ELSE 1 END ELSE 3 END"
+
+
+@query(
+    "i11_login_failures_windowed",
+    f"""WITH f AS (SELECT *, {_LANDED} AS batch FROM login_attempts WHERE NOT success AND user_id IS NOT NULL),
+    b AS (SELECT b, (SELECT max(created_at) FROM f WHERE batch <= b - 2) - INTERVAL 1 HOUR AS watermark FROM range(5) AS r(b)),
+    w AS (SELECT batch, user_id, date_trunc('hour', created_at) + h * INTERVAL 1 HOUR AS window_end FROM f, generate_series(1, 24) AS g(h))
+    SELECT user_id, window_end, count(*) AS failures FROM w JOIN b ON b.b = w.batch WHERE watermark IS NULL OR window_end > watermark GROUP BY user_id, window_end""",
+)
 def windowed(v: Views):
+    """A stream of landed files, one a batch: failures in sliding windows, as they change. What comes for a window that
+    the watermark has passed is dropped, late rows for open windows count."""
     from jobloom.streaming.ingest import windowed_failures
 
-    return windowed_failures(v.login_attempts)
+    landed, out = shared_folder(v.spark, "attempts"), shared_folder(v.spark, "failures")
+    attempts = v.login_attempts.withColumn("batch", F.expr(_LANDED)).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    schema = attempts.drop("batch").schema
+    for batch in range(5):
+        attempts.where(F.col("batch") == batch).drop("batch").coalesce(1).write.mode("append").parquet(landed)
+    stream = windowed_failures(v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landed))
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")  # noqa: E731  a repeated batch replaces itself
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    changed = v.spark.read.schema("user_id long, window_end timestamp, failures long").parquet(out)
+    return changed.groupBy("user_id", F.col("window_end").cast("timestamp_ntz").alias("window_end")).agg(F.max("failures").alias("failures"))
 
 
 @query("i12_daily_login_health", "SELECT date_trunc('day', created_at)::TIMESTAMP AS day, count(*) AS attempts, count(*) FILTER (WHERE success) AS successes, floor(1000 * count(*) FILTER (WHERE success) / count(*) + 0.5) / 10 AS success_rate FROM login_attempts GROUP BY 1")
@@ -479,9 +509,7 @@ _SIMILAR = f"""SELECT a.title, a.company, a.place, b.id, len(list_intersect(a.x,
     JOIN (SELECT min(id) AS id, normalized_title AS title, lower(normalized_company_name) AS company, lower(city) AS place, any_value({_GRAMS('normalized_title')}) AS x FROM o WHERE is_active GROUP BY ALL) b ON a.company = b.company AND a.place = b.place"""
 
 
-@query(
-    "h04_upsert_postings",
-    f"""WITH e AS ({ENRICHED}),
+_UPSERT_SQL = f"""WITH e AS ({ENRICHED}),
     o AS (SELECT seq AS id, source AS external_source, external_job_id, dedup_hash, normalized_title, normalized_company_name, city, seq % 6 <> 0 AS is_active, apply_url, publisher, linkedin_easy_apply FROM e WHERE seq % 2 = 0),
     n AS (SELECT * FROM e WHERE seq % 2 = 1 AND accepted), s AS ({_SIMILAR}),
     l3 AS (SELECT title, company, place, id FROM (SELECT *, row_number() OVER (PARTITION BY title, company, place ORDER BY s DESC, id) AS r FROM s WHERE s >= 0.85) WHERE r = 1),
@@ -491,17 +519,38 @@ _SIMILAR = f"""SELECT a.title, a.company, a.place, b.id, len(list_intersect(a.x,
     h AS (SELECT match_id, count(*) AS k, arg_max(apply_url, seq) FILTER (WHERE trim(coalesce(apply_url, '')) <> '') AS u, arg_max(publisher, seq) FILTER (WHERE publisher IS NOT NULL) AS p, arg_max(linkedin_easy_apply, seq) FILTER (WHERE linkedin_easy_apply IS NOT NULL) AS q FROM m WHERE match_id IS NOT NULL GROUP BY match_id)
     SELECT o.id, external_source, external_job_id, dedup_hash, normalized_title, normalized_company_name, city, is_active OR k IS NOT NULL AS is_active, coalesce(u, apply_url) AS apply_url, coalesce(p, publisher) AS publisher, coalesce(q, linkedin_easy_apply) AS linkedin_easy_apply,
         CASE WHEN k IS NOT NULL THEN {AS_OF} END AS last_seen_at, CAST(coalesce(k, 0) AS INT) AS duplicate_source_count, {AS_OF} AS expires_at FROM o LEFT JOIN h ON h.match_id = o.id
-    UNION ALL SELECT seq + 10000000, source, external_job_id, dedup_hash, normalized_title, normalized_company_name, city, true, apply_url, publisher, linkedin_easy_apply, {AS_OF}, 0, {AS_OF} + INTERVAL 30 DAY FROM m WHERE match_id IS NULL""",
-)
-def upsert(v: Views):
+    UNION ALL SELECT seq + 10000000, source, external_job_id, dedup_hash, normalized_title, normalized_company_name, city, true, apply_url, publisher, linkedin_easy_apply, {AS_OF}, 0, {AS_OF} + INTERVAL 30 DAY FROM m WHERE match_id IS NULL"""
+
+
+def _batch_of_postings(v: Views):
+    """The table, and the accepted postings of a batch with the jobs that they match."""
     # All postings are worked out once; each side is read by three matchers.
     enriched = v.enriched.withColumn("external_source", F.col("source"))
     jobs, new = _job_table(enriched), enriched.where("seq % 2 = 1 and reject_stage is null")
     batch = dedup.resolve(new, jobs)
-    new = batch.withColumns({"id": F.col("seq") + 10_000_000, "is_active": F.lit(True), "last_seen_at": F.lit(NOW).cast("timestamp"), "duplicate_source_count": F.lit(0), "expires_at": F.lit(NOW).cast("timestamp") + F.expr("INTERVAL 30 DAYS")})
+    return jobs, batch.withColumns({"id": F.col("seq") + 10_000_000, "is_active": F.lit(True), "last_seen_at": F.lit(NOW).cast("timestamp"), "duplicate_source_count": F.lit(0), "expires_at": F.lit(NOW).cast("timestamp") + F.expr("INTERVAL 30 DAYS")})
+
+
+@query("h04_upsert_postings", _UPSERT_SQL)
+def upsert(v: Views):
+    jobs, new = _batch_of_postings(v)
     return dedup.upsert_postings(jobs, new, NOW).drop("seq")
 
 
+@query("h04_upsert_buckets", _UPSERT_SQL)
+def upsert_in_buckets(v: Views):
+    """The same merge into a table in buckets: only those with hits or new rows are written."""
+    from jobloom.sources.snapshots import Snapshots
+
+    jobs, new = _batch_of_postings(v)
+    new = stored(v.spark, new, "upsert-batch")
+    table = Snapshots(v.spark, shared_folder(v.spark, "job-buckets"), jobs.drop("seq").schema, width=1000)
+    table.publish(0, jobs.drop("seq"))
+    touched = new.select(F.coalesce("match_id", "id").alias("id"))
+    table.update(1, touched, lambda old: dedup.upsert_postings(old, new, NOW))
+    return table.read()
+
+
 @query("g06_order_friction", f"SELECT row_number() OVER (ORDER BY CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, days DESC, user_id, signal) AS place, user_id, signal, severity, days FROM ({FRICTION_SQL}) QUALIFY place <= 100")
 def friction_page(v: Views):
     """The first page of a worklist, with its places."""

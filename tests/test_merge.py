@@ -118,3 +118,29 @@ def test_jumps_equal_single_steps():
                     single.append(left >= window)
                     state = [left - window * single[-1], t]
             assert whole == single
+
+
+def test_pages_by_cursor_are_pages_by_offset(spark):
+    """Nulls, ties and both directions; a deep page as well as the first."""
+    from jobloom.operators import search
+
+    r = random.Random(4)
+    day = dt.datetime(2024, 1, 1)
+    rows = [(i, r.choice([None, 1, 2, 3]), r.choice([None, 2, 5]), r.choice([None, day, day + dt.timedelta(days=1)]), r.choice(["", "x" * 400])) for i in range(150)]
+    jobs = spark.createDataFrame(rows, "id long, salary_min int, salary_max int, created_at timestamp, description string").coalesce(1)
+    for sort in ("newest", "date_asc", "salary_desc", "salary_asc"):
+        keys = search.sort_keys(sort)
+        want = [x["id"] for x in jobs.orderBy(*search.order_of(keys)).collect()]
+        cursor, got = None, []
+        while part := search.page_after(jobs, keys, cursor, 37).collect():
+            cursor = part[-1][search.CURSOR]
+            got += [x["id"] for x in part]
+        assert got == want
+
+
+def test_late_failures_are_dropped(spark):
+    import __spark_entry__ as E
+
+    got = E.queries()["i11_login_failures_windowed"](spark, "/root/testdata/sf0.001").agg(F.sum("failures")).first()[0]
+    failed = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_type not in ('click', 'view', 'purchase') and event_id % 9 <> 0").count()
+    assert 0.9 * 24 * failed < got < 24 * failed
