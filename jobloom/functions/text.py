@@ -539,7 +539,13 @@ HEADER_WORDS = (
     r"(?i)\b(responsibilities|responsibility|requirements|qualifications|skills|tools|profile|benefits|perks|compensation|duties|tasks|competencies|what we offer|we offer|what you'll do|what you will do|"
     r"nice to have|must have|key responsibilities|your role|your day|your tasks|your profile|about the role|about the company|about us|about you|preferred|required|domain experience|how to apply|application process)\b"
 )
-BULLET = r"[•●▪◦■□▶▸►✓✔➢➤]|(?:^|\s)[-*]\s+"
+_SIGNS = "•●▪◦■□▶▸►✓✔➢➤"
+BULLET = rf"[{_SIGNS}]|(?:^|\s)[-*]\s+"
+
+
+def has_bullet(text: Column, single_spaced: bool = False) -> Column:
+    """Whether BULLET occurs; it is searched for only where one of its signs does."""
+    return contains_any(text, [*_SIGNS, *(("- ", "* ") if single_spaced else ("-", "*"))]) & text.rlike(BULLET)
 
 
 def is_cased(text: Column) -> Column:
@@ -549,12 +555,12 @@ def is_cased(text: Column) -> Column:
     words = F.size(F.split(bare, r"\s+"))
     titled = F.regexp_count(bare, F.lit(r"\b[A-Z][a-z']+\b"))
     # Either takes two capitals or a text without small letters, which is cheap to see.
-    likely = text.rlike(r"(?s)[A-Z\P{ASCII}].*[A-Z\P{ASCII}]") | ~text.rlike("[a-z]")
+    likely = text.rlike(r"(?s)\p{Lu}.*\p{Lu}") | ~text.rlike("[a-z]")
     return likely & ((F.floor(upper * 100 / F.greatest(letters, F.lit(1))) > 50) | (words.between(2, 8) & (F.floor(titled * 100 / words) >= 60)))
 
 
 def is_list(text: Column) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit(";"), F.lit(""))) >= 2) | text.rlike(BULLET)
+    return (F.length(text) - F.length(F.replace(text, F.lit(";"), F.lit(""))) >= 2) | has_bullet(text)
 
 
 def score_header(c) -> Column:
