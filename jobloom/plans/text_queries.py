@@ -293,6 +293,27 @@ def sections(v: Views):
     return v.postings.select("seq", X.parse_sections("description").alias("sections"))
 
 
+_MARKED = "regexp_replace(trim(regexp_replace(regexp_replace(coalesce(description, ''), '\\.([A-Z])', '. \\1', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '(?i)(^|[.!? ]) *(" + _Q(rules.SECTION_HEADERS) + ") *[:\\-—–]', '\\1' || chr(1) || '\\2' || chr(2), 'g')"
+
+
+@query(
+    "b38_section_items",
+    f"""WITH c AS (SELECT seq, generate_subscripts(cs, 1) AS n, unnest(cs) AS c FROM (SELECT seq, split('Overview' || chr(2) || {_MARKED}, chr(1)) AS cs FROM postings WHERE trim(coalesce(description, '')) <> '')),
+    s AS (SELECT seq, n, array_to_string(list_transform(split(lower(trim(split_part(c, chr(2), 1))), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS heading, trim(split_part(c, chr(2), -1)) AS body FROM c),
+    i AS (SELECT seq, n, heading, body, list_filter(list_transform(split(regexp_replace(body, '\\. +([A-Z(\\[])', '.' || chr(1) || '\\1', 'g'), chr(1)), lambda x: trim(regexp_replace(trim(x), '\\.$', ''))), lambda x: x <> '') AS items FROM s WHERE body <> ''),
+    f AS (SELECT seq, n, heading, CASE WHEN len(items) > 0 THEN items ELSE [trim(regexp_replace(body, '\\.+$', ''))] END AS items, coalesce(lag(heading) OVER (PARTITION BY seq ORDER BY n) <> heading, true) AS opens FROM i),
+    g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY seq ORDER BY n) AS section FROM f),
+    u AS (SELECT seq, section, heading, opens, n, generate_subscripts(items, 1) AS k, unnest(items) AS item FROM g),
+    o AS (SELECT *, row_number() OVER (PARTITION BY seq, section, item ORDER BY n, k) AS again FROM u)
+    SELECT seq, section, heading, row_number() OVER (PARTITION BY seq, section ORDER BY n, k) AS place, item FROM o WHERE opens OR again = 1""",
+)
+def section_items(v: Views):
+    """The items of each section, with their places; adjacent sections of one heading are one."""
+    sections = v.postings.select("seq", F.posexplode(X.parse_sections("description")).alias("n", "s"))
+    items = sections.select("seq", (F.col("n") + 1).cast("long").alias("section"), F.col("s.heading").alias("heading"), F.posexplode("s.items").alias("k", "item"))
+    return items.select("seq", "section", "heading", (F.col("k") + 1).cast("long").alias("place"), "item")
+
+
 @query("b39_format_sections", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Requirements' || chr(10) ELSE '' END || '• ' || p_brand || chr(10) || '• ' || p_type || chr(10) || chr(10) || 'Benefits' || chr(10) || '• ' || p_name AS text FROM part")
 def formatted(v: Views):
     parts = F.array(F.struct(F.when(F.col("p_size") % 2 == 0, "Requirements").otherwise("").alias("heading"), F.array("p_brand", "p_type").alias("items")), F.struct(F.lit("Benefits").alias("heading"), F.array("p_name").alias("items")))
