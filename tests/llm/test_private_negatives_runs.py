@@ -43,8 +43,9 @@ def test_personal_data_is_the_patterns():
 
 def test_personal_data_in_very_long_words():
     """Neither a run of letters nor of digits makes the search quadratic."""
-    for text in ("a" * 300_000, "1" * 300_000, "a." * 150_000 + "@", "1." * 150_000, "+" * 100_000 + "1" * 100_000):
-        assert not [x for x in sanitisation.personal_data(text) if x[1] != 2]
+    for text in ("a" * 300_000, "1" * 300_000, "a." * 150_000 + "@", "+" * 100_000 + "1" * 100_000):
+        assert sanitisation.personal_data(text) == []
+    assert len(sanitisation.personal_data("1." * 150_000)) == 37_500
     assert sanitisation.personal_data("x" * 100_000 + "@y.z " + "4111 1111 1111 1111")[1] == (100_005, 2, 100_024)
 
 
