@@ -69,38 +69,49 @@ def with_opengraph(pages: DataFrame, out: str = "og") -> DataFrame:
 
 
 class _Elements(HTMLParser):
-    """Texts of the elements that the selectors ask for. A selector is (attribute, value); class values match
-    one of several."""
+    """Texts of the elements that the selectors ask for, all in one pass. A selector is (attribute, value) or
+    ("tag", name); class values match one of several."""
 
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
     def __init__(self, selectors: list[tuple[str, str]]):
         super().__init__(convert_charrefs=True)
-        self.selectors, self.open, self.found = selectors, [], {s: [] for s in selectors}
+        self.found = {s: [] for s in selectors}
+        self.wanted: dict[str, set[str]] = {}
+        for name, value in selectors:
+            self.wanted.setdefault(name, set()).add(value)
+        # Open elements: tag, and how many texts and hidden elements were open before it.
+        self.open: list[tuple[str, int, int]] = []
+        self.texts_open: list[list[str]] = []
+        self.hidden = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in self.VOID:
             return
-        own = dict(attrs)
-        hit = [s for s in self.selectors if (s[0] == "tag" and s[1] == tag) or s[1] in (own.get(s[0]) or "").split()]
-        self.open.append((tag, [self._start(s) for s in hit], tag in ("script", "style")))
+        self.open.append((tag, len(self.texts_open), self.hidden))
+        self.hidden += tag in ("script", "style")
+        if tag in self.wanted.get("tag", ()):
+            self._start(("tag", tag))
+        for name, value in dict(attrs).items():
+            if name in self.wanted and name != "tag":
+                for part in set((value or "").split()) & self.wanted[name]:
+                    self._start((name, part))
 
     def _start(self, selector):
         text: list[str] = []
         self.found[selector].append(text)
-        return text
+        self.texts_open.append(text)
 
     def handle_endtag(self, tag):
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                del self.open[k:]
+                _, texts, self.hidden = self.open[k]
+                del self.open[k:], self.texts_open[texts:]
                 return
 
     def handle_data(self, data):
-        if any(hidden for *_, hidden in self.open):
-            return
-        for _, texts, _ in self.open:
-            for t in texts:
+        if not self.hidden:
+            for t in self.texts_open:
                 t.append(data)
 
     def texts(self, selector) -> list[str]:
@@ -120,8 +131,7 @@ def _elements(html: str | None, selectors: list[tuple[str, str]]) -> _Elements:
 _MICRO = [("itemprop", p) for p in ("title", "description", "hiringOrganization", "addressLocality", "jobLocation")] + [("id", "job-title"), ("class", "jobGeoLocation")]
 
 
-def _microdata(html: str | None) -> dict:
-    e = _elements(html, _MICRO)
+def _microdata(e: _Elements) -> dict:
     title = e.first(("itemprop", "title"), ("id", "job-title"))
     description = e.first(("itemprop", "description"))
     place = e.first(("class", "jobGeoLocation"), ("itemprop", "addressLocality"), ("itemprop", "jobLocation"))
@@ -132,8 +142,7 @@ def _microdata(html: str | None) -> dict:
 RENDERED = [("data-automation-id", "jobPostingDescription"), ("data-automation", "jobDescription"), ("id", "job-description"), ("id", "jobDescriptionText"), ("class", "job-description"), ("class", "jobDescription"), ("class", "job__description"), ("class", "posting-page"), ("class", "section-wrapper"), ("class", "description"), ("class", "job-details"), ("class", "jobs-description"), ("itemprop", "description"), ("tag", "article"), ("tag", "main"), ("id", "content")]
 
 
-def _rendered(html: str | None) -> str | None:
-    e = _elements(html, RENDERED)
+def _rendered(e: _Elements) -> str | None:
     return next((t for s in RENDERED for t in e.texts(s) if len(t) >= 150), None)
 
 
@@ -143,7 +152,8 @@ def with_elements(pages: DataFrame) -> DataFrame:
 
     def task(batches):
         for b in batches:
-            rows = [_microdata(h) | {"rendered": _rendered(h)} for h in b.column("html").to_pylist()]
+            read = (_elements(h, _MICRO + RENDERED) for h in b.column("html").to_pylist())  # one pass a page
+            rows = [_microdata(e) | {"rendered": _rendered(e)} for e in read]
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([r[n] for r in rows], pa.string()) for n in names]], [*b.schema.names, *names])
 
     return pages.mapInArrow(task, T.StructType([*pages.schema.fields, *[T.StructField(n, T.StringType()) for n in names]]))
