@@ -179,15 +179,17 @@ def _leaders_of_chunk(rows: DataFrame, least: float, small: int) -> DataFrame:
     near = similar_titles(titles, titles, _BLOCK, least).where("title <> other").select(_TITLE_KEY("title").alias("key"), _TITLE_KEY("other").alias("other"))
     near = stored(spark, near, "batch-titles")
     open_ = stored(spark, rows.select("seq", F.explode(F.array_compact(F.array(*_KINDS))).alias("key")), "batch-keys")
-    kept = []
+    kept, close = [], near
     while True:
-        close = near.join(open_.select("key").distinct(), "key", "left_semi").join(open_.select(F.col("key").alias("other")).distinct(), "other", "left_semi")
-        if open_.count() + close.count() <= small:
+        # At most `small` rows of both.
+        some = open_.limit(small + 1).collect()
+        pairs = close.select("key", "other").limit(small + 1 - len(some)).collect() if len(some) <= small else []
+        if len(some) + len(pairs) <= small:
             own: dict[int, list[str]] = {}
-            for r in open_.collect():
+            for r in some:
                 own.setdefault(r["seq"], []).append(r["key"])
             by: dict[str, list[str]] = {}
-            for r in close.select("key", "other").collect():
+            for r in pairs:
                 by.setdefault(r["key"], []).append(r["other"])
             kept.append(spark.createDataFrame([(s,) for s in _kept_here(list(own.items()), by)], "seq long"))
             return reduce(DataFrame.unionByName, kept)
@@ -201,6 +203,7 @@ def _leaders_of_chunk(rows: DataFrame, least: float, small: int) -> DataFrame:
         taken = taken.unionByName(close.join(taken, "key", "left_semi").select(F.col("other").alias("key"))).distinct()
         gone = open_.join(taken, "key", "left_semi").select("seq").distinct()
         open_ = stored(spark, open_.join(gone, "seq", "left_anti"), "batch-keys")
+        close = near.join(open_.select("key").distinct(), "key", "left_semi").join(open_.select(F.col("key").alias("other")).distinct(), "other", "left_semi")
 
 
 def resolve_batch(batch: DataFrame, jobs: DataFrame | None = None, least: float = SIMILARITY, small: int = 20_000, first: int = 1024, growth: int = 8) -> DataFrame:
@@ -223,7 +226,8 @@ def resolve_batch(batch: DataFrame, jobs: DataFrame | None = None, least: float
     empty = spark.createDataFrame([], "id long, is_active boolean, normalized_company_name string, city string, normalized_title string, external_source string, external_job_id string, dedup_hash string")
     table = (empty if jobs is None else jobs).withColumns({"job": F.col("id").cast("long"), "_active": F.coalesce("is_active", F.lit(True))})
     table = _row_keys(table, "job", "_active").withColumn("seq", F.lit(None).cast("long"))
-    table = stored(spark, table, "batch-jobs")
+    has_leaders = jobs is not None and not jobs.isEmpty()
+    leaders = stored(spark, table, "batch-jobs") if has_leaders else table
     keyless = " and ".join(f"{k} is null" for k in _KINDS)
     open_ = stored(spark, rows.where(f"not ({keyless})").groupBy(*_KINDS).agg(F.min("seq").alias("seq"), *(F.first(c).alias(c) for c in (*_BLOCK, "title"))), "batch-first")
     n, cuts, size = open_.count(), [], first
@@ -231,16 +235,17 @@ def resolve_batch(batch: DataFrame, jobs: DataFrame | None = None, least: float
         cuts.append(size / n)
         size += size * growth
     edges = [None, *(open_.approxQuantile("seq", cuts, 1e-4) if cuts else []), None]
-    leaders, has_leaders = table, not table.isEmpty()
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         chunk = open_
         if low is not None:
             chunk = chunk.where(F.col("seq") > int(low))
         if high is not None:
             chunk = chunk.where(F.col("seq") <= int(high))
-        chunk = stored(spark, _unmatched(chunk, leaders, least) if has_leaders else chunk, "batch-chunk")
+        if has_leaders:
+            chunk = stored(spark, _unmatched(chunk, leaders, least), "batch-chunk")
         found = chunk.join(_leaders_of_chunk(chunk, least, small), "seq", "left_semi").withColumns({"job": F.lit(None).cast("long"), "_active": F.lit(True)})
-        leaders, has_leaders = leaders.unionByName(stored(spark, found.select(*leaders.columns), "batch-kept")), True
+        found = stored(spark, found.select(*leaders.columns), "batch-kept")
+        leaders, has_leaders = leaders.unionByName(found) if has_leaders else found, True
     keyless = rows.where(keyless).select("seq")
     return _counted_on(rows, leaders, keyless, least)
 
