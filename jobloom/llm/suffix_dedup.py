@@ -435,6 +435,8 @@ def replace_texts(spark: SparkSession, docs: DataFrame, depth: int | None = DEPT
     """docs with text (and n_chars, if there is one) of what is left after repeated passages of n_words words
     and repeated windows of depth bytes are removed; the latter cover passages with few spaces. Other columns stay
     as they are. A text that has no repeat, null included, stays as it is."""
+    # Two laws hold sums and marks of a whole batch in memory: batches of half the usual size.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     laws = laws_of(depth, n_words)
     id_name, key_name, found_name = free_name(docs, "_id"), free_name(docs, "_rk"), free_name(docs, "_found")
     found = _lists(repeated_runs(spark, keyed(docs), laws), found_name).withColumnsRenamed({"id": id_name, "rk": key_name})
