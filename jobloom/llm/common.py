@@ -3,6 +3,7 @@ word or byte hashing over whole Arrow buffers."""
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -206,6 +207,20 @@ def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def trimmed(task):
+    """task of mapInArrow() that gives the memory that it has freed back to the system at its end. An executor keeps
+    its Python workers for later tasks, and would hold that memory beside theirs."""
+
+    def run(batches):
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with as many underscores as no column of df has in any case."""
     taken = {c.lower() for c in df.columns}

@@ -38,7 +38,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import Hashes, arrow_batches, buffers, free_name, keyed, mix, released, row_key, runs, slices, stored, word_hashes, words
+from jobloom.llm.common import Hashes, arrow_batches, buffers, free_name, keyed, mix, released, row_key, runs, slices, stored, trimmed, word_hashes, words
 
 DEPTH = 400
 #: A passage of over 50 words is one of this many or more.
@@ -134,7 +134,7 @@ def anchors(docs: DataFrame, laws: list[Law]) -> DataFrame:
                         base = edge[doc] - begin
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), law.kind, np.int32)), *[pa.array(x[i + doc]) for x in ids], pa.array(g ^ salt), pa.array(s), *[pa.array(x - base, pa.int32()) for x in (first, last, at)]], ["law", "id", "rk", "gram", "stretch", "first", "last", "at"])
 
-    return docs.select("id", "rk", "text").mapInArrow(task, ANCHORS)
+    return docs.select("id", "rk", "text").mapInArrow(trimmed(task), ANCHORS)
 
 
 # ---- the third digits -------------------------------------------------------------------------------
@@ -289,8 +289,8 @@ def _large_groups(spark: SparkSession, bodies: DataFrame, laws: list[Law]) -> Da
         return rows.join(again, key)
 
     # Several rows of one key (equal rows) give equal bodies, which were counted as such.
-    cut = stored(spark, bodies.dropDuplicates(["gram", "id", "rk", "first"]).mapInArrow(parts, PARTS), "suffix-parts")
-    whole = stored(spark, several(cut, ["digit"]).mapInArrow(single, "law int, digit long, h long, id long, rk long, place int, n long"), "suffix-windows")
+    cut = stored(spark, bodies.dropDuplicates(["gram", "id", "rk", "first"]).mapInArrow(trimmed(parts), PARTS), "suffix-parts")
+    whole = stored(spark, several(cut, ["digit"]).mapInArrow(trimmed(single), "law int, digit long, h long, id long, rk long, place int, n long"), "suffix-windows")
     return several(whole, ["digit", "h"]).where("n = 1").select("law", "id", "rk", F.col("place").alias("first"), F.col("place").alias("last"))
 
 
@@ -351,10 +351,10 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, laws: list[Law], most_st
                     yield pa.RecordBatch.from_arrays([own["law"][i:j], own["gram"][i:j], own["n"][i:j], *keys, own["first"][i:j], pa.array((at - first)[i:j], pa.int32()), own["large"][i:j], column], ["law", "gram", "n", "id", "rk", "first", "left", "large", "body"])
 
     # id and rk may be those of several rows (equal ones); any of them will do, and equal rows were counted as such.
-    stretched = texts.select("id", "rk", "text", "wanted").mapInArrow(bodies, "law int, gram long, n long, id long, rk long, first int, left int, large boolean, body binary")
+    stretched = texts.select("id", "rk", "text", "wanted").mapInArrow(trimmed(bodies), "law int, gram long, n long, id long, rk long, first int, left int, large boolean, body binary")
     stretched = stored(spark, stretched, "suffix-bodies")
     plain = stretched.where("not large").drop("large")
-    small = plain.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups(laws), RUNS)
+    small = plain.repartition("gram").sortWithinPartitions("gram").mapInArrow(trimmed(_sorted_groups(laws)), RUNS)
     found = alike.unionByName(equal).unionByName(small)
     large = stretched.where("large").drop("large")
     return found if large.isEmpty() else found.unionByName(_large_groups(spark, large, laws))
@@ -428,7 +428,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, n_w
                 columns.append(pa.array([g[3].tobytes().decode("utf-8", "ignore") for g in got], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"] + ["text"] * with_text)
 
-    return rows.mapInArrow(task, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long" + ", text string" * with_text)
+    return rows.mapInArrow(trimmed(task), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long" + ", text string" * with_text)
 
 
 def replace_texts(spark: SparkSession, docs: DataFrame, depth: int | None = DEPTH, n_words: int | None = N_WORDS) -> DataFrame:
@@ -456,4 +456,4 @@ def replace_texts(spark: SparkSession, docs: DataFrame, depth: int | None = DEPT
                 out["n_chars"] = pa.compute.if_else(cut, pa.compute.utf8_length(text).cast(out["n_chars"].type), out["n_chars"])
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return marked.select(*names, found_name).mapInArrow(task, docs.schema)
+    return marked.select(*names, found_name).mapInArrow(trimmed(task), docs.schema)
