@@ -29,3 +29,8 @@ def _same(spark, folder, name):
 
 def test_postings_of_cut_pages(spark, cut):
     assert len(_same(spark, cut, "a08_postings_from_pages")) == len(HEADS) + 1
+
+
+def test_rendered_texts_of_cut_pages(spark, cut):
+    texts = dict(_same(spark, cut, "a15_rendered_description"))
+    assert texts[0].startswith("Lead and&&&amp") and texts[4].startswith("Lead &ampx; &lt;")
