@@ -34,3 +34,8 @@ def test_postings_of_cut_pages(spark, cut):
 def test_rendered_texts_of_cut_pages(spark, cut):
     texts = dict(_same(spark, cut, "a15_rendered_description"))
     assert texts[0].startswith("Lead and&&&amp") and texts[4].startswith("Lead &ampx; &lt;")
+
+
+def test_previews_of_cut_pages(spark, cut):
+    # The article of the last page has 150 characters, of which a decoded reference would take three.
+    assert 90 not in dict(_same(spark, cut, "c18_complete_preview"))
