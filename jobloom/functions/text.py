@@ -54,6 +54,11 @@ def contains_any(c: Column, tokens: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(t) for t in tokens])
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_non_blank(*columns) -> Column:
     return F.coalesce(*[F.when(~is_blank(c), col(c)) for c in columns])
 
@@ -230,9 +235,6 @@ def classify_work_mode(title, description, remote) -> Column:
     return first_match([(F.coalesce(col(remote), F.lit(False)), "remote"), (text.contains("hybrid") & text.rlike(r"\bhybrid\b"), "hybrid"), (contains_any(text, ["remote", "work from home", "wfh"]) & text.rlike(r"\b(?:remote|work from home|wfh)\b"), "remote")], "onsite")
 
 
-_BEFORE, _AFTER = r"(?<![\w])", r"(?![\w])"
-
-
 def _parsed(pattern: str):
     """The pattern's tree; None where the two pattern languages could read it differently (quoting, octal escapes,
     sets in sets, Unicode case) or the parser at hand doesn't know it."""
@@ -314,28 +316,18 @@ def needed_texts(pattern: str) -> list[str]:
 def extract_technologies(c, catalogue=None) -> Column:
     """Keys whose pattern occurs (in any case of A-Z), in the catalogue's order.
 
-    A text is cut into its words once. A pattern that is a word between non-word characters is looked up among
-    them; others are searched for, but where their tree tells texts that every match holds only if one of them occurs.
+    A pattern is searched for only where one of the texts that every match of it holds occurs in the lower-case text.
     """
     entries = catalogue or rules.TECHNOLOGIES
-    word = lambda alt: m[1].lower() if (m := re.fullmatch(re.escape(_BEFORE) + r"([A-Za-z0-9_]+)" + re.escape(_AFTER), alt)) else None
-    parts = [(key, alternatives(pattern)) for key, pattern, _ in entries]
-    words = sorted({w for _, alts in parts for w in map(word, alts) if w})
-    # Only A-Z: a letter beyond ASCII whose lower case is one of a-z must not match.
-    lower = F.translate(safe(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    held = F.array_intersect(F.split(lower, "[^a-z0-9_]+"), F.array(*[F.lit(w) for w in words])) if words else F.array().cast(STRINGS)
-
-    def occurs(alt: str, s: Column) -> Column:
-        if word(alt):
-            return F.array_contains(s["held"], word(alt))
+
+    def occurs(alt: str, lower: Column) -> Column:
         found, needed = matches(c, alt), needed_texts(alt)
-        return reduce(lambda a, b: a | b, [s["lower"].contains(x) for x in needed]) & found if needed else found
+        return contains_any(lower, needed) & found if needed else found
 
-    def keys(s):
-        return F.array(*[F.when(reduce(lambda a, b: a | b, [occurs(alt, s) for alt in alts]), F.lit(key)) for key, alts in parts])
+    def keys(lower):
+        return F.array(*[F.when(reduce(lambda a, b: a | b, [occurs(alt, lower) for alt in alternatives(pattern)]), F.lit(key)) for key, pattern, _ in entries])
 
-    found = F.get(F.transform(F.array(F.struct(held.alias("held"), lower.alias("lower"))), keys), F.lit(0))
-    return F.array_compact(found)
+    return F.array_compact(let(F.lower(safe(c)), keys))
 
 
 def tech_flags(technologies) -> dict[str, Column]:

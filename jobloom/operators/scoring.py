@@ -46,15 +46,16 @@ REASONS = "array<struct<rule: string, delta: int>>"
 
 def relevance_reasons(title, description, n_technologies) -> Column:
     """array<struct(rule, delta)> of the rules that count."""
-    n = X.col(n_technologies)
-    tech = F.least(F.lit(25), n * 8)
-    hits = F.least(F.lit(20), F.regexp_count(X.safe(description), F.lit("(?i)" + rules.TECH_DOMAIN)))
     reason = lambda rule, delta: F.struct(rule.alias("rule"), delta.cast("int").alias("delta"))
+    # The long text is searched once for each of the two counts.
+    footprint = X.let(X.col(n_technologies), lambda n: F.when(n > 0, reason(F.concat(F.lit("tech_footprint_"), n), F.least(F.lit(25), n * 8))))
+    hits = F.least(F.lit(20), F.regexp_count(X.safe(description), F.lit("(?i)" + rules.TECH_DOMAIN)))
+    named = X.let(hits, lambda n: F.when(n > 0, reason(F.concat(F.lit("tech_domain_desc_x"), n), n)))
     return F.array_compact(
         F.array(
             F.when(X.matches(title, rules.TECH_DOMAIN), reason(F.lit("tech_domain_title"), F.lit(40))),
-            F.when(tech > 0, reason(F.concat(F.lit("tech_footprint_"), n), tech)),
-            F.when(hits > 0, reason(F.concat(F.lit("tech_domain_desc_x"), hits), hits)),
+            footprint,
+            named,
             F.when(F.lower(X.safe(title)).rlike(rules.SENIOR_SIGNAL), reason(F.lit("seniority_signal"), F.lit(10))),
             F.when(X.matches(title, rules.STRONG_NEGATIVE), reason(F.lit("strong_negative_title"), F.lit(-25))),
         )
