@@ -199,7 +199,7 @@ def round_half_up(c) -> Column:
 
 def _seniority_prefix(c) -> Column:
     word = F.lower(F.regexp_extract(col(c), "(?i)" + rules.SENIOR_WORDS, 1))
-    return first_match([(word == "", ""), (word.isin("sr", "sr."), "Senior"), (word.isin("jr", "jr."), "Junior")], F.initcap(word))
+    return let(word, lambda w: first_match([(w == "", ""), (w.isin("sr", "sr."), "Senior"), (w.isin("jr", "jr."), "Junior")], F.initcap(w)))
 
 
 def normalize_title(c) -> Column:
@@ -207,10 +207,12 @@ def normalize_title(c) -> Column:
     bare = F.regexp_replace(col(c), "(?i)" + rules.SENIOR_WORDS + r"\s*", " ")
     bare = F.regexp_replace(bare, "(?i)" + rules.PLACE_TAIL, "")
     bare = strip(F.regexp_replace(bare, r"\s+", " "))
-    canonical = first_match([(bare.rlike("(?i)" + p), t) for p, t in rules.TITLES])
-    prefix = _seniority_prefix(c)
-    named = F.when(prefix == "", canonical).otherwise(F.concat_ws(" ", prefix, canonical))
-    return F.when(is_blank(c), None).otherwise(F.when(canonical.isNotNull(), named).otherwise(bare))
+
+    def named(bare):
+        canonical = first_match([(bare.rlike("(?i)" + p), t) for p, t in rules.TITLES])
+        return let(F.struct(canonical.alias("canonical"), _seniority_prefix(c).alias("prefix")), lambda x: F.when(x["canonical"].isNull(), bare).when(x["prefix"] == "", x["canonical"]).otherwise(F.concat_ws(" ", x["prefix"], x["canonical"])))
+
+    return F.when(~is_blank(c), let(bare, named))
 
 
 def normalize_company(c) -> Column:
@@ -224,15 +226,14 @@ def _title_and_text(title, description) -> Column:
 
 
 def classify_seniority(title, description) -> Column:
-    text = _title_and_text(title, description)
     # A pattern is searched for only where a text that it needs occurs at all.
-    may = lambda p: contains_any(text, needed_texts(p)) if needed_texts(p) else F.lit(True)
-    return first_match([(may(p) & text.rlike(rf"\b(?:{p})\b"), name) for name, p in rules.SENIORITY], "mid")
+    may = lambda text, p: contains_any(text, needed_texts(p)) if needed_texts(p) else F.lit(True)
+    return let(_title_and_text(title, description), lambda text: first_match([(may(text, p) & text.rlike(rf"\b(?:{p})\b"), name) for name, p in rules.SENIORITY], "mid"))
 
 
 def classify_work_mode(title, description, remote) -> Column:
-    text = _title_and_text(title, description)
-    return first_match([(F.coalesce(col(remote), F.lit(False)), "remote"), (text.contains("hybrid") & text.rlike(r"\bhybrid\b"), "hybrid"), (contains_any(text, ["remote", "work from home", "wfh"]) & text.rlike(r"\b(?:remote|work from home|wfh)\b"), "remote")], "onsite")
+    said = lambda text: first_match([(text.contains("hybrid") & text.rlike(r"\bhybrid\b"), "hybrid"), (contains_any(text, ["remote", "work from home", "wfh"]) & text.rlike(r"\b(?:remote|work from home|wfh)\b"), "remote")], "onsite")
+    return F.when(F.coalesce(col(remote), F.lit(False)), "remote").otherwise(let(_title_and_text(title, description), said))
 
 
 def _parsed(pattern: str):

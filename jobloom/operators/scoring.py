@@ -23,7 +23,7 @@ def reject_reason(title, location, country, description) -> Column:
             (foreign(loc) & ~uae(loc), "foreign_location"),
             ((loc == rules.GENERIC_REMOTE) & foreign(desc) & ~uae(desc), "foreign_remote"),
             # Cheap tests come first: what every match of the scope pattern holds one of, and the country.
-            (X.contains_any(desc, ["€", "£", "eur", "gbp", "authorize", "location"]) & X.matches(description, rules.EU_SCOPE) & ~uae(description), "eu_scope"),
+            (X.let(desc, lambda d: X.contains_any(d, ["€", "£", "eur", "gbp", "authorize", "location"])) & X.matches(description, rules.EU_SCOPE) & ~uae(description), "eu_scope"),
             ((F.upper(X.safe(country)) != "AE") & ~uae(everything), "not_in_uae"),
         ]
     )

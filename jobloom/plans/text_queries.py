@@ -9,6 +9,7 @@ from jobloom.functions import text as X
 from jobloom.operators import scoring
 from jobloom.plans.catalog import Views, query
 from jobloom.sources import feeds, pages
+from jobloom.sources.tables import stored
 
 _Q = lambda s: s.replace("'", "''")
 
@@ -472,7 +473,8 @@ def uae(v: Views):
 
 @query("c04_score_filter", f"SELECT seq FROM (SELECT *, {_TECH.replace('coalesce(description,', 'coalesce(lower(title || ' + chr(39) + ' ' + chr(39) + ' || description || ' + chr(39) + ' ' + chr(39) + ' || coalesce(requirements, ' + chr(39) * 2 + ')),')} AS t FROM postings) WHERE {_POINTS} >= 40")
 def scored(v: Views):
-    return scoring.score_filter(v.enriched).select("seq")
+    # Only the score is worked out, once; see Views.enriched.
+    return scoring.score_filter(stored(v.spark, scoring.enrich(v.postings).select("seq", "relevance_score"), "scores")).select("seq")
 
 
 # ---- feeds and pages --------------------------------------------------------------------------------
