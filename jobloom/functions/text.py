@@ -349,7 +349,7 @@ def skills_from_text(description, requirements) -> Column:
 def classify_category(title, text, table=None) -> Column:
     """Null without a title or a match."""
     padded = F.lower(F.concat(F.lit(" "), safe(title), F.lit(" "), safe(text), F.lit(" ")))
-    return F.when(~is_blank(title), first_match([(contains_any(padded, tokens), name) for name, tokens in table or rules.CATEGORIES]))
+    return F.when(~is_blank(title), let(padded, lambda t: first_match([(contains_any(t, tokens), name) for name, tokens in table or rules.CATEGORIES])))
 
 
 def valid_category_or_infer(requested, title, text) -> Column:

@@ -22,3 +22,7 @@ def test_ingest_columns_work_a_text_out_once(spark):
     assert once(X.classify_seniority("title", "description")) == 1
     assert once(X.classify_work_mode("title", "description", "remote_uae")) == 1
     assert str(X.normalize_title("title")).count("title") <= 3
+
+
+def test_categories_lower_a_text_once(spark):
+    assert str(X.classify_category("title", "description")).count("description") == 1
