@@ -57,7 +57,9 @@ def merge_postings(table: Snapshots, batch: DataFrame, number: int, as_of) -> in
 
 def windowed_failures(attempts: DataFrame, late: str = "1 hour") -> DataFrame:
     """Failures per user in sliding 24-hour windows. How late an attempt may come is our choice."""
-    failed = attempts.where(~F.col("success") & F.col("user_id").isNotNull()).withWatermark("created_at", late)
+    # A row counts in 24 windows, which are summed up in memory before they are shuffled: rows are dealt by user first,
+    # so that no task holds the windows of a whole file.
+    failed = attempts.where(~F.col("success") & F.col("user_id").isNotNull()).select("user_id", "created_at").withWatermark("created_at", late).repartition("user_id")
     counted = failed.groupBy(F.window("created_at", "24 hours", "1 hour"), "user_id").agg(F.count("*").alias("failures"))
     return counted.select("user_id", F.col("window.end").alias("window_end"), "failures")
 
