@@ -37,7 +37,8 @@ def merge_postings(table: Snapshots, batch: DataFrame, number: int, as_of) -> in
     spark = batch.sparkSession
     if table.latest() > number:
         return 0
-    enriched = stored(spark, enrich(batch).withColumn("external_source", F.col("source")), "ingest-batch")
+    # The table has no long texts, so they are not written again.
+    enriched = stored(spark, enrich(batch).withColumn("external_source", F.col("source")).drop("description", "requirements"), "ingest-batch")
     accepted = enriched.where("reject_stage is null")
     jobs = table.read(number)
     found = stored(spark, resolve_batch(accepted, jobs), "ingest-resolved")
