@@ -167,11 +167,11 @@ OTHER_COUNTRY = (
     r"\b(indonesia|india|pakistan|philippines|nigeria|kenya|egypt|bangladesh|sri lanka|nepal|vietnam|thailand|malaysia|singapore|saudi arabia|qatar|bahrain|oman|kuwait|jordan|lebanon|iraq|"
     r"germany|france|uk|united kingdom|canada|australia|united states|\busa\b|china|japan|south korea|brazil|mexico|south africa|turkey|russia|poland|ukraine|romania)\b"
 )
-EU_SCOPE = (
-    r"(?:(?:€|£|eur\b|gbp\b|\b\d+[,.]?\d*k?\s*/\s*(?:year|yr|annum|month)\s*(?:eur|gbp|€|£))"
-    r"|(?:authorized?\s+to\s+work\s+in\s+(?:the\s+)?(?:eu|europe|uk|united\s+kingdom|emea))"
-    r"|(?:\blocation\s*:\s*(?:emea|europe|eu\b|remote\s+emea|remote\s+europe)))"
-)
+_EU_MONEY = ("€", "£", r"eur\b", r"gbp\b", r"\b\d+[,.]?\d*k?\s*/\s*(?:year|yr|annum|month)\s*(?:eur|gbp|€|£)")
+_EU_PLACE = (r"authorized?\s+to\s+work\s+in\s+(?:the\s+)?(?:eu|europe|uk|united\s+kingdom|emea)", r"\blocation\s*:\s*(?:emea|europe|eu\b|remote\s+emea|remote\s+europe)")
+#: The alternatives of EU_SCOPE.
+EU_SCOPES = (*_EU_MONEY, *_EU_PLACE)
+EU_SCOPE = "(?:" + "|".join(f"(?:{p})" for p in ("|".join(_EU_MONEY), *_EU_PLACE)) + ")"
 GENERIC_REMOTE = "remote (uae-friendly)"
 SENIOR_SIGNAL = r"\A.*\b(senior|lead|principal|junior|staff|intern)\b.*\z"
 MIN_SCORE = 40

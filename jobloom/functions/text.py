@@ -314,19 +314,25 @@ def needed_texts(pattern: str) -> list[str]:
     return sorted(_needed(tree)) if tree is not None else []
 
 
-def extract_technologies(c, catalogue=None) -> Column:
-    """Keys whose pattern occurs (in any case of A-Z), in the catalogue's order.
+def occurs(c, lower: Column, alternatives) -> Column:
+    """Whether one of the patterns is found in c (in any case of A-Z): each is searched for only where one of the texts
+    that every match of it holds occurs in c in lower case."""
 
-    A pattern is searched for only where one of the texts that every match of it holds occurs in the lower-case text.
-    """
-    entries = catalogue or rules.TECHNOLOGIES
+    def found(alt: str) -> Column:
+        if alt == re.escape(alt) and alt.lower() == alt.upper():  # signs without case
+            return safe(c).contains(alt)
+        needed = needed_texts(alt)
+        return contains_any(lower, needed) & matches(c, alt) if needed else matches(c, alt)
+
+    return reduce(lambda a, b: a | b, map(found, alternatives))
 
-    def occurs(alt: str, lower: Column) -> Column:
-        found, needed = matches(c, alt), needed_texts(alt)
-        return contains_any(lower, needed) & found if needed else found
+
+def extract_technologies(c, catalogue=None) -> Column:
+    """Keys whose pattern occurs (in any case of A-Z), in the catalogue's order."""
+    entries = catalogue or rules.TECHNOLOGIES
 
     def keys(lower):
-        return F.array(*[F.when(reduce(lambda a, b: a | b, [occurs(alt, lower) for alt in alternatives(pattern)]), F.lit(key)) for key, pattern, _ in entries])
+        return F.array(*[F.when(occurs(c, lower, alternatives(pattern)), F.lit(key)) for key, pattern, _ in entries])
 
     return F.array_compact(let(F.lower(safe(c)), keys))
 

@@ -22,8 +22,9 @@ def reject_reason(title, location, country, description) -> Column:
             (X.matches(title, rules.TRADE) & ~X.matches(title, rules.TRADE_OVERRIDE), "trade"),
             (foreign(loc) & ~uae(loc), "foreign_location"),
             ((loc == rules.GENERIC_REMOTE) & foreign(desc) & ~uae(desc), "foreign_remote"),
-            # Cheap tests come first: what every match of the scope pattern holds one of, and the country.
-            (X.let(desc, lambda d: X.contains_any(d, ["€", "£", "eur", "gbp", "authorize", "location"])) & X.matches(description, rules.EU_SCOPE) & ~uae(description), "eu_scope"),
+            # The scope's alternatives are told apart, so that each is searched for only where it can be.
+            (X.let(desc, lambda d: X.occurs(description, d, rules.EU_SCOPES)) & ~uae(description), "eu_scope"),
+            # The country is the cheaper test.
             ((F.upper(X.safe(country)) != "AE") & ~uae(everything), "not_in_uae"),
         ]
     )
@@ -42,15 +43,20 @@ def publisher_allowed(publisher, apply_url, allowed: list[str]) -> Column:
 
 
 REASONS = "array<struct<rule: string, delta: int>>"
+#: The most that technologies and domain words of the description can add to a score.
+MOST_FOOTPRINT, MOST_NAMED = 25, 20
+
+
+def _domain_words(description) -> Column:
+    return F.least(F.lit(MOST_NAMED), F.regexp_count(X.safe(description), F.lit("(?i)" + rules.TECH_DOMAIN)))
 
 
 def relevance_reasons(title, description, n_technologies) -> Column:
     """array<struct(rule, delta)> of the rules that count."""
     reason = lambda rule, delta: F.struct(rule.alias("rule"), delta.cast("int").alias("delta"))
     # The long text is searched once for each of the two counts.
-    footprint = X.let(X.col(n_technologies), lambda n: F.when(n > 0, reason(F.concat(F.lit("tech_footprint_"), n), F.least(F.lit(25), n * 8))))
-    hits = F.least(F.lit(20), F.regexp_count(X.safe(description), F.lit("(?i)" + rules.TECH_DOMAIN)))
-    named = X.let(hits, lambda n: F.when(n > 0, reason(F.concat(F.lit("tech_domain_desc_x"), n), n)))
+    footprint = X.let(X.col(n_technologies), lambda n: F.when(n > 0, reason(F.concat(F.lit("tech_footprint_"), n), F.least(F.lit(MOST_FOOTPRINT), n * 8))))
+    named = X.let(_domain_words(description), lambda n: F.when(n > 0, reason(F.concat(F.lit("tech_domain_desc_x"), n), n)))
     return F.array_compact(
         F.array(
             F.when(X.matches(title, rules.TECH_DOMAIN), reason(F.lit("tech_domain_title"), F.lit(40))),
@@ -67,8 +73,23 @@ def relevance_score(reasons) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), total))
 
 
+def is_relevant(title, description, text) -> Column:
+    """Whether relevance_score, with the technologies of text, reaches rules.MIN_SCORE. What the title gives comes first;
+    the long texts are searched only where they can still decide."""
+    points = lambda condition, n: F.when(condition, n).otherwise(0)
+    head = points(X.matches(title, rules.TECH_DOMAIN), 40) + points(F.lower(X.safe(title)).rlike(rules.SENIOR_SIGNAL), 10) - points(X.matches(title, rules.STRONG_NEGATIVE), 25)
+    enough = lambda n: n >= rules.MIN_SCORE
+    footprint = lambda t: F.least(F.lit(MOST_FOOTPRINT), F.size(X.extract_technologies(t)) * 8)
+    # What `most` more could add decides nothing below the least score; what is there can't be taken away.
+    step = lambda n, most, more: X.first_match([(enough(n), True), (~enough(n + most), False)], more(n))
+    searched = lambda n: X.let(text, lambda t: enough(n + footprint(t)))
+    named = lambda n: X.let(n + _domain_words(description), lambda m: step(m, MOST_FOOTPRINT, searched))
+    return X.let(head, lambda n: step(n, MOST_NAMED + MOST_FOOTPRINT, named))
+
+
 def enrich(postings: DataFrame, allowed: list[str] | None = None) -> DataFrame:
-    """postings with everything that the ingest derives from a posting, and where it would be rejected."""
+    """postings with everything that the ingest derives from a posting, and where it would be rejected. reject_stage
+    doesn't read the score, so that a selection without the score and technologies leaves these out of the plan."""
     place = X.normalize_location(F.split("location_uae", ",")[0], F.concat_ws(" ", X.safe("location_uae"), X.safe("emirate")), F.lit(None).cast("string"))
     every = F.lower(F.concat_ws(" ", X.safe("title"), X.safe("description"), X.safe("requirements")))
     # A column of its own: 63 patterns read it.
@@ -87,7 +108,7 @@ def enrich(postings: DataFrame, allowed: list[str] | None = None) -> DataFrame:
     out = out.withColumn("relevance_reasons", relevance_reasons("title", "description", F.size("technologies")))
     out = out.withColumns({"relevance_score": relevance_score("relevance_reasons"), "dedup_hash": X.dedup_hash("normalized_company_name", "normalized_title", "city")})
     stage = X.first_match(
-        [(F.col("reject_reason").isNotNull(), "hard"), (~publisher_allowed("publisher", "apply_url", allowed or []), "publisher"), (F.col("relevance_score") < rules.MIN_SCORE, "score")]
+        [(F.col("reject_reason").isNotNull(), "hard"), (~publisher_allowed("publisher", "apply_url", allowed or []), "publisher"), (~is_relevant("title", "description", every), "score")]
     )
     return out.withColumn("reject_stage", stage)
 

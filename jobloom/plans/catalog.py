@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,14 +25,13 @@ class Views:
         return view(self.spark, self.sf_dir, name) if name in VIEWS else read_table(self.spark, self.sf_dir, name)
 
 
-    @cached_property
-    def enriched(self) -> DataFrame:
-        """All postings with what the ingest derives, worked out once and stored: a filter on the result would
-        otherwise repeat these long expressions below itself."""
+    def enriched(self, *names: str) -> DataFrame:
+        """Columns of all postings with what the ingest derives, worked out once and stored: a filter on the result
+        would otherwise repeat these long expressions below itself. What is not named is not worked out."""
         from jobloom.operators.scoring import enrich
         from jobloom.sources.tables import stored
 
-        return stored(self.spark, enrich(self.postings), "enriched")
+        return stored(self.spark, enrich(self.postings).select(*names), "enriched")
 
 
 def query(name: str, sql: str | None = None):

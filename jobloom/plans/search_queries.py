@@ -522,10 +522,14 @@ _UPSERT_SQL = f"""WITH e AS ({ENRICHED}),
     UNION ALL SELECT seq + 10000000, source, external_job_id, dedup_hash, normalized_title, normalized_company_name, city, true, apply_url, publisher, linkedin_easy_apply, {AS_OF}, 0, {AS_OF} + INTERVAL 30 DAY FROM m WHERE match_id IS NULL"""
 
 
+#: What tells copies apart, and whether a posting is accepted.
+_MATCHED = ("seq", "source", "external_job_id", "dedup_hash", "normalized_title", "normalized_company_name", "city", "reject_stage")
+
+
 def _batch_of_postings(v: Views):
     """The table, and the accepted postings of a batch with the jobs that they match."""
     # All postings are worked out once; each side is read by three matchers.
-    enriched = v.enriched.withColumn("external_source", F.col("source"))
+    enriched = v.enriched(*_MATCHED, "apply_url", "publisher", "linkedin_easy_apply").withColumn("external_source", F.col("source"))
     jobs, new = _job_table(enriched), enriched.where("seq % 2 = 1 and reject_stage is null")
     batch = dedup.resolve(new, jobs)
     return jobs, batch.withColumns({"id": F.col("seq") + 10_000_000, "is_active": F.lit(True), "last_seen_at": F.lit(NOW).cast("timestamp"), "duplicate_source_count": F.lit(0), "expires_at": F.lit(NOW).cast("timestamp") + F.expr("INTERVAL 30 DAYS")})
@@ -609,7 +613,7 @@ _FOLD = f"""e AS ({ENRICHED}), n AS (SELECT *, source || chr(31) || external_job
 @query("h05_resolve_batch", f"WITH RECURSIVE {_FOLD} SELECT n.seq, coalesce(l.seq, n.seq) AS leader, CASE WHEN best.k IS NULL THEN 'NONE' ELSE 'L' || best.level END AS level FROM n LEFT JOIN best ON best.k = n.k LEFT JOIN n l ON l.k = best.j")
 def same_batch(v: Views):
     """All accepted postings as one batch."""
-    accepted = v.enriched.where("reject_stage is null").withColumn("external_source", F.col("source"))
+    accepted = v.enriched(*_MATCHED).where("reject_stage is null").withColumn("external_source", F.col("source"))
     return dedup.resolve_batch(accepted).select("seq", "leader", "level")
 
 

@@ -438,7 +438,7 @@ _REMOTELY = f"(remote_uae OR (NOT regexp_matches({_LOWER}, '\\bhybrid\\b') AND r
 
 @query("b51_ingest_defaults", f"WITH e AS ({ENRICHED}) SELECT seq, normalized_title AS title, coalesce({_NORMAL}, 'other') AS job_category, {_REMOTELY} AS remote_uae, TIMESTAMP '1998-09-02 00:00:00' AS posted_at, TIMESTAMP '1998-10-02 00:00:00' AS expires_at, true AS is_active FROM e WHERE accepted")
 def defaults(v: Views):
-    return scoring.ingest_defaults(v.enriched.where("reject_stage is null"), "1998-09-02 00:00:00").select("seq", "title", "job_category", "remote_uae", "posted_at", "expires_at", "is_active")
+    return scoring.ingest_defaults(v.enriched("seq", "title", "description", "normalized_title", "work_mode", "remote_uae", "reject_stage").where("reject_stage is null"), "1998-09-02 00:00:00").select("seq", "title", "job_category", "remote_uae", "posted_at", "expires_at", "is_active")
 
 
 _LABEL = lambda c, names, other: f"CASE lower(coalesce({c}, '')) " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in names.items()) + f" ELSE {other} END"

@@ -37,8 +37,10 @@ def merge_postings(table: Snapshots, batch: DataFrame, number: int, as_of) -> in
     spark = batch.sparkSession
     if table.latest() > number:
         return 0
-    # The table has no long texts, so they are not written again.
-    enriched = stored(spark, enrich(batch).withColumn("external_source", F.col("source")).drop("description", "requirements"), "ingest-batch")
+    # What the table doesn't keep is not worked out, nor are its long texts written again.
+    enriched = enrich(batch).withColumn("external_source", F.col("source"))
+    kept = {"seq", "reject_stage", *table.schema.names}
+    enriched = stored(spark, enriched.select(*[c for c in enriched.columns if c in kept]), "ingest-batch")
     accepted = enriched.where("reject_stage is null")
     jobs = table.read(number)
     found = stored(spark, resolve_batch(accepted, jobs), "ingest-resolved")
