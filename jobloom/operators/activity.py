@@ -154,10 +154,15 @@ def track_applications(applications: DataFrame, clicks: DataFrame, jobs: DataFra
     return live.join(applications.select("user_id", "job_id"), ["user_id", "job_id"], "left_anti").select("user_id", "job_id")
 
 
-def save_jobs(saved: DataFrame, more: DataFrame) -> DataFrame:
+def save_jobs(saved: DataFrame, more: DataFrame, at_once: int = 1_000_000) -> DataFrame:
+    """The pairs of saved, as often as they stand there, and once each those that only more has; nulls are equal.
+
+    Pairs are hardly ever equal within a file, so they are not summed up before they are dealt out, and dealt to so many
+    tasks that each holds about `at_once` of them, however large the tables are."""
     pairs = ["user_id", "job_id"]
-    fresh = more.select(pairs).distinct().join(saved.select(pairs), pairs, "left_anti")
-    return saved.select(pairs).unionByName(fresh)
+    both = saved.select(*pairs, F.lit(1).alias("_n")).unionByName(more.select(*pairs, F.lit(0).alias("_n")))
+    counted = both.repartition(both.count() // at_once + 1, *pairs).groupBy(*pairs).agg(F.sum("_n").cast("int").alias("_n"))
+    return counted.select(*pairs, F.explode(F.array_repeat(F.lit(0), F.greatest(F.lit(1), "_n")))).select(pairs)
 
 
 def unsave_jobs(saved: DataFrame, gone: DataFrame) -> DataFrame:
