@@ -18,3 +18,7 @@ def cut(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["a08_postings_from_pages", "a15_rendered_description"])
 def test_texts_end_with_their_article(spark, cut, name):
     assert len(_same(spark, cut, name)) == 10
+
+
+def test_short_article_with_a_cut_tag_is_incomplete(spark, cut):
+    assert [r[0] for r in _same(spark, cut, "c18_complete_preview")] == [90]
