@@ -38,3 +38,13 @@ def test_acceptance_needs_no_score(spark, sf001):
     plan = scoring.enrich(Views(spark, sf001).postings).select("seq", "reject_stage")._jdf.queryExecution().optimizedPlan().toString()
     assert "technologies" not in plan and "tech_footprint" not in plan
     assert Views(spark, sf001).enriched("seq", "reject_stage").columns == ["seq", "reject_stage"]
+
+
+def test_resolving_stores_no_texts(spark, sf001, monkeypatch):
+    import __spark_entry__ as E
+    from jobloom.sources import tables
+
+    seen, stored = {}, tables.stored
+    monkeypatch.setattr(tables, "stored", lambda s, df, name: stored(s, seen.setdefault(name, df), name))
+    assert E.queries()["h05_resolve_batch"](spark, sf001).count() == 101
+    assert not {"description", "requirements", "technologies", "relevance_score"} & set(seen["enriched"].columns)
