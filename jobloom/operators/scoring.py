@@ -14,6 +14,8 @@ def reject_reason(title, location, country, description) -> Column:
     loc, desc = F.lower(X.safe(location)), F.lower(X.safe(description))
     uae = lambda c: X.matches(c, rules.UAE_PLACE)
     foreign = lambda c: X.matches(c, rules.OTHER_COUNTRY)
+    # Alternatives are told apart, so that each is searched for in the long text only where it can be.
+    said = lambda c, lower, pattern: X.occurs(c, lower, X.alternatives(pattern))
     everything = F.concat_ws(" ", loc, F.lower(X.safe(country)), desc)
     return X.first_match(
         [
@@ -21,9 +23,8 @@ def reject_reason(title, location, country, description) -> Column:
             (X.matches(title, rules.STRONG_NEGATIVE), "other_profession"),
             (X.matches(title, rules.TRADE) & ~X.matches(title, rules.TRADE_OVERRIDE), "trade"),
             (foreign(loc) & ~uae(loc), "foreign_location"),
-            ((loc == rules.GENERIC_REMOTE) & foreign(desc) & ~uae(desc), "foreign_remote"),
-            # The scope's alternatives are told apart, so that each is searched for only where it can be.
-            (X.let(desc, lambda d: X.occurs(description, d, rules.EU_SCOPES)) & ~uae(description), "eu_scope"),
+            ((loc == rules.GENERIC_REMOTE) & X.let(desc, lambda d: said(d, d, rules.OTHER_COUNTRY) & ~said(d, d, rules.UAE_PLACE)), "foreign_remote"),
+            (X.let(desc, lambda d: X.occurs(description, d, rules.EU_SCOPES) & ~said(description, d, rules.UAE_PLACE)), "eu_scope"),
             # The country is the cheaper test.
             ((F.upper(X.safe(country)) != "AE") & ~uae(everything), "not_in_uae"),
         ]
